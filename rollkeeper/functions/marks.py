@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollkeeper.config import ABSENT, PRESENT
@@ -31,15 +31,16 @@ def _outcome(status: str, confidence: float, mark: Column) -> Column:
     )
 
 
-def normalize_mark(mark: Column, in_column: Column | bool = True) -> Column:
-    """Struct ``status, conf, mark``; the first rule that applies decides."""
+def with_mark_outcome(df: DataFrame, mark: str, in_column: Column | bool = True, out: str = "norm") -> DataFrame:
+    """Add struct ``status, conf, mark``; the first rule that applies decides.
+
+    The cleaned forms of the mark are columns of their own, so that each is
+    computed once and not again in every branch.
+    """
     in_col = in_column if isinstance(in_column, Column) else F.lit(in_column)
-    raw = strip(mark)
-    upper = F.upper(raw)
-    letters = F.regexp_replace(upper, "[^A-Za-z✓✔✗✘]", "")
-    counted = F.regexp_extract(raw, r"^#?([0-9]+)\.?$", 1)
-    return (
-        F.when(mark.isNull() | (raw == ""), _outcome(ABSENT, 0.40, F.lit("")))
+    raw, upper, letters, counted = (F.col(c) for c in ("_raw", "_upper", "_letters", "_counted"))
+    outcome = (
+        F.when(raw.isNull() | (raw == ""), _outcome(ABSENT, 0.40, F.lit("")))
         .when(upper.isin(ABSENT_TOKENS + ["0"]), _outcome(ABSENT, 0.98, raw))
         .when(letters.isin(ABSENT_TOKENS), _outcome(ABSENT, 0.96, raw))
         .when(upper.isin(PRESENT_TOKENS), _outcome(PRESENT, 0.98, raw))
@@ -51,6 +52,14 @@ def normalize_mark(mark: Column, in_column: Column | bool = True) -> Column:
         .when(in_col & upper.isin("O", "D"), _outcome(ABSENT, 0.55, raw))
         .otherwise(_outcome(ABSENT, 0.45, raw))
     )
+    return (
+        df.withColumn("_raw", strip(F.col(mark)))
+        .withColumn("_upper", F.upper("_raw"))
+        .withColumn("_letters", F.regexp_replace("_upper", "[^A-Za-z✓✔✗✘]", ""))
+        .withColumn("_counted", F.regexp_extract("_raw", r"^#?([0-9]+)\.?$", 1))
+        .withColumn(out, outcome)
+        .drop("_raw", "_upper", "_letters", "_counted")
+    )
 
 
 def strict_status(value: Column) -> Column:

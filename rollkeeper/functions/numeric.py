@@ -13,7 +13,8 @@ def round2(value: Column) -> Column:
 
     ``round``/``bround`` decide ties on the shortest decimal text, which differs
     from the IEEE value (0.575 is below the tie). Here ``err`` is the exact error
-    of ``value * 200``, so the side of the tie is known.
+    of ``value * 200``, so the side of the tie is known. The value is used many
+    times, so pass a plain column.
     """
     v = value.cast("double")
     p = v * F.lit(200.0)
@@ -35,9 +36,12 @@ def clamp01(value: Column) -> Column:
 
 
 def blended_confidence(mark_confidence: Column, row_confidence: Column) -> Column:
-    """Three parts mark rule, one part reading confidence, kept inside [0.40, 0.99]."""
+    """Three parts mark rule, one part reading confidence, kept inside [0.40, 0.99].
+
+    Unrounded: put it in a column, then apply ``round2``.
+    """
     mixed = mark_confidence * F.lit(0.75) + row_confidence * F.lit(0.25)
-    return round2(F.least(F.greatest(mixed, F.lit(0.40)), F.lit(0.99)))
+    return F.least(F.greatest(mixed, F.lit(0.40)), F.lit(0.99))
 
 
 def confidence_band(value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollkeeper.functions.text import WORD, WORD_END, WORD_START, blank_to_null
@@ -17,29 +17,28 @@ def repair_roll(roll: Column) -> Column:
     return F.regexp_replace(two, r"^0[oOuU](\p{Nd}{2})$", "0$1")
 
 
-def split_identity(roll: Column, student_id: Column, name: Column) -> Column:
-    """Struct ``roll, student_id, name`` after moving an id out of the wrong column."""
+def with_split_identity(df: DataFrame, roll: str, student_id: str, name: str) -> DataFrame:
+    """Move an id out of the name or roll column, in this order.
+
+    An id inside the name moves when none was read; a roll that looks like an id is
+    taken for one; a roll followed by an id is split and overrides the id.
+    """
     in_name = rf"(?i){WORD_START}({ID_SHAPE}){WORD_END}"
-    name_id = F.when(blank_to_null(student_id).isNull(), blank_to_null(F.regexp_extract(name, in_name, 1)))
     # Only the first hit leaves the name, so its place is kept by the two groups around it.
-    without = F.regexp_replace(name, rf"(?is)^(.*?){WORD_START}(?:{ID_SHAPE}){WORD_END}(.*)$", "$1$2")
-    new_name = F.when(name_id.isNotNull(), F.regexp_replace(without, r"^[ |,\-]+|[ |,\-]+$", "")).otherwise(name)
-    id_one = F.coalesce(F.upper(name_id), student_id)
-
-    roll_id = F.when(
-        blank_to_null(id_one).isNull(),
-        blank_to_null(F.regexp_extract(roll, rf"(?i)^({ID_SHAPE})$", 1)),
-    )
-    id_two = F.coalesce(F.upper(roll_id), id_one)
-
+    around = rf"(?is)^(.*?){WORD_START}(?:{ID_SHAPE}){WORD_END}(.*)$"
     both = rf"(?iU)^(\p{{Nd}}{{1,4}})\s+({ID_SHAPE})$"
-    both_roll = blank_to_null(F.regexp_extract(roll, both, 1))
-    both_id = F.upper(blank_to_null(F.regexp_extract(roll, both, 2)))
-    return F.struct(
-        F.coalesce(both_roll, roll).alias("roll"),
-        F.coalesce(both_id, id_two).alias("student_id"),
-        new_name.alias("name"),
-    )
+    no_id = blank_to_null(F.col(student_id)).isNull()
+    df = df.withColumn("_named", F.when(no_id, blank_to_null(F.regexp_extract(F.col(name), in_name, 1))))
+    rest = F.regexp_replace(F.regexp_replace(F.col(name), around, "$1$2"), r"^[ |,\-]+|[ |,\-]+$", "")
+    df = df.withColumn(name, F.when(F.col("_named").isNotNull(), rest).otherwise(F.col(name)))
+    df = df.withColumn(student_id, F.coalesce(F.upper("_named"), F.col(student_id)))
+    rolled = F.when(no_id, blank_to_null(F.regexp_extract(F.col(roll), rf"(?i)^({ID_SHAPE})$", 1)))
+    df = df.withColumn("_rolled", rolled)
+    df = df.withColumn("_both", blank_to_null(F.regexp_extract(F.col(roll), both, 2)))
+    split_roll = F.regexp_extract(F.col(roll), both, 1)
+    df = df.withColumn(roll, F.when(F.col("_both").isNotNull(), split_roll).otherwise(F.col(roll)))
+    df = df.withColumn(student_id, F.coalesce(F.upper("_both"), F.upper("_rolled"), F.col(student_id)))
+    return df.drop("_named", "_rolled", "_both")
 
 
 def repair_student_id(student_id: Column) -> Column:

@@ -140,6 +140,7 @@ def decide(candidates: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
     ambiguous = F.coalesce((F.col("best") - F.col("second")) < config.fuzzy_margin, F.lit(False))
     accepted = ~ambiguous & (F.col("best") >= config.fuzzy_accept)
     weight = F.when(accepted, config.fuzzy_match_weight).otherwise(config.fuzzy_review_weight)
+    best = best.withColumn("weighted", F.col("best") * weight)
     reason = F.when(ambiguous, "Ambiguous fuzzy match between multiple students.").when(
         ~accepted,
         F.concat(
@@ -152,6 +153,6 @@ def decide(candidates: DataFrame, config: MatchConfig = MatchConfig()) -> DataFr
         "best",
         F.struct("student_id", "roll_number", "name").alias("student"),
         F.when(accepted, MATCHED).otherwise(NEEDS_REVIEW).alias("resolution"),
-        round2(F.col("best") * weight).alias("match_confidence"),
+        round2(F.col("weighted")).alias("match_confidence"),
         reason.alias("review_reason"),
     )
