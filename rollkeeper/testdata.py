@@ -34,7 +34,7 @@ FROM (SELECT c_custkey AS k, c_custkey % 60 AS s, c_mktsegment AS seg,
             FROM {customer} LEFT JOIN {part} ON p_partkey = c_custkey) AS named) AS parts
 """
 
-# Twelve ways a sheet names a student, by order key.
+# Twelve ways a sheet names a student, by order key. A tenth of the students stay away.
 RECORDS = """
 SELECT r.scope_id, o.o_orderkey AS rec_seq,
        CASE WHEN m IN (0, 2, 6, 10) THEN r.name
@@ -60,8 +60,9 @@ SELECT r.scope_id, o.o_orderkey AS rec_seq,
        CASE WHEN o.o_orderstatus = 'O' OR (o.o_orderstatus = 'P' AND o.o_orderkey % 40 = 0)
             THEN 'ABSENT' ELSE 'PRESENT' END AS status,
        0.40e0 + (o.o_orderkey % 60) / 100e0 AS confidence
-FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderkey % 12 AS m FROM {orders}) AS o
-JOIN {roster} AS r ON r.roster_seq = o.o_custkey
+FROM (SELECT o_orderkey, o_orderstatus, o_orderkey % 12 AS m,
+             CASE WHEN o_custkey % 10 = 7 THEN o_custkey - 1 ELSE o_custkey END AS seen FROM {orders}) AS o
+JOIN {roster} AS r ON r.roster_seq = o.seen
 """
 
 # Marks as found in an attendance column, and the odd one outside it.
