@@ -45,8 +45,8 @@ SELECT r.scope_id, o.o_orderkey AS rec_seq,
             WHEN m = 11 THEN concat(split_part(r.name, ' ', 1), ' ', split_part(r.name, ' ', 2), 's.')
             END AS raw_name,
        CASE WHEN m = 2 THEN lower(r.student_id)
-            WHEN m = 3 THEN concat('Roll ', r.roll_number)
-            WHEN m = 4 THEN concat(' ', r.roll_number, ' ')
+            WHEN m = 3 THEN 'Roll ' || r.roll_number
+            WHEN m = 4 THEN ' ' || r.roll_number || ' '
             WHEN m = 5 THEN lower(r.enrollment_number)
             WHEN m = 9 THEN concat('ZZ', CAST(o.o_orderkey AS STRING))
             WHEN m = 10 THEN r.student_id
@@ -102,7 +102,7 @@ SELECT sheet_id, seq * 8 + 64 + cell AS box_seq,
        CASE cell WHEN 0 THEN 40e0 WHEN 1 THEN 90e0 WHEN 2 THEN 80e0 WHEN 3 THEN 70e0 ELSE 60e0 END AS wide,
        140e0 + 40 * slot + q % 5 + (cell * 3 + seq) % 4 AS y0,
        CASE WHEN v = 8 AND cell = 2 THEN 3e0 ELSE 18e0 + cell % 3 END AS tall
-FROM (SELECT l_orderkey AS sheet_id, l_partkey * 16 + l_linenumber AS seq, (l_partkey * 7 + l_suppkey * 3) % 60 AS slot,
+FROM (SELECT l_orderkey AS sheet_id, (l_partkey * 8 + l_linenumber) * 1000003 + l_suppkey AS seq, (l_partkey * 7 + l_suppkey * 3) % 60 AS slot,
              lpad(CAST((l_partkey * 7 + l_suppkey * 3) % 60 AS STRING), 3, '0') AS roll,
              CAST(l_quantity AS BIGINT) AS q, (l_partkey + l_linenumber) % 12 AS v,
              concat(upper(substr(p_name, 1, 1)), substr(split_part(p_name, ' ', 1), 2)) AS w1,
