@@ -4,6 +4,7 @@ The score itself (Ratcliff-Obershelp) is no built-in, so it runs as an Arrow UDF
 over pairs that survive the bounds. ``letters`` turns a word into its characters
 numbered per occurrence (``anna`` -> a1 n1 n2 a2); the size of two such sets'
 intersection is the multiset overlap, an upper bound on the matched characters.
+Letters are worked out once per distinct name; pairs only see numbers.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ def last_word(name: Column) -> Column:
     return F.regexp_extract(name, "([^ ]*)$", 1)
 
 
-def letters(word: Column) -> Column:
-    chars = F.split(word, "")
+def letters(chars: Column) -> Column:
+    """Characters numbered per occurrence, from a column holding the split word."""
     return F.transform(
         chars,
         lambda c, i: F.concat(
@@ -40,10 +41,27 @@ def letters(word: Column) -> Column:
     )
 
 
-def overlap_reaches(a: Column, b: Column, bound: float) -> Column:
-    """Whether two letter sets can still reach the ratio ``bound``."""
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return F.lit(2.0) * shared / (F.size(a) + F.size(b)) >= F.lit(bound - SLACK)
+def letter_mask(letter_set: Column) -> Column:
+    """First and second occurrences of a to z as bits of one number."""
+
+    def bit(c: Column) -> Column:
+        place = F.ascii(c) - 97 + 26 * (F.substring(c, 2, 9).cast("int") - 1)
+        known = c.rlike("^[a-z][12]$")
+        return F.when(known, F.pow(F.lit(2.0), place).cast("bigint")).otherwise(0)
+
+    return F.aggregate(letter_set, F.lit(0).cast("bigint"), lambda mask, c: mask.bitwiseOR(bit(c)))
+
+
+def may_reach(a: Column, b: Column, mask_a: Column, mask_b: Column, bound: float) -> Column:
+    """Whether two words can still reach the ratio ``bound``, in plain arithmetic.
+
+    Shared bits are shared characters; of the characters outside the masks at most
+    the smaller number can be shared.
+    """
+    la, lb = F.length(a), F.length(b)
+    rest = F.least(la - F.bit_count(mask_a), lb - F.bit_count(mask_b))
+    shared = F.bit_count(mask_a.bitwiseAND(mask_b)) + rest
+    return F.lit(2.0) * shared / (la + lb) >= F.lit(bound - SLACK)
 
 
 def probe_letters(letter_set: Column, bound: float) -> Column:

@@ -3,9 +3,9 @@
 The outcome depends on the normalised name only, so distinct names are compared.
 Partners meet through blocks built from a bound on the ratio (see
 ``functions.similarity``): two names that can reach the threshold share a block,
-so nothing is lost, and a very large class splits over many blocks. Cheap length
-bounds run inside the join, letter bounds after the pairs are made distinct, and
-only the survivors reach the Python score.
+so nothing is lost, and a very large class splits over many blocks. Length and
+letter bounds are arithmetic on per-name numbers inside the join, and only the
+distinct survivors reach the Python score.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from rollkeeper.config import MATCHED, NEEDS_REVIEW, MatchConfig
 from rollkeeper.functions.numeric import round2
 from rollkeeper.functions.similarity import (
-    SLACK,
     first_word,
     last_word,
+    letter_mask,
     letters,
-    overlap_reaches,
+    may_reach,
     probe_letters,
     score_udf,
 )
@@ -34,7 +34,7 @@ def _has_two_words(name: Column) -> Column:
 
 
 def name_blocks(names: DataFrame, name_col: str, config: MatchConfig, probe_side: bool) -> DataFrame:
-    """Names with their block keys.
+    """Names with their block keys and letter masks.
 
     Two names of several words must agree on first and last word, so they meet
     under a letter of each. When either is a single word only the whole name
@@ -42,50 +42,45 @@ def name_blocks(names: DataFrame, name_col: str, config: MatchConfig, probe_side
     several-word probe the blocks ``v`` of the single-word students.
     """
     name = F.col(name_col)
-    firsts = probe_letters(letters(first_word(name)), config.fuzzy_first_word)
-    lasts = probe_letters(letters(last_word(name)), config.fuzzy_last_word)
-    whole = probe_letters(letters(name), config.fuzzy_candidate)
-    both = F.flatten(F.transform(firsts, lambda a: F.transform(lasts, lambda b: F.concat(F.lit("m"), a, F.lit("|"), b))))
-    open_blocks = F.transform(whole, lambda c: F.concat(F.lit("w"), c))
-    single_blocks = F.transform(whole, lambda c: F.concat(F.lit("v"), c))
+    words = {"first": first_word(name), "last": last_word(name), "whole": name}
+    bounds = {"first": config.fuzzy_first_word, "last": config.fuzzy_last_word, "whole": config.fuzzy_candidate}
+    # One projection per stage: each stage is used several times by the next.
+    split = names.select("scope_id", name_col, *[F.split(w, "").alias(f"{k}_chars") for k, w in words.items()])
+    spelled = split.select("scope_id", name_col, *[letters(F.col(f"{k}_chars")).alias(k) for k in words])
+    probed = spelled.select(
+        "scope_id",
+        name_col,
+        F.struct(*[letter_mask(F.col(k)).alias(k) for k in words]).alias("mask"),
+        *[probe_letters(F.col(k), bounds[k]).alias(k) for k in words],
+    )
+    both = F.flatten(
+        F.transform("first", lambda a: F.transform("last", lambda b: F.concat(F.lit("m"), a, F.lit("|"), b)))
+    )
+    open_blocks = F.transform("whole", lambda c: F.concat(F.lit("w"), c))
+    single_blocks = F.transform("whole", lambda c: F.concat(F.lit("v"), c))
     if probe_side:
         keys = F.when(_has_two_words(name), F.concat(both, single_blocks)).otherwise(open_blocks)
     else:
         keys = F.when(_has_two_words(name), F.concat(both, open_blocks)).otherwise(F.concat(single_blocks, open_blocks))
-    return names.select("scope_id", name_col, F.explode(keys).alias("block"))
-
-
-def _lengths_reach(a: Column, b: Column, bound: float) -> Column:
-    la, lb = F.length(a), F.length(b)
-    return F.lit(2.0) * F.least(la, lb) / (la + lb) >= F.lit(bound - SLACK)
+    return probed.select("scope_id", name_col, "mask", F.explode(keys).alias("block"))
 
 
 def candidate_pairs(names: DataFrame, students: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """Distinct ``scope_id, norm_name, erp_name`` pairs that may reach the threshold."""
     a, b = F.col("norm_name"), F.col("erp_name")
+
+    def reach(part: str, word, bound: float) -> Column:
+        return may_reach(word(a), word(b), F.col(f"mask_a.{part}"), F.col(f"mask_b.{part}"), bound)
+
     guarded = _has_two_words(a) & _has_two_words(b)
-    lengths = _lengths_reach(a, b, config.fuzzy_candidate) & (
+    bounds = reach("whole", lambda x: x, config.fuzzy_candidate) & (
         ~guarded
-        | (
-            _lengths_reach(first_word(a), first_word(b), config.fuzzy_first_word)
-            & _lengths_reach(last_word(a), last_word(b), config.fuzzy_last_word)
-        )
+        | (reach("first", first_word, config.fuzzy_first_word) & reach("last", last_word, config.fuzzy_last_word))
     )
-    met = (
-        name_blocks(names, "norm_name", config, True)
-        .join(name_blocks(students, "erp_name", config, False), ["scope_id", "block"])
-        .filter(lengths)
-        .select("scope_id", "norm_name", "erp_name")
-        .distinct()
-    )
-    letter_bounds = overlap_reaches(letters(a), letters(b), config.fuzzy_candidate) & (
-        ~guarded
-        | (
-            overlap_reaches(letters(first_word(a)), letters(first_word(b)), config.fuzzy_first_word)
-            & overlap_reaches(letters(last_word(a)), letters(last_word(b)), config.fuzzy_last_word)
-        )
-    )
-    return met.filter(letter_bounds)
+    left = name_blocks(names, "norm_name", config, True).withColumnRenamed("mask", "mask_a")
+    right = name_blocks(students, "erp_name", config, False).withColumnRenamed("mask", "mask_b")
+    met = left.join(right, ["scope_id", "block"]).filter(bounds)
+    return met.select("scope_id", "norm_name", "erp_name").distinct()
 
 
 def roster_names(roster: DataFrame) -> DataFrame:
@@ -102,6 +97,11 @@ def scored_pairs(names: DataFrame, roster: DataFrame, config: MatchConfig = Matc
     return scored.filter(F.col("score") >= config.fuzzy_candidate)
 
 
+def fuzzy_students(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Every student at or above the threshold, for each name."""
+    return scored_pairs(names, roster, config).join(roster_names(roster), ["scope_id", "erp_name"])
+
+
 def top_candidates(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
     """The best students per name, by score then student id, one row each.
 

@@ -670,19 +670,7 @@ for _step, _name in enumerate(
     ("j1_match_student_id", "j2_match_roll", "j3_match_roll_number", "j4_match_enrollment", "j5_match_exact_name", "j6_match_normalized_name"), start=1
 ):
     _oracle(_name, "hits", _outcome(str(_step), f"(SELECT * FROM hits WHERE h{_step})"))
-def _letters(x: str) -> str:
-    return f"list_transform(string_split({x}, ''), lambda c, i: concat(c, CAST(len(list_filter(string_split({x}, '')[1:i], lambda d: d = c)) AS VARCHAR)))"
-
-
-def _may_reach(a: str, b: str, bound: float) -> str:
-    return f"2e0 * len(list_intersect({_letters(a)}, {_letters(b)})) / (length({a}) + length({b})) >= {bound}e0 - 1e-9"
-
-
-_oracle(
-    "j7_fuzzy_pairs", "name_pairs",
-    f"SELECT scope_id, norm_name, erp_name FROM name_pairs WHERE {_may_reach('norm_name', 'erp_name', 0.6)} AND (NOT contains(norm_name, ' ') OR NOT contains(erp_name, ' ') "
-    f"OR ({_may_reach('split_part(norm_name, chr(32), 1)', 'split_part(erp_name, chr(32), 1)', 0.7)} AND {_may_reach('split_part(norm_name, chr(32), -1)', 'split_part(erp_name, chr(32), -1)', 0.6)}))",
-)
+_oracle("j7_fuzzy_students", "ranked erp_names", "SELECT scope_id, norm_name, roster_seq, student_id, score FROM scores JOIN erp_names USING (scope_id, erp_name)")
 _oracle("j8_fuzzy_decisions", "decisions", "SELECT scope_id, norm_name, candidates_count, best, student_id, resolution, match_confidence, review_reason FROM decisions")
 _oracle("j9_cascade", "exact", "SELECT * FROM exact")
 _oracle("j9_cascade_with_fuzzy", "resolved", f"SELECT {_FLAT} FROM resolved")

@@ -533,10 +533,9 @@ _one_step("j5_match_exact_name", lookups.BY_NAME)
 _one_step("j6_match_normalized_name", lookups.BY_NORMAL_NAME)
 
 
-@query("j7_fuzzy_pairs")
+@query("j7_fuzzy_students")
 def _(v):
-    students = fuzzy.roster_names(v.roster()).select("scope_id", "erp_name").distinct()
-    return fuzzy.candidate_pairs(v.open_names(), students)
+    return fuzzy.fuzzy_students(v.open_names(), v.roster()).select("scope_id", "norm_name", "roster_seq", "student_id", "score")
 
 
 @query("j8_fuzzy_decisions")
