@@ -30,7 +30,9 @@ def placed_boxes(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), keep:
     with_bands = rows.boxes_in_table(boxes, routed.filter(F.col("banded")).drop("banded"), config)
     without = rows.boxes_in_table(boxes, routed.filter(F.col("banded").isNull()).drop("banded"), config)
     by_band = rows.boxes_to_bands(with_bands, bands, config)
-    by_cluster = rows.clusters_in_order(rows.boxes_to_clusters(without, config))
+    # Both are read more than once by the clustering steps.
+    clustered = keep(rows.boxes_to_clusters(keep(without), config))
+    by_cluster = rows.clusters_in_order(clustered)
     return by_band.unionByName(by_cluster)
 
 
