@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,8 +22,23 @@ RUNTIME_SETTINGS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _SHIPPED or not os.path.isdir(package):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="rollkeeper-pkg-"), "rollkeeper")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; partition counts stay with the cluster."""
+    """Apply the runtime settings and ship the package; partition counts stay with the cluster."""
+    ship_package(spark)
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
