@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeeper.llm import linededup, mixing, quality
+from rollkeeper.llm import linededup, mixing, pieces, quality
 from rollkeeper.llm.common import table
 
 c = F.col
@@ -25,6 +25,10 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", c("_lines").alias("n_lines"), c("_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
 
 
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encoded(table(spark, folder, "documents"), pieces.model_bytes(spark, pieces.model_path()), ids=False)
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.mix(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -33,5 +37,6 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_source_mixing": op10_source_mixing,
 }
