@@ -71,6 +71,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM based
 """
 
+OP5 = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{BLANK}]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, array_to_string(w[i : i + 4], chr(32)) AS s FROM docs, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0
+), sizes AS (
+  SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), common AS (
+  SELECT a.rid AS a, b.rid AS b, count(*) AS n FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes AS x ON x.rid = a JOIN sizes AS y ON y.rid = b
+  WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)
+), ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached(rid, other) AS (
+  SELECT rid, rid FROM docs UNION SELECT rid, ways.b FROM reached JOIN ways ON other = ways.a
+), lowest AS (
+  SELECT reached.rid AS rid, min(docs.doc_id) AS component_id FROM reached JOIN docs ON docs.rid = other GROUP BY reached.rid
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs LEFT JOIN sizes USING (rid) JOIN lowest USING (rid)
+"""
+
 OP6 = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (
@@ -118,6 +143,7 @@ JOIN taken ON docs.source IS NOT DISTINCT FROM taken.source AND docs.place = tak
 
 ORACLES = {
     "op3_quality_rules": OP3,
+    "op5_minhash_near_dedup": OP5,
     "op6_line_dedup": OP6,
     "op10_source_mixing": OP10,
 }
