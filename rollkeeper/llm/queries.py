@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeeper.llm import linededup, mixing, neardup, pieces, quality
+from rollkeeper.llm import linededup, mixing, neardup, pieces, quality, suffixes
 from rollkeeper.llm.common import table
 
 c = F.col
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("_row.doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = neardup.near_duplicates(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id", "kept")
@@ -41,6 +45,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
