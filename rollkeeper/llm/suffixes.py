@@ -119,91 +119,119 @@ def _spans(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
 
 
-SPAN = "text_key binary, first bigint, last bigint, string binary"
+ROW = ["doc_id", "text_mark"]
+
+
+def _schema(docs: DataFrame, rest: str) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_mark int, {rest}"
 
 
 def _built(bucket: pa.Table) -> pa.Table:
-    """Repeated starts of the slices of a bucket, as spans; of split collections also the strings that may occur in another part."""
+    """Repeated starts of the slices that occur once, as spans; of split collections also strings that another part may have."""
     bucket = bucket.sort_by([("key", "ascending"), ("part", "ascending")])
     key, part = bucket.column("key").to_numpy(), bucket.column("part").to_numpy()
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-    left = bucket.column("first").to_numpy() - bucket.column("place").to_numpy()
-    slices, texts = bucket.column("slice").to_pylist(), bucket.column("text_key").to_pylist()
-    place, split = bucket.column("place").to_numpy(), bucket.column("parts").to_numpy() > 1
-    rows: list[tuple] = []
+    place = bucket.column("place").to_numpy().astype(np.int64)
+    left = bucket.column("first").to_numpy() - place
+    slices = bucket.column("slice").to_pylist()
+    split, once = bucket.column("parts").to_numpy() > 1, bucket.column("n").to_numpy() == 1
+    who, first, last, string = [], [], [], []
 
     def strings(t: int, order: np.ndarray, common: np.ndarray) -> None:
-        """One string of each class of equal ones; a class of one names its start."""
+        """One string of each class of equal ones; it has a start only if the class and the slice have no other."""
         d = t - REACH
         for r in np.flatnonzero(split[order] & (common[:-1] < LENGTH)):
             i = order[r]
             if left[i] <= d <= left[i] + len(slices[i]) - LENGTH:
-                own = slices[i][d - left[i] : d - left[i] + LENGTH]
-                alone = common[r + 1] < LENGTH
-                rows.append((texts[i] if alone else None, int(place[i] + d), int(place[i] + d), hashlib.blake2b(own, digest_size=16).digest()))
+                alone = once[i] and common[r + 1] < LENGTH
+                who.append(i)
+                first.append(int(place[i] + d) if alone else -1)
+                last.append(first[-1])
+                string.append(hashlib.blake2b(slices[i][d - left[i] : d - left[i] + LENGTH], digest_size=16).digest())
 
     found = repeated_starts(np.cumsum(new) - 1, left, slices, strings if split.any() else None)
-    for i in np.flatnonzero(found.any(axis=1)):
+    for i in np.flatnonzero(found.any(axis=1) & once):
         for a, b in zip(*_spans(np.flatnonzero(found[i]) - REACH + place[i])):
-            rows.append((texts[i], int(a), int(b), None))
-    columns = list(zip(*rows)) or [[]] * 4
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
-    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["text_key", "first", "last", "string"])
+            who.append(i)
+            first.append(int(a))
+            last.append(int(b))
+            string.append(None)
+    rows = bucket.select(ROW).take(pa.array(who, pa.int64()))
+    spans = [pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(string, pa.binary())]
+    return pa.Table.from_arrays([*rows.columns, *spans], names=[*ROW, "first", "last", "string"])
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
+    """Runs of starts with their anchors, and a hash of the slice that each covers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _texts(batch.column("text"))
             for a, b in _steps([len(t) for t in texts]):
-                text, *numbers = anchors(texts[a:b])
-                rows = batch.slice(a, b - a).select(["doc_id", "text_key"]).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, numbers)], names=["doc_id", "text_key", "key", "place", "first", "last"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key binary, key bigint, place bigint, first bigint, last bigint"
+                text, key, place, first, last = anchors(texts[a:b])
+                some = texts[a:b]
+                cover = [
+                    hashlib.blake2b(some[i][x : y + LENGTH], digest_size=8).digest() for i, x, y in zip(text.tolist(), first.tolist(), last.tolist())
+                ]
+                rows = batch.slice(a, b - a).select(ROW).take(pa.array(text))
+                numbers = [pa.array(n, pa.int32()) for n in (place, first, last)]
+                cover = pa.array(np.frombuffer(b"".join(cover), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(key), cover, *numbers], names=[*ROW, "key", "cover", "place", "first", "last"])
+
+    schema = _schema(docs, "key bigint, cover bigint, place int, first int, last int")
     return docs.filter(F.octet_length("text") >= LENGTH).mapInArrow(run, schema)
 
 
 def _sliced(rows: DataFrame) -> DataFrame:
+    """Each run of a row with the bytes that it covers."""
+    names = ["key", "n", "variants", "place", "first"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = _texts(batch.column("text")), batch.column("text_key").to_pylist()
-            for i, (text, key) in enumerate(zip(texts, keys)):
+            for i, text in enumerate(_texts(batch.column("text"))):
                 runs = pa.RecordBatch.from_struct_array(batch.column("runs")[i].values)
                 cuts = [text[a : b + LENGTH] for a, b in zip(runs.column("first").to_pylist(), runs.column("last").to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(cuts), pa.binary()), *(runs.column(n) for n in ("key", "n", "place", "first")), pa.array(cuts, pa.binary())],
-                    names=["text_key", "key", "n", "place", "first", "slice"],
-                )
+                own = batch.select(ROW).take(pa.array([i] * len(cuts), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, *(runs.column(n) for n in names), pa.array(cuts, pa.binary())], names=[*ROW, *names, "slice"])
 
-    return rows.select("text_key", "text", "runs").mapInArrow(run, "text_key binary, key bigint, n bigint, place bigint, first bigint, slice binary")
+    schema = _schema(rows, "key bigint, n bigint, variants bigint, place int, first int, slice binary")
+    return rows.select(*ROW, "text", "runs").mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """Spans of starts of repeated strings between different texts, or within one: ``text_key, first, last``.
+    """Spans of starts of repeated strings: ``doc_id, text_mark, first, last``; ``docs`` has the first two and ``text``.
 
-    ``docs`` has ``doc_id, text_key, text``. Texts with several rows are worked on once, for the row of the least id.
+    Slices that several runs have in common are repeated as a whole, so only one of them is built, to hold the others
+    of its anchor against, and anchors all of whose slices are equal need no building.
     """
     runs = stage(_anchored(docs), "anchors")
-    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(c("n") > 1)
-    shared = stage(shared, "shared")
-    runs = runs.join(shared, "key").groupBy("text_key").agg(
-        F.min("doc_id").alias("id"), F.collect_set(F.struct("key", "n", "place", "first", "last")).alias("runs")
+    shared = runs.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cover").alias("low"), F.max("cover").alias("high"))
+    shared = shared.filter(c("n") > 1).select("key", (c("low") == c("high")).alias("equal"))
+    runs = stage(runs.join(shared, "key"), "shared")
+    mixed = runs.filter(~c("equal"))
+    variants = mixed.groupBy("key", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ROW, "place", "first", "last")).alias("run"))
+    variants = stage(variants, "variants")
+    more = variants.filter(c("n") > 1).select("key", "cover")
+    whole = runs.filter("equal").unionByName(mixed.join(more, ["key", "cover"])).select(*ROW, "first", "last")
+    keys = variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants"), F.min("n").alias("least"))
+    keys = keys.filter(c("least") == 1).drop("least")
+    wanted = stage(variants.join(keys, "key").select("run.*", "key", "n", "variants"), "wanted")
+    size = wanted.count()
+    wanted = wanted.groupBy(c("doc_id").alias("_id"), c("text_mark").alias("_mark")).agg(
+        F.collect_list(F.struct("key", "n", "variants", "place", "first", "last")).alias("runs")
     )
-    found = docs.withColumnRenamed("text_key", "own_key")
-    found = found.join(runs, (c("own_key") == c("text_key")) & c("doc_id").eqNullSafe(c("id"))).dropDuplicates(["own_key", "doc_id"])
-    slices = _sliced(found)
-    buckets = -(-(shared.agg(F.sum("n")).first()[0] or 0) // SIDE_BY_SIDE) + 1
-    parts = F.ceil(c("n") / COLLECTION)
-    slices = slices.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("text_key", "place"), parts))
-    slices = slices.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets))).drop("n")
-    built = stage(slices.groupBy("bucket").applyInArrow(_built, SPAN), "spans")
+    one = docs.join(wanted, c("doc_id").eqNullSafe(c("_id")) & (c("text_mark") == c("_mark"))).dropDuplicates(["_id", "_mark"])
+    slices = _sliced(one)
+    parts = F.ceil(c("variants") / COLLECTION)
+    slices = slices.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(*ROW, "place"), parts)).drop("variants")
+    slices = slices.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(-(-size // SIDE_BY_SIDE) + 1)))
+    built = slices.groupBy("bucket").applyInArrow(_built, _schema(docs, "first int, last int, string binary"))
+    built = stage(built, "spans")
     strings = built.filter(c("string").isNotNull())
     again = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter(c("n") > 1)
-    across = strings.filter(c("text_key").isNotNull()).join(again, "string").select("text_key", "first", "last")
-    return built.filter(c("string").isNull()).select("text_key", "first", "last").unionByName(across)
+    across = strings.filter(c("first") >= 0).join(again, "string").select(*ROW, "first", "last")
+    return built.filter(c("string").isNull()).select(*ROW, "first", "last").unionByName(across).unionByName(whole)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -216,18 +244,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession, 200)
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
-    spans = repeated_spans(docs).groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    copies = docs.groupBy("text_key").agg(F.count(F.lit(1)).alias("rows")).filter(c("rows") > 1)
-    marks = spans.join(copies, "text_key", "full").withColumnRenamed("text_key", "_key")
-    rows = docs.join(marks, c("text_key") == c("_key"), "left").select("doc_id", "text", "spans", (c("rows") > 1).alias("copied"))
+    docs = docs.select("doc_id", F.hash(text).alias("text_mark"), text.alias("text"))
+    # Rows are told apart by their id and a mark of their text, as ids may repeat.
+    spans = repeated_spans(docs).groupBy(c("doc_id").alias("_id"), c("text_mark").alias("_mark"))
+    spans = spans.agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    rows = docs.join(spans, c("doc_id").eqNullSafe(c("_id")) & (c("text_mark") == c("_mark")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans, copied in zip(_texts(batch.column("text")), batch.column("spans").to_pylist(), batch.column("copied").to_pylist()):
-                if copied and len(text) >= LENGTH:
-                    spans = [{"first": 0, "last": len(text) - LENGTH}]
+            for text, spans in zip(_texts(batch.column("text")), batch.column("spans").to_pylist()):
                 edges = np.zeros(len(text) + 1, dtype=np.int32)
                 if spans:
                     np.add.at(edges, [s["first"] for s in spans], 1)
