@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeeper.llm import linededup, mixing, neardup, neighbours, pieces, quality, suffixes
+from rollkeeper.llm import linededup, mixing, neardup, neighbours, pieces, quality, suffixes, toxicity
 from rollkeeper.llm.common import table
 
 c = F.col
@@ -34,6 +34,10 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", c("_lines").alias("n_lines"), c("_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_source_mixing": op10_source_mixing,
