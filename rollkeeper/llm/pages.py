@@ -76,26 +76,25 @@ def tokens(page: str) -> Iterator[Token]:
         if not name:
             continue
         closing = bool(m[2])
+        # An unclosed paragraph or item ends where the next block begins.
+        if part in CLOSED_BY_NEXT and name not in INLINE and not (closing and name == part):
+            part, depth = "", 0
+        elif part and name == part:
+            depth += -1 if closing else 1
+        opened = not closing and name not in VOID and not m[4].rstrip().endswith("/")
+        if opened and not part and (name in ASIDE and not (name == "header" and article) or _other(name, m[4])):
+            part, depth = name, 1
         yield ("/" if closing else "") + name, "", bool(part), article > 0
-        if part:
-            # An unclosed paragraph or item ends where the next block begins.
-            if part in CLOSED_BY_NEXT and name not in INLINE and not (closing and name == part):
-                part, depth = "", 0
-            elif name == part:
-                depth += -1 if closing else 1
-                part = part if depth > 0 else ""
-        if closing:
-            if name in ARTICLE and article:
-                article -= 1
+        if part and depth <= 0:
+            part = ""
+        if opened:
+            article += name in ARTICLE
+            stack.append(name)
+        elif closing:
+            article -= name in ARTICLE and article > 0
             if name in stack:
                 while stack.pop() != name:
                     pass
-        elif name not in VOID and not m[4].rstrip().endswith("/"):
-            if not part and (name in ASIDE and not (name == "header" and article) or _other(name, m[4])):
-                part, depth = name, 1
-            if name in ARTICLE:
-                article += 1
-            stack.append(name)
     if at < len(page):
         yield f"#{'!' + part if part else _around(stack)}", page[at:], bool(part), article > 0
 
