@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeeper.llm import linededup, mixing, neardup, neighbours, pages, pieces, quality, suffixes, toxicity
+from rollkeeper.llm import linededup, mixing, neardup, neighbours, pages, pieces, quality, secrets, suffixes, toxicity
 from rollkeeper.llm.common import table
 
 c = F.col
@@ -17,6 +17,10 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extracted(table(spark, folder, "pages"))
 
 
+def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.findings(table(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     rows = quality.judged(docs, table(spark, folder, "labels"), carried=("doc_id",))
@@ -57,6 +61,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
+    "op2_secret_scans": op2_secret_scans,
     "op3_quality_rules": op3_quality_rules,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
