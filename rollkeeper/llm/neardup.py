@@ -1,9 +1,11 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 Documents with equal shingle sets are one node from the start, so copies never pair. Nodes meet in bands of their
-signatures. In each bucket the members are held against one of them, not against each other; buckets whose members
-are not all linked then get another pivot, and what is still apart after some rounds is paired across components.
-A candidate pair is a link only if the full sets, made anew from both texts, are similar enough.
+signatures. In each bucket the members are first held against one of them only. Of buckets whose members are then not
+all in one component, nodes with too many shingles that no other candidate has can have no link and go. The others
+are gathered, with all nodes that share a bucket with them directly or over others, and held against each other in
+blocks of bounded size, which give a forest of links and not their pairs. A link always rests on the full sets, made
+anew from both texts.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ BANDS = 32
 ROWS = PLACES // BANDS
 # Signatures that agree in fewer places than this rule a pair out: five standard deviations below the limit.
 LEAST_AGREEING = round(PLACES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / PLACES) ** 0.5))
-PIVOT_ROUNDS = 3
+# Nodes and shingles in one half of a block.
+HALF_NODES = 512
+HALF_SHINGLES = 200_000
 BYTES_AT_ONCE = 1_500_000
 
 
@@ -114,6 +118,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+class UnionFind:
+    """Groups of nodes; the smallest node of a group is its root."""
+
+    def __init__(self) -> None:
+        self.parent: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        root = x
+        while (up := self.parent.setdefault(root, root)) != root:
+            root = up
+        while x != root:
+            self.parent[x], x = root, self.parent[x]
+        return root
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        """Join two groups; whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node in a link: the smallest node that it reaches.
 
@@ -122,27 +148,15 @@ def components(links: DataFrame) -> DataFrame:
     """
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[bytes, bytes] = {}
-
-        def find(x: bytes) -> bytes:
-            root = x
-            while (up := parent.get(root, root)) != root:
-                root = up
-            while x != root:
-                parent[x], x = root, parent[x]
-            return root
-
+        groups = UnionFind()
         for batch in batches:
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                for x in (a, b):
-                    parent.setdefault(x, x)
-                a, b = find(a), find(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
+                groups.join(a, b)
+        nodes = list(groups.parent)
         for i in range(0, len(nodes), 10_000):
             part = nodes[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([find(x) for x in part], pa.binary())], names=["a", "b"])
+            roots = [groups.find(x) for x in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(roots, pa.binary())], names=["a", "b"])
 
     stars = links.select("a", "b").mapInArrow(forest, "a binary, b binary")
     ways = stage(stars.unionByName(stars.select(c("b").alias("a"), c("a").alias("b"))).distinct(), "links")
@@ -159,6 +173,83 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
+def _apart(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, node, n, root`` of buckets that hold several components."""
+    placed = _with_roots(members.select("bucket", "node"), roots)
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(c("low") != c("high"))
+    placed = placed.join(several.select("bucket"), "bucket").join(nodes.select("node", "n"), "node")
+    return stage(placed.select("bucket", "node", "n", "root"), "apart")
+
+
+def _may_link(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows whose node shares enough of its shingles with other candidates: two sets have no more in common than that."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch.column("text"))
+            for a, b in _steps([len(t) for t in texts]):
+                values, begins = shingle_sets(texts[a:b])
+                owner = np.repeat(np.arange(a, b), np.diff(begins))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(pa.array(owner)), pa.array(values.view(np.int64))], names=["node", "shingle"]
+                )
+
+    held = texts.join(apart.select("node").distinct(), "node").select("node", "text").mapInArrow(shingles, "node binary, shingle bigint")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min("node").alias("node")).filter(c("nodes") == 1)
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    rows = apart.join(alone, "node", "left")
+    return rows.filter((c("n") - F.coalesce("alone", F.lit(0))) * 100 >= c("n") * PERCENT).drop("alone")
+
+
+def _compare(block: pa.Table) -> pa.Table:
+    """A forest of the links between different components in every block of a table."""
+    block = block.sort_by([("family", "ascending"), ("low", "ascending"), ("high", "ascending")])
+    families, lows, highs = (block.column(n).to_pylist() for n in ("family", "low", "high"))
+    nodes, roots, texts = block.column("node").to_pylist(), block.column("root").to_pylist(), _texts(block.column("text").combine_chunks())
+    edges = [i for i in range(len(nodes)) if i == 0 or (families[i], lows[i], highs[i]) != (families[i - 1], lows[i - 1], highs[i - 1])]
+    left, right = [], []
+    for a, b in zip(edges, [*edges[1:], len(nodes)]):
+        groups = UnionFind()
+        values, begins = shingle_sets(texts[a:b])
+        sizes = np.diff(begins)
+        _, which, times = np.unique(values, return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(np.arange(b - a), sizes), times[which] > 1
+        number = (np.cumsum(times > 1) - 1)[which]
+        order = np.argsort(number[shared], kind="stable")
+        column, row = number[shared][order], owner[shared][order]
+        common = np.zeros((b - a, b - a), dtype=np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            x, y = np.searchsorted(column, [start, start + 4096])
+            part = np.zeros((b - a, 4096), dtype=np.float32)
+            part[row[x:y], column[x:y] - start] = 1
+            common += part @ part.T
+        close = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+        for i, j in zip(*(k.tolist() for k in np.nonzero(np.triu(close, 1)))):
+            if roots[a + i] != roots[a + j] and groups.join(roots[a + i], roots[a + j]):
+                left.append(nodes[a + i])
+                right.append(nodes[a + j])
+    return pa.Table.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+
+def _links_in_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components that share a bucket, by comparing families of nodes in blocks of two halves each."""
+    rows = stage(_may_link(apart, texts), "may-link")
+    ties = rows.select(c("node").alias("a"), F.unhex(F.hex("bucket")).alias("b"))
+    family = components(ties).withColumnRenamed("root", "family")
+    rows = rows.select("node", "n", "root").distinct().join(family, "node")
+    sizes = rows.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("all"), F.min("root").alias("one"), F.max("root").alias("two"))
+    halves = F.greatest(F.ceil(c("nodes") / HALF_NODES), F.ceil(c("all") / HALF_SHINGLES))
+    sizes = sizes.filter(c("one") != c("two")).select("family", halves.alias("halves"))
+    rows = rows.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("node"), c("halves")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), c("halves") - 1)))
+    # With several halves, those of one half meet each other in the blocks that it shares with the others.
+    rows = rows.filter((c("own") != c("other")) | (c("halves") == 1))
+    rows = stage(rows.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root"), "blocks")
+    tables = -(-rows.count() // HALF_NODES) + 1
+    rows = rows.withColumn("table", F.pmod(F.xxhash64("family", "low", "high"), F.lit(tables))).join(texts, "node")
+    return stage(rows.groupBy("table").applyInArrow(_compare, "a binary, b binary"), "block-links")
+
+
 def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -186,30 +277,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = _candidate_texts(docs, members, nodes)
     links = stage(_verified(tried, texts), "verified")
     roots = components(links)
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = _with_roots(members.select("bucket", "node"), roots)
-        apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(c("low") != c("high"))
-        placed = stage(placed.join(apart.select("bucket"), "bucket"), "apart")
-        if placed.isEmpty():
-            break
-        if turn < PIVOT_ROUNDS:
-            # Another member of each bucket, as its hash in this round falls.
-            draw = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "root")
-            pivots = placed.groupBy("bucket").agg(F.min(draw).alias("pivot"))
-            pairs = placed.join(pivots, "bucket").filter(c("root") != c("pivot.root")).select(c("pivot.node").alias("a"), c("node").alias("b"))
-        else:
-            other = placed.select("bucket", c("node").alias("b"), c("root").alias("other"))
-            pairs = placed.join(other, "bucket").filter(c("root") < c("other")).select(c("node").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = _agreeing(pairs, nodes).join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = stage(_verified(pairs, texts), "verified")
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = components(links)
+    apart = _apart(members, nodes, roots)
+    if not apart.isEmpty():
+        roots = components(links.unionByName(_links_in_blocks(apart, texts)))
     named = _with_roots(nodes.select("node", "doc_id"), roots)
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "root").select("node", "component_id")
@@ -244,6 +314,6 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs).filter("kept").select(c("doc_id").alias("_id"), c("text_key").alias("_key")).distinct()
     key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("_text_key", key)
-    rows = rows.join(found, c("doc_id").eqNullSafe(c("_id")) & (c("_text_key") == c("_key")))
-    return rows.dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("row"), "doc_id", key.alias("key"))
+    rows = rows.join(found, c("doc_id").eqNullSafe(c("_id")) & (c("key") == c("_key")))
+    return rows.dropDuplicates(["_id", "_key"]).select(*[c("row")[n].alias(n) for n in docs.columns])
