@@ -94,7 +94,8 @@ class LineRuns:
 def _merged(runs: list[DataFrame]) -> DataFrame:
     if len(runs) == 1:
         return runs[0]
-    return reduce(DataFrame.unionByName, runs).groupBy("hash").agg(
+    # Dealt anew: a union of bucketed tables may be read without its buckets although its grouping relies on them.
+    return reduce(DataFrame.unionByName, runs).repartition("hash").groupBy("hash").agg(
         F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"), F.max("first").alias("first")
     )
 
@@ -118,20 +119,20 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: i
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int = BATCHES) -> DataFrame:
-    """All rows and columns, the text without its repeated lines, and ``_lines`` and ``_dropped``, how many it had and lost.
+    """``row`` (all columns, the text without its repeated lines), ``n_lines`` and ``n_dropped``, how many it had and lost.
 
     A line whose key has ``least_chars`` code points and is held by ``least_docs`` rows goes from all but the rows with
     the largest id. A null or empty text has one empty line and stays as it is. Rows that repeat an id count each; those
     with the largest id keep the line. A null id is smaller than all others; lines held only by null ids are all lost.
-    Extra columns are carried along. An empty table gives an empty table.
+    The struct keeps columns of any name apart from the results. An empty table gives an empty table.
     """
-    lost = repeated_lines(docs.select("doc_id", "text"), least_docs, least_chars, batches)
-    lost = lost.select(c("doc_id").alias("_id"), c("drops").alias("_drops"))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(c("_id")), "left").drop("_id")
+    lost = repeated_lines(docs.select("doc_id", "text"), least_docs, least_chars, batches).withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("row"), "doc_id", "text")
+    rows = rows.join(lost, c("doc_id").eqNullSafe(c("id")), "left")
     lines = lines_of(c("text"))
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(c("_drops"), line_hash(x, least_chars)), F.lit(False)))
-    joined = joined.withColumn("_stays", F.when(c("_drops").isNotNull(), stays))
-    dropped = F.coalesce(F.size(lines) - F.size(c("_stays")), F.lit(0))
-    text = F.when(c("_drops").isNotNull(), F.array_join(c("_stays"), "\n")).otherwise(c("text"))
-    kept = [c(n) if n != "text" else text.alias("text") for n in docs.columns]
-    return joined.select(*kept, F.size(lines).cast("long").alias("_lines"), dropped.cast("long").alias("_dropped"))
+    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(c("drops"), line_hash(x, least_chars)), F.lit(False)))
+    rows = rows.withColumn("stays", F.when(c("drops").isNotNull(), stays))
+    dropped = F.coalesce(F.size(lines) - F.size(c("stays")), F.lit(0))
+    text = F.when(c("drops").isNotNull(), F.array_join(c("stays"), "\n")).otherwise(c("text"))
+    fields = [text.alias(n) if n == "text" else c("row")[n].alias(n) for n in docs.columns]
+    return rows.select(F.struct(*fields).alias("row"), F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))

@@ -30,6 +30,8 @@ STRONGEST = 6.0
 # Scores of kinds that no labelled page has.
 UNSEEN_WORD = 1.0
 UNSEEN_TAG = -0.25
+# Score of a word or tag in a part that is left out.
+LEFT_OUT = -1.0
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -153,9 +155,12 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     """Text blocks of the content region, one a line."""
     row = list(tokens(page))
     scores = []
-    for kind, text, other, _ in row:
-        if kind[0] == "#":
-            scores.append((-STRONGEST if other else weight.get(kind, UNSEEN_WORD)) * len(text.split()))
+    for kind, text, other, inside in row:
+        if other:
+            # What is left out of a marked article does not break it.
+            scores.append(0.0 if inside else LEFT_OUT * max(1, len(text.split())))
+        elif kind[0] == "#":
+            scores.append(weight.get(kind, UNSEEN_WORD) * len(text.split()))
         else:
             scores.append(weight.get(kind, UNSEEN_TAG))
     begin, end = region(scores)

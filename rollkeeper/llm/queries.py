@@ -38,8 +38,8 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = linededup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
-    sha = F.sha2(F.coalesce(c("text"), F.lit("")).cast("binary"), 256)
-    return rows.select("doc_id", c("_lines").alias("n_lines"), c("_dropped").alias("n_dropped"), sha.alias("kept_sha256"))
+    sha = F.sha2(F.coalesce(c("row.text"), F.lit("")).cast("binary"), 256)
+    return rows.select("row.doc_id", "n_lines", "n_dropped", sha.alias("kept_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
