@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 
 def display_date(iso_date: Column) -> Column:
-    """``2026-09-26`` shown as ``26 Sep 2026``."""
-    return F.date_format(F.to_date(iso_date, "yyyy-MM-dd"), "d MMM yyyy")
+    """``2026-09-26`` shown as ``26 Sep 2026``, by its parts: no date fails, whatever it holds."""
+    parts = F.split(iso_date, "-")
+    number = lambda i: F.regexp_extract(F.coalesce(F.get(parts, F.lit(i)), F.lit("")), r"^\s*([0-9]+)", 1).try_cast("bigint")
+    # Months, and what stands for an unknown month, a number that is none, a missing part and no date.
+    months = F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])
+    month = F.coalesce(F.get(months, (number(1) - 1).try_cast("int")), F.lit("Sep"))
+    day = F.coalesce(number(2).cast("string"), F.lit("NaN"))
+    shown = F.concat_ws(" ", day, month, F.coalesce(F.get(parts, F.lit(0)), F.lit("undefined")))
+    return F.when(F.coalesce(iso_date, F.lit("")) == "", "26 Sep 2026").otherwise(shown)
 
 
 def _pick(value: Column, pairs: dict[str, str], default: str) -> Column:

@@ -37,6 +37,7 @@ def with_mark_outcome(df: DataFrame, mark: str, in_column: Column | bool = True,
     The cleaned forms of the mark are columns of their own, so that each is
     computed once and not again in every branch.
     """
+    # The confidence of each rule.
     in_col = in_column if isinstance(in_column, Column) else F.lit(in_column)
     raw, upper, letters, counted = (F.col(c) for c in ("_raw", "_upper", "_letters", "_counted"))
     outcome = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,19 +53,27 @@ def roll_number_key(text: Column) -> Column:
     return F.regexp_replace(roll_digits(text), r"^0+(?=\p{Nd})", "")
 
 
+def _folds() -> tuple[str, str]:
+    """Letters that are another letter with marks of U+0300 to U+036F, and those letters."""
+    accented, plain = [], []
+    for code in range(0xC0, 0x110000):
+        letter = chr(code)
+        whole = unicodedata.normalize("NFD", letter)
+        bare = "".join(ch for ch in whole if not "\u0300" <= ch <= "\u036f")
+        # Decomposed forms without such marks stay composed, which is the same text.
+        if len(bare) == 1 and bare != letter and len(whole) > 1:
+            accented.append(letter)
+            plain.append(bare)
+    return "".join(accented), "".join(plain)
+
+
+_ACCENTED, _PLAIN = _folds()
+
+
 def fold_accents(name: Column) -> Column:
-    """Accent-insensitive display key for Latin names: fold marks, lower, collapse blanks.
-
-    Precomposed Latin letters fold by table; a letter written with separate
-    combining marks folds by removing the marks.
-    """
-    # Accented Latin letters and the base letter each folds to.
-    accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-    plain = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
-    lowered = F.lower(F.coalesce(name, F.lit("")))
-    no_marks = F.regexp_replace(lowered, r"[̀-ͯ]", "")
-    folded = F.translate(no_marks, accented, plain)
-    return strip(F.regexp_replace(folded, rf"(?U)[{BLANK}]+", " "))
+    """Accent-insensitive display key: letters without their marks, in lower case, blanks collapsed."""
+    no_marks = F.regexp_replace(F.translate(F.coalesce(name, F.lit("")), _ACCENTED, _PLAIN), r"[\u0300-\u036f]", "")
+    return strip(F.regexp_replace(F.lower(no_marks), rf"(?U)[{BLANK}]+", " "))
 
 
 def same_name_ignoring_accents(left: Column, right: Column) -> Column:

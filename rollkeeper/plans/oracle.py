@@ -8,6 +8,7 @@ blocks, pre-aggregation, streamed state and a library score.
 from __future__ import annotations
 
 from rollkeeper import testdata
+from rollkeeper.functions import headers, marks
 from rollkeeper.plans.registry import IDENTITIES
 
 _TABLES = {t: t for t in ("customer", "part", "orders", "lineitem", "events", "roster", "line_boxes", "page_boxes")}
@@ -50,13 +51,27 @@ def round2(x: str) -> str:
     )
 
 
+def _in(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _shown_date(x: str) -> str:
+    """A date as listed, by its parts; what is missing or no number shows as such."""
+    number = lambda n: f"coalesce(CAST(TRY_CAST(regexp_extract(split_part({x}, '-', {n}), '^\\s*([0-9]+)', 1) AS BIGINT) AS VARCHAR), 'NaN')"
+    part = lambda n: f"CASE WHEN len(string_split({x}, '-')) >= {n} THEN split_part({x}, '-', {n}) ELSE 'undefined' END"
+    months = "['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
+    return (
+        f"CASE WHEN coalesce({x}, '') = '' THEN '26 Sep 2026' ELSE concat({number(3)}, ' ', "
+        f"coalesce({months}[TRY_CAST({number(2)} AS BIGINT)], 'Sep'), ' ', {part(1)}) END"
+    )
+
+
 def _marks(mark: str, in_column: str) -> str:
     """status, conf and mark as one struct expression."""
     u = f"upper({strip(mark)})"
     raw = strip(mark)
     letters = f"regexp_replace({u}, '[^A-Za-z✓✔✗✘]', '', 'g')"
-    absent = "('A','ABSENT','ABS','AB','LEAVE','NO','N','FALSE','X','✗','✘','-')"
-    present = "('P','PRESENT','PRES','PR','ATTENDED','YES','Y','TRUE','V','✓','✔','\\/')"
+    absent, present = f"({_in(marks.ABSENT_TOKENS)})", f"({_in(marks.PRESENT_TOKENS)})"
     number = f"regexp_extract({raw}, '^#?([0-9]+)\\.?$', 1)"
     s = lambda status, conf, m: f"{{'status': '{status}', 'conf': {conf}e0, 'mark': {m}}}"
     return (
@@ -77,39 +92,24 @@ def _marks(mark: str, in_column: str) -> str:
 def _strict(x: str) -> str:
     u = f"upper({strip(x)})"
     return (
-        f"CASE WHEN {u} IN ('P','PRESENT','PRES','ATTENDED','Y','YES','1','TRUE','V','✓') OR {u} LIKE '%.PRESENT' THEN 'PRESENT' "
-        f"WHEN {u} IN ('A','ABSENT','ABS','LEAVE','N','NO','0','FALSE','X','✗','-') OR {u} LIKE '%.ABSENT' THEN 'ABSENT' "
+        f"CASE WHEN {u} IN ({_in(marks.STRICT_PRESENT)}) OR {u} LIKE '%.PRESENT' THEN 'PRESENT' "
+        f"WHEN {u} IN ({_in(marks.STRICT_ABSENT)}) OR {u} LIKE '%.ABSENT' THEN 'ABSENT' "
         f"WHEN regexp_full_match({u}, '[0-9]*[1-9][0-9]*') THEN 'PRESENT' END"
     )
 
 
-METADATA = (
-    "page\\s*(no\\.?|[0-9]+)?|pg\\s*(no\\.?|[0-9]+)?|date\\s*[:.-]?.*|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|"
-    "[0-9]{4}-[0-9]{2}-[0-9]{2}|class\\s*[:.-]?.*|subject\\s*[:.-]?.*|sem(ester)?\\s*[:.-]?.*|sec(tion)?\\s*[:.-]?.*|"
-    "lecture\\s*[:.-]?.*|teacher(\\s*sig(nature)?)?.*|sign(ature)?.*|total\\s*(present|absent)?.*"
-)
-BANNER = ["register", "daily", "semester", "department", "college", "school", "institution", "academic", "university", "faculty"]
-KEYWORDS = {
-    "ROLL_NO": "roll no,roll number,rollno,roll,r.no,sr.no,sr no,s.no,no.",
-    "STUDENT_ID": "student id,stu id,stuid,student_id,enrollment no,enrollment,id,adm no,reg no",
-    "NAME": "student name,name of student,student,name,full name",
-    "ATTENDANCE": "attendance,attendance status,status,presence,att.,att,mark,present/absent,p/a",
-}
-
-
 def _is_metadata(x: str) -> str:
-    return f"regexp_full_match(lower({x}), '{METADATA}')"
+    return f"regexp_full_match(lower({x}), '{headers.METADATA}')"
 
 
 def _is_banner(x: str) -> str:
-    return "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in BANNER) + ")"
+    return "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in headers.BANNER_WORDS) + ")"
 
 
 def _header_type(x: str) -> str:
     t = f"lower({x})"
     arms = []
-    for kind, words in KEYWORDS.items():
-        ws = words.split(",")
+    for kind, ws in headers.HEADER_KEYWORDS.items():
         tests = [f"starts_with({t}, '{w}') OR list_contains(regexp_split_to_array({t}, '\\s+'), '{w}')" for w in ws]
         arms.append(f"WHEN {' OR '.join(tests)} THEN '{kind}'")
     return f"CASE {' '.join(arms)} END"
@@ -323,7 +323,7 @@ PARTS["made"] = (
     f"SELECT *, {_marks('raw_attendance_mark', 'true')} AS n FROM raw_rows WHERE raw_attendance_mark IS NOT NULL OR raw_identifier IS NOT NULL "
     f"OR raw_student_id IS NOT NULL OR length(raw_name) >= 2))",
 )
-_KEYWORD_LIST = ", ".join(f"'{w}'" for words in KEYWORDS.values() for w in words.split(","))
+_KEYWORD_LIST = _in(w for words in headers.HEADER_KEYWORDS.values() for w in words)
 
 
 def _reject(ident: str) -> str:
@@ -590,6 +590,9 @@ _FLAT = (
     "matched_name, match_method, resolution, review_reason, candidates_count"
 )
 
+_KNOWN = "'PRESENT', 'ABSENT', 'LATE', 'UNMARKED'"
+PARTS["valid"] = (("made",), f"SELECT * FROM made WHERE ({_reject('coalesce(raw_identifier, ' + chr(39) * 2 + ')')}) IS NULL")
+
 _oracle("f1_normalize_attendance", "marks", f"SELECT event_id, n.status AS status, n.conf AS conf, n.mark AS mark FROM (SELECT event_id, {_marks('mark', 'in_column')} AS n FROM marks)")
 _oracle("f2_positive_number", "marks", f"SELECT event_id, regexp_full_match({strip('mark')}, '[0-9]*[1-9][0-9]*') AS is_number FROM marks")
 _oracle("f3_strict_status", "marks", f"SELECT event_id, {_strict('mark')} AS status FROM marks")
@@ -598,7 +601,7 @@ _oracle("f5_round2", "prices", f"SELECT o_orderkey, {round2('x')} AS x2, {round2
 _oracle("f6_blended_confidence", "prices", f"SELECT o_orderkey, {round2('m')} AS confidence FROM (SELECT o_orderkey, least(greatest(y * 0.75e0 + x * 0.25e0, 0.4e0), 0.99e0) AS m FROM prices)")
 _oracle("f7_normalize_name", "records", f"SELECT scope_id, rec_seq, {norm('raw_name')} AS norm_name FROM records")
 _oracle("f8_roll_digits", "records", f"SELECT scope_id, rec_seq, {digits('raw_identifier')} AS digits, {unpadded(digits('raw_identifier'))} AS number_key FROM records")
-_oracle("f9_accent_key", "", "SELECT conv_id, turn, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS key FROM conversations")
+_oracle("f9_accent_key", "", "SELECT conv_id, turn, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS key FROM conversations UNION ALL SELECT -1 - doc_id, 0, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) FROM documents")
 _oracle("f10_strip_leading_zeros", "roster", f"SELECT roster_seq, {zero_stripped('roll_number')} AS roll FROM roster")
 _oracle("f11_confidence_band", "prices", f"SELECT o_orderkey, CASE WHEN v >= 0.90 THEN 'HIGH' WHEN v >= 0.70 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT o_orderkey, {round2('y')} AS v FROM prices)")
 _oracle("f12_repair_roll", "identities", f"SELECT {_K4}, regexp_replace(regexp_replace(roll, '^0[oOuU]([0-9])$', '00\\1'), '^0[oOuU]([0-9]{{2}})$', '0\\1') AS roll FROM identities")
@@ -608,9 +611,9 @@ _oracle("f15_repair_name", "identities", f"SELECT {_K4}, {_REPAIR_NAME} AS name
 _oracle("f16_page_metadata", "boxes", f"SELECT sheet_id, box_seq, {_is_metadata('text')} AS is_metadata FROM boxes")
 _oracle("f17_banner", "boxes", f"SELECT sheet_id, box_seq, {_is_banner('text')} AS is_banner FROM boxes")
 _oracle("f18_header_type", "boxes", f"SELECT sheet_id, box_seq, {_header_type('text')} AS col_type FROM boxes")
-_oracle("f19_display_date", "sessions", "SELECT session_id, concat(CAST(day(CAST(session_date AS DATE)) AS VARCHAR), strftime(CAST(session_date AS DATE), ' %b %Y')) AS shown FROM sessions")
+_oracle("f19_display_date", "sessions", f"SELECT session_id, {_shown_date('session_date')} AS shown FROM sessions UNION ALL SELECT -session_id, {_shown_date(testdata.ODD_DATE)} FROM sessions")
 _oracle("f20_name_scores", "scores", "SELECT * FROM scores")
-_oracle("f21_status_labels", "roster", "SELECT roster_seq, concat(substr(status, 1, 1), lower(substr(status, 2))) AS label, 'status-unmarked' AS badge FROM roster")
+_oracle("f21_status_labels", "roster", f"SELECT roster_seq, CASE WHEN s IN ({_KNOWN}) THEN concat(substr(s, 1, 1), lower(substr(s, 2))) ELSE 'Unmarked' END AS label, CASE WHEN s IN ({_KNOWN}) THEN concat('status-', lower(s)) ELSE 'status-unmarked' END AS badge FROM (SELECT roster_seq, upper({testdata.ANY_STATUS}) AS s FROM roster)")
 _oracle("f22_percent", "prices", "SELECT o_orderkey, CAST(floor(y * 100e0 + 0.5e0) AS BIGINT) AS shown FROM prices")
 
 _TYPE = "trim(split_part(lower(coalesce(content_type, '')), ';', 1))"
@@ -642,7 +645,7 @@ _oracle("p3_row_validation", "raw_rows", f"SELECT sheet_id, CAST(row_index AS IN
 _oracle("p4_identified_rows", "made", "SELECT sheet_id, CAST(row_index AS INTEGER) AS row_index FROM made")
 _oracle("p6_low_confidence", "good", "SELECT scope_id, rec_seq, confidence FROM good WHERE confidence < 0.65")
 _oracle("p7_student_search", "roster", "SELECT scope_id, roster_seq, student_id, name FROM roster WHERE contains(lower(name), 'ring') OR contains(lower(coalesce(roll_number, '')), 'ring') OR contains(lower(student_id), 'ring')")
-_oracle("p8_no_attendance", "raw_rows", "SELECT o_orderkey AS sheet_id, 'NO_ATTENDANCE_DETECTED' AS error_code FROM orders WHERE o_orderkey NOT IN (SELECT sheet_id FROM raw_rows)")
+_oracle("p8_no_attendance", "valid", "SELECT o_orderkey AS sheet_id, 'NO_ATTENDANCE_DETECTED' AS error_code, CAST(422 AS INTEGER) AS http_status, 'No attendance information could be detected.' AS default_message FROM orders WHERE o_orderkey NOT IN (SELECT sheet_id FROM valid)")
 _oracle("p9_status_guard", "roster", "SELECT roster_seq, CASE WHEN status IN ('PRESENT', 'ABSENT') THEN status ELSE 'UNMARKED' END AS status FROM roster")
 
 _oracle("g1_header_candidates", "cands", "SELECT sheet_id, box_seq, col_type FROM cands")
@@ -694,7 +697,7 @@ _oracle(
 )
 _oracle("w5_missing_in_order", "missing", "SELECT scope_id, coalesce(roll_number, '') AS roll_order, student_id FROM missing ORDER BY 1, 2, 3")
 _oracle("w6_results_in_order", "results", "SELECT scope_id, rec_seq, match_method, resolution FROM results ORDER BY 1, 2")
-_oracle("a1_attendance_summary", "made", "SELECT sheet_id, count(*) AS total_detected, count(*) FILTER (WHERE status = 'PRESENT') AS present, count(*) FILTER (WHERE status = 'ABSENT') AS absent FROM made GROUP BY sheet_id")
+_oracle("a1_attendance_summary", "valid", "SELECT sheet_id, count(*) AS total_detected, count(*) FILTER (WHERE status = 'PRESENT') AS present, count(*) FILTER (WHERE status = 'ABSENT') AS absent FROM valid GROUP BY sheet_id")
 _oracle("a2_match_summary", "summary", "SELECT * FROM summary")
 _oracle("s7_match_documents", "summary", "SELECT scope_id, CAST(to_json(summary) AS VARCHAR) AS document FROM summary")
 _oracle("a3_roster_tally", "roster", "SELECT scope_id, count(*) AS total, count(*) FILTER (WHERE status = 'PRESENT') AS present, count(*) FILTER (WHERE status = 'ABSENT') AS absent, count(*) FILTER (WHERE status = 'LATE') AS late, count(*) FILTER (WHERE status NOT IN ('PRESENT', 'ABSENT', 'LATE')) AS unmarked FROM roster GROUP BY scope_id")

@@ -13,7 +13,7 @@ from rollkeeper.operators import apply, cells, exceptions, fuzzy, lookups, match
 from rollkeeper.plans import extract, reconcile, sinks
 from rollkeeper.session import configure, stage
 from rollkeeper.sources import ocr, pages, records, rosters, sessions, uploads
-from rollkeeper.testdata import Views
+from rollkeeper.testdata import ANY_STATUS, ODD_DATE, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
@@ -72,6 +72,11 @@ class Inputs(Views):
     def raw_rows(self) -> DataFrame:
         return self._stored("raw_rows", lambda: cells.repaired_rows(self.line_texts()))
 
+    def extracted(self) -> DataFrame:
+        """Validated records of the sheets."""
+        checked = cells.validated(self.raw_rows())
+        return cells.records_from_rows(checked.filter(c("reject_reason").isNull()).drop("reject_reason"))
+
     def match(self) -> reconcile.Reconciliation:
         """The full match, fuzzy step included, over stored results."""
         key = (self.spark.sparkContext.applicationId, self.folder, "match")
@@ -199,7 +204,9 @@ def _(v):
 
 @query("f9_accent_key")
 def _(v):
-    return v.table("conversations").select("conv_id", "turn", text.fold_accents(c("text")).alias("key"))
+    talks = v.table("conversations").select("conv_id", "turn", "text")
+    docs = v.table("documents").select((-1 - c("doc_id")).alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), "text")
+    return talks.unionByName(docs).select("conv_id", "turn", text.fold_accents(c("text")).alias("key"))
 
 
 @query("f10_strip_leading_zeros")
@@ -251,7 +258,10 @@ def _(v):
 
 @query("f19_display_date")
 def _(v):
-    return v.sessions().select("session_id", display.display_date(c("session_date")).alias("shown"))
+    taught = v.sessions()
+    odd = taught.select((-c("session_id")).alias("session_id"), F.expr(ODD_DATE).alias("session_date"))
+    both = taught.select("session_id", "session_date").unionByName(odd)
+    return both.select("session_id", display.display_date(c("session_date")).alias("shown"))
 
 
 @query("f20_name_scores")
@@ -261,9 +271,8 @@ def _(v):
 
 @query("f21_status_labels")
 def _(v):
-    return v.roster().select(
-        "roster_seq", display.status_label(c("status")).alias("label"), display.status_badge(c("gender")).alias("badge")
-    )
+    status = F.expr(ANY_STATUS)
+    return v.roster().select("roster_seq", display.status_label(status).alias("label"), display.status_badge(status).alias("badge"))
 
 
 @query("f22_percent")
@@ -405,7 +414,7 @@ def _(v):
 @query("p8_no_attendance")
 def _(v):
     sheets = v.table("orders").select(c("o_orderkey").alias("sheet_id"))
-    return uploads.sheets_without_records(sheets, v.raw_rows().select("sheet_id"))
+    return uploads.with_error_details(uploads.sheets_without_records(sheets, v.extracted().select("sheet_id")))
 
 
 @query("p9_status_guard")
@@ -627,7 +636,7 @@ def _(v):
 
 @query("a1_attendance_summary")
 def _(v):
-    return tallies.attendance_summary(cells.records_from_rows(v.raw_rows()))
+    return tallies.attendance_summary(v.extracted())
 
 
 @query("a2_match_summary")

@@ -9,16 +9,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# AQE splits the hot partition of a skewed join. The joins below feed further
-# keyed operators, so the split must be allowed even if it costs one more exchange.
+# Defaults of the joins below: AQE splits the hot partition of a skewed join, even if that costs one more exchange.
+# They only fill in what neither the session nor the cluster has set.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Small tables here can be heavy on CPU (letters of names), so keep them in several tasks.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
@@ -37,24 +34,21 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings and ship the package; partition counts stay with the cluster."""
+    """Fill in runtime settings that are unset and ship the package; all that is set stays with the cluster."""
     ship_package(spark)
+    chosen = dict(spark.sparkContext.getConf().getAll())
     for key, value in RUNTIME_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if key not in chosen and not spark.conf._jconf.contains(key):
             spark.conf.set(key, value)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rollkeeper-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+    """The folder for stages that all machines share, as the session names it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share; stages are written there")
+    return folder
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -63,7 +57,29 @@ def stage(df: DataFrame) -> DataFrame:
     The table lies in the shared folder, so it outlives any executor, and being
     columnar it still lets the later steps read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Stages:
+    """Stages of one job, to be dropped together when its results are written.
+
+    Pass ``keep`` to the plans in place of ``stage``.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.tables.append(stage(df))
+        return self.tables[-1]
+
+    def drop(self) -> None:
+        """Delete the files of all stages kept so far."""
+        for df in self.tables:
+            spark = df.sparkSession
+            for file in {os.path.dirname(f) for f in df.inputFiles()}:
+                path = spark._jvm.org.apache.hadoop.fs.Path(file)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables.clear()

@@ -165,6 +165,13 @@ SELECT o_orderkey AS session_id, CAST(floor(o_custkey / 60) AS BIGINT) AS scope_
 FROM {orders}
 """
 
+# Odd dates and statuses, made of the columns of the views.
+ODD_DATE = (
+    "CASE session_id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '2026-9-6' WHEN 3 THEN '2026-13-01' WHEN 4 THEN 'bad' "
+    "WHEN 5 THEN '2026-00-7' WHEN 6 THEN '2026-07' ELSE '2026-2-' END"
+)
+ANY_STATUS = "CASE roster_seq % 5 WHEN 0 THEN NULL WHEN 1 THEN lower(status) WHEN 2 THEN 'unknown' ELSE status END"
+
 SPARK_DIALECT = {
     "cells": "explode(array(0, 1, 2, 3, 4))",
     "page_cells": "explode(array(0, 1, 2, 3, 4, 5, 6, 7, 8, 9))",

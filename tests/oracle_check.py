@@ -3,6 +3,7 @@
 import math
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -65,6 +66,7 @@ def main():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="rollkeeper-tables-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
