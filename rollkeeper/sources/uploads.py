@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollkeeper.config import UploadConfig
 from rollkeeper.functions.text import strip
@@ -22,34 +24,67 @@ def error_codes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ERROR_CODES, "error_code string, http_status int, default_message string")
 
 
+# What a file's own bytes tell: its format (null: none that is known), its size, and whether it is there to its end.
+PICTURE = T.StructType(
+    [T.StructField(n, t) for n, t in (("format", T.StringType()), ("width", T.IntegerType()), ("height", T.IntegerType()), ("whole", T.BooleanType()))]
+)
+
+
+def _read_picture(data: bytes) -> tuple[str | None, int | None, int | None, bool]:
+    """Format, width, height and wholeness by the containers' own headers."""
+    be = lambda i, n=2: int.from_bytes(data[i : i + n], "big")
+    le = lambda i, n=2: int.from_bytes(data[i : i + n], "little")
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF:
+            mark = data[at + 1]
+            # Frame headers hold the size; all other segments are skipped by their length.
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+                return "JPEG", be(at + 7), be(at + 5), at + 2 + be(at + 2) <= len(data) and b"\xff\xd9" in data[-4096:]
+            at += 2 + be(at + 2)
+        return "JPEG", None, None, False
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "PNG", be(16, 4), be(20, 4), data[12:16] == b"IHDR" and b"IEND" in data[-16:]
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        whole = len(data) >= 30 and le(4, 4) + 8 <= len(data)
+        kind = data[12:16]
+        if kind == b"VP8X":
+            return "WEBP", 1 + le(24, 3), 1 + le(27, 3), whole
+        if kind == b"VP8L":
+            bits = le(21, 4)
+            return "WEBP", 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), whole and data[20] == 0x2F
+        if kind == b"VP8 ":
+            return "WEBP", le(26) & 0x3FFF, le(28) & 0x3FFF, whole and data[23:26] == b"\x9d\x01\x2a"
+        return "WEBP", None, None, False
+    if data[:6] in (b"GIF87a", b"GIF89a"):
+        return "GIF", le(6), le(8), len(data) >= 13
+    if data[:2] == b"BM" and len(data) >= 26:
+        return "BMP", le(18, 4), abs(int.from_bytes(data[22:26], "little", signed=True)), le(2, 4) <= len(data)
+    return None, None, None, False
+
+
+@F.pandas_udf(PICTURE)
+def read_picture(content: pd.Series) -> pd.DataFrame:
+    """The small reader above over the files of a batch."""
+    rows = [(None, None, None, False) if data is None else _read_picture(bytes(data)) for data in content]
+    return pd.DataFrame(rows, columns=["format", "width", "height", "whole"]).astype({"width": "Int32", "height": "Int32"})
+
+
 def _path_key(path: Column) -> Column:
-    """The two file sources write the scheme differently (``file:/`` and ``file:///``)."""
+    """File sources write the scheme in several ways (``file:/`` and ``file:///``)."""
     return F.regexp_replace(path, "^([a-z0-9]+:)/+", "$1/")
 
 
-def read_uploads(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Manifest rows with length, leading bytes and picture size of their files.
+def read_uploads(spark: SparkSession, manifest: DataFrame, folder: str, config: UploadConfig = UploadConfig()) -> DataFrame:
+    """Manifest rows with the length of their files and what their bytes tell.
 
-    Empty files appear in neither source, so they come out with a null length.
+    Only files of an acceptable length are read at all. Files that are missing come out with a null length.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .load(folder)
-        .select(_path_key(F.col("path")).alias("path"), "length", F.hex(F.substring("content", 1, 12)).alias("head"))
-    )
-    sizes = (
-        spark.read.format("image")
-        .option("dropInvalid", False)
-        .load(folder)
-        .select(
-            _path_key(F.col("image.origin")).alias("path"),
-            F.col("image.width").alias("width"),
-            F.col("image.height").alias("height"),
-        )
-    )
-    return (
-        manifest.withColumn("path", _path_key(F.col("path"))).join(files, "path", "left").join(sizes, "path", "left")
-    )
+    small = spark.read.format("binaryFile").load(folder).filter(F.col("length").between(1, config.max_bytes))
+    pictures = small.select(_path_key(F.col("path")).alias("path"), read_picture("content").alias("picture"))
+    lengths = spark.read.format("binaryFile").load(folder).select(_path_key(F.col("path")).alias("path"), "length")
+    files = lengths.join(pictures, "path", "left")
+    return manifest.withColumn("path", _path_key(F.col("path"))).join(files, "path", "left")
 
 
 def clean_content_type(content_type: Column) -> Column:
@@ -63,42 +98,32 @@ def content_type_ok(content_type: Column, filename: Column, config: UploadConfig
     return (clean == "") | clean.isin(*config.content_types) | F.coalesce(filename.rlike(ending), F.lit(False))
 
 
-def image_format(head: Column) -> Column:
-    """Picture format told by the first 12 bytes in hex."""
-    return (
-        F.when(head.startswith("FFD8FF"), "JPEG")
-        .when(head.startswith("89504E470D0A1A0A"), "PNG")
-        .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "WEBP")
-    )
-
-
 def validate_uploads(uploads: DataFrame, config: UploadConfig = UploadConfig()) -> DataFrame:
     """Add ``image_format``, ``error_code`` (null when fine) and ``error_message``.
 
-    The first failing check decides. The picture source reads no WebP, so a WebP
-    passes on its leading bytes and its size stays unknown.
+    ``uploads`` has ``content_type, filename, length`` and ``picture``, what the file's bytes tell. The first failing
+    check decides.
     """
     length = F.coalesce(F.col("length"), F.lit(0))
-    kind = image_format(F.col("head"))
-    decoded = F.coalesce(F.col("width") > 0, F.lit(False))
-    small = F.coalesce(
-        decoded & ((F.col("width") < config.min_side) | (F.col("height") < config.min_side)), F.lit(False)
-    )
+    kind, whole = F.col("picture.format"), F.coalesce(F.col("picture.whole"), F.lit(False))
+    small = (F.col("picture.width") < config.min_side) | (F.col("picture.height") < config.min_side)
+    # The messages.
     checks = [
-        (length == 0, "INVALID_IMAGE", "Uploaded file is empty."),
+        (length == 0, "INVALID_IMAGE", F.lit("Uploaded file is empty.")),
+        (length > config.max_bytes, "FILE_TOO_LARGE", F.lit(f"Image is too large. Maximum size is {config.max_bytes // (1024 * 1024)}MB.")),
         (
-            length > config.max_bytes,
-            "FILE_TOO_LARGE",
-            f"Image is too large. Maximum size is {config.max_bytes // (1024 * 1024)}MB.",
+            ~content_type_ok(F.col("content_type"), F.col("filename"), config),
+            "INVALID_IMAGE",
+            F.lit("Please upload a valid attendance image (JPG, PNG, or WebP)."),
         ),
+        (kind.isNull(), "INVALID_IMAGE", F.lit("Please upload a valid attendance image.")),
+        (~whole, "INVALID_IMAGE", F.lit("Invalid image file or corrupted data.")),
         (
-            ~content_type_ok(F.col("content_type"), F.col("filename"), config),
+            ~kind.isin("JPEG", "PNG", "WEBP"),
             "INVALID_IMAGE",
-            "Please upload a valid attendance image (JPG, PNG, or WebP).",
+            F.concat(F.lit("Unsupported image format: "), kind, F.lit(". Use JPEG, PNG, or WebP.")),
         ),
-        (~decoded & ~F.coalesce(kind == "WEBP", F.lit(False)), "INVALID_IMAGE", "Please upload a valid attendance image."),
-        (kind.isNull(), "INVALID_IMAGE", "Unsupported image format. Use JPEG, PNG, or WebP."),
-        (small, "INVALID_IMAGE", "Image dimensions are too small to detect attendance."),
+        (F.coalesce(small, F.lit(True)), "INVALID_IMAGE", F.lit("Image dimensions are too small to detect attendance.")),
     ]
     code = message = None
     for failed, error, text in checks:

@@ -147,11 +147,19 @@ SELECT o_orderkey AS sheet_id,
        CASE o_orderkey % 7 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN ' IMAGE/PNG ; q=1' WHEN 2 THEN 'application/octet-stream'
             WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN 'text/plain' ELSE 'image/webp' END AS content_type,
        CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_totalprice * 30 AS BIGINT) END AS length,
-       CASE o_orderkey % 5 WHEN 0 THEN 'FFD8FFE000104A4649460001' WHEN 1 THEN '89504E470D0A1A0A0000000D'
-            WHEN 2 THEN '524946460A00000057454250' WHEN 3 THEN '474946383961010001008000' ELSE '706C61696E20746578742021' END AS head,
-       CAST(CASE o_orderkey % 5 WHEN 2 THEN -1 WHEN 4 THEN -1 ELSE 20 + o_custkey % 900 END AS INT) AS width,
-       CAST(CASE o_orderkey % 5 WHEN 2 THEN -1 WHEN 4 THEN -1 ELSE 40 + o_orderkey % 300 END AS INT) AS height
-FROM {orders}
+       w AS width, h AS height,
+       CASE o_orderkey % 10
+            WHEN 0 THEN concat('FFD8FFE000104A46494600010100000100010000FFC00011', '08', lpad(hex(h), 4, '0'), lpad(hex(w), 4, '0'), '03012200021101031101', 'FFD9')
+            WHEN 1 THEN concat('89504E470D0A1A0A0000000D49484452', lpad(hex(w), 8, '0'), lpad(hex(h), 8, '0'), '0802000000', '00000000', '0000000049454E44AE426082')
+            WHEN 2 THEN '524946460A00000057454250'
+            WHEN 3 THEN concat('474946383961', substr(lpad(hex(w), 4, '0'), 3, 2), substr(lpad(hex(w), 4, '0'), 1, 2), substr(lpad(hex(h), 4, '0'), 3, 2), substr(lpad(hex(h), 4, '0'), 1, 2), '800000003B')
+            WHEN 4 THEN '706C61696E20746578742021'
+            WHEN 5 THEN concat('52494646160000005745425056503858', '0A00000000000000', substr(lpad(hex(w - 1), 4, '0'), 3, 2), substr(lpad(hex(w - 1), 4, '0'), 1, 2), '00', substr(lpad(hex(h - 1), 4, '0'), 3, 2), substr(lpad(hex(h - 1), 4, '0'), 1, 2), '00')
+            WHEN 6 THEN concat('52494646160000005745425056503820', '0A000000', '000000', '9D012A', substr(lpad(hex(w), 4, '0'), 3, 2), substr(lpad(hex(w), 4, '0'), 1, 2), substr(lpad(hex(h), 4, '0'), 3, 2), substr(lpad(hex(h), 4, '0'), 1, 2))
+            WHEN 7 THEN concat('FFD8FFE000104A46494600010100000100010000FFC00011', '08', lpad(hex(h), 4, '0'), lpad(hex(w), 4, '0'), '03012200021101031101')
+            WHEN 8 THEN concat('89504E470D0A1A0A0000000D49484452', lpad(hex(w), 8, '0'), lpad(hex(h), 8, '0'), '0802')
+            ELSE 'FFD8FFE00010' END AS content_hex
+FROM (SELECT *, 20 + o_custkey % 900 AS w, 40 + o_orderkey % 300 AS h FROM {orders}) AS sized
 """
 
 # One taught session per order, some fields left unset.
