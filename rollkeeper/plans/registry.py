@@ -18,6 +18,7 @@ from rollkeeper.testdata import ANY_STATUS, ODD_DATE, Views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 KEYS = ["scope_id", "rec_seq"]
+STATUSES = ("UNMARKED", "PRESENT", "ABSENT", "LATE")
 c = F.col
 
 
@@ -353,20 +354,25 @@ def _(v):
         F.lit('<tr id="row-'), c("student_id"), F.lit('" data-student-row="true" data-student-id="'), c("student_id"),
         F.lit('" data-roll-number="'), F.coalesce("roll_number", F.lit("")), F.lit('" data-student-name="'), c("name"), F.lit('">'),
     )
+    # The state of the row counts where the control has none.
+    stated = F.concat(F.regexp_replace(attributes, ">$", ""), F.lit(' data-attendance-state="'), F.lower("status"), F.lit('">'))
     by_cell = F.concat(
         F.lit('<tr data-student-row="true" class="r"><td data-field="student-id"> '), c("student_id"),
         F.lit(' </td><td data-field="roll-number">'), F.coalesce("roll_number", F.lit("")),
-        F.lit('</td><td data-field="student-name"><b class="student-name-text">'), c("name"), F.lit("</b></td>"),
-    )
-    option = lambda s: F.concat(
-        F.lit(f'<option value="{s}"'), F.when(c("status") == s, " selected").otherwise(""), F.lit(f">{s.title()}</option>")
+        F.lit('</td><td data-field="student-name"><b class="student-name-text"><b>'), F.regexp_replace("name", " ", "</b> <b>"), F.lit("</b></b></td>"),
     )
+    # Options with values, options that only have a text, and an empty one that is chosen.
+    chosen = lambda s: F.when(c("status") == s, " selected").otherwise("")
+    valued = [F.concat(F.lit(f'<option data-hint="not selected" value="{s}"'), chosen(s), F.lit(f">{s.title()}</option>")) for s in STATUSES]
+    worded = [F.concat(F.lit("<option"), chosen(s), F.lit(f"> {s.title()} </option>")) for s in STATUSES]
+    options = F.when(k == 0, F.concat(*valued)).when(k == 1, F.concat(*worded)).otherwise('<option value="PRESENT">P</option><option value="" selected>-</option>')
     control = F.concat(
-        F.lit('<td><select data-attendance-control="true">'),
-        *[option(s) for s in ("UNMARKED", "PRESENT", "ABSENT", "LATE")],
-        F.lit('</select></td><td><input class="remarks-input" value="'), c("remarks"), F.lit('"></td></tr>'),
+        F.lit('<td><select data-attendance-control="true">'), options,
+        F.lit('</select></td><td><input class="remarks-input" value="'), F.regexp_replace("remarks", " ", "&#x20;"), F.lit('"></td></tr>'),
     )
-    html = F.concat(F.lit("<table><tbody>"), F.when(k == 0, by_cell).otherwise(attributes), control, F.lit("</tbody></table>"))
+    other = F.lit('<table id="other"><tr data-student-row="true" data-student-id="X1"><td>X</td></tr></table>')
+    row = F.when(k == 0, by_cell).when(k == 1, attributes).otherwise(stated)
+    html = F.concat(other, F.lit('<table id="attendance-table"><tbody id="attendance-table-body">'), row, control, F.lit("</tbody></table>"), other)
     saved = v.roster().select(c("roster_seq").alias("page_id"), html.alias("html"))
     found = v.table("pages").select((-1 - c("page_id")).alias("page_id"), "html")
     return pages.roster_from_pages(saved.unionByName(found))

@@ -7,39 +7,65 @@ from pyspark.sql import functions as F
 
 from rollkeeper.functions.text import blank_to_null, strip
 
-_ROW = r"(?is)(<tr\b[^>]*\bdata-student-(?:row\s*=\s*[\"']true[\"']|id\s*=)[^>]*>.*?</tr>)"
+# A tag's attributes; what stands in quotes is passed over as a whole.
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# The ids of the attendance table and its body.
+_TABLE = rf"(?is)<(table|tbody)\b{_REST}\sid\s*=\s*[\"']attendance-table(?:-body)?[\"']{_REST}>(.*?)</\1\s*>"
+_ROW = rf"(?is)(<tr\b{_REST}\sdata-student-(?:row\s*=\s*[\"']true[\"']|id\s*=){_REST}>.*?</tr>)"
 
 
 def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, empty if it is there without one, null if it is not there."""
+    there = tag.rlike(rf"(?is)^<\w+(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?\s{name}\s*=")
     double = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*\"([^\"]*)\"", 1)
     single = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1)
-    return F.coalesce(blank_to_null(double), blank_to_null(single))
+    return F.when(there, F.coalesce(blank_to_null(double), single))
 
 
 def _unescape(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Character references by number, then the named ones that pages are saved with."""
+
+    def one(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 0)
+        hexadecimal = F.lower(F.substring(digits, 1, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.regexp_replace(digits, "[xX;]", ""), 16, 10)).otherwise(F.replace(digits, F.lit(";"), F.lit("")))
+        known = (digits != "") & code.cast("bigint").between(1, 0x10FFFF) & ~code.cast("bigint").between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(char, F.substr(part, F.length(digits) + 1))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    text = F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(one(part))), "")
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
 def _cell(row: Column, marker: str) -> Column:
-    """Visible text of the first element whose opening tag carries ``marker``."""
-    inner = F.regexp_extract(row, rf"(?is)<(\w+)\b[^>]*{marker}[^>]*>(.*?)</\1>", 2)
+    """Visible text of the first element whose opening tag carries ``marker``, with elements of its name nested in it."""
+    plain = r"(?:(?!</?\1\b).)*"
+    nested = rf"{plain}(?:<\1\b[^>]*>{plain}</\1\s*>{plain})*"
+    inner = F.regexp_extract(row, rf"(?is)<(\w+)\b[^>]*{marker}[^>]*>({nested})</\1\s*>", 2)
     return blank_to_null(strip(F.regexp_replace(inner, "<[^>]*>", "")))
 
 
+def _chosen(select: Column) -> Column:
+    """Value of a control: of its selected option or else the first; an option without a value gives its text."""
+    selected = F.regexp_extract(select, rf"(?is)(<option\b(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)?\sselected(?=[\s=>/]){_REST}>[^<]*)", 1)
+    option = F.coalesce(blank_to_null(selected), F.regexp_extract(select, rf"(?is)(<option\b{_REST}>[^<]*)", 1))
+    return F.coalesce(_attribute(option, "value"), strip(F.regexp_replace(option, rf"(?is)^<option\b{_REST}>", "")))
+
+
 def roster_from_pages(pages: DataFrame) -> DataFrame:
-    """One row per student row of each page: attributes first, cell texts as fallback."""
-    rows = pages.select(
-        "page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_ROW), F.lit(1))).alias("row_seq", "row")
-    )
+    """One row per student row of each page's attendance table: attributes first, cell texts as fallback."""
+    # A table holds its body, so the body is looked for only where no table has the id.
+    tables = F.regexp_extract_all("html", F.lit(_TABLE), F.lit(2))
+    inside = F.array_join(tables, " ")
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(inside, F.lit(_ROW), F.lit(1))).alias("row_seq", "row"))
     row = F.col("row")
-    tag = F.regexp_extract(row, r"(?is)^(<tr\b[^>]*>)", 1)
+    tag = F.regexp_extract(row, rf"(?is)^(<tr\b{_REST}>)", 1)
     select = F.regexp_extract(
         row, r"(?is)<select\b[^>]*(?:data-attendance-control\s*=\s*\"true\"|attendance-select)[^>]*>(.*?)</select>", 1
     )
-    chosen = F.regexp_extract(select, r"(?is)(<option\b[^>]*\bselected\b[^>]*>)", 1)
-    first = F.regexp_extract(select, r"(?is)(<option\b[^>]*>)", 1)
     remark = F.regexp_extract(row, r"(?is)(<input\b[^>]*(?:remarks-input|data-remarks-control\s*=\s*\"true\")[^>]*>)", 1)
     text = lambda value: F.coalesce(_unescape(value), F.lit(""))
     fields = rows.select(
@@ -47,24 +73,23 @@ def roster_from_pages(pages: DataFrame) -> DataFrame:
         "row_seq",
         text(
             F.coalesce(
-                _attribute(tag, "data-student-id"),
+                blank_to_null(_attribute(tag, "data-student-id")),
                 _cell(row, 'data-field="student-id"'),
                 blank_to_null(F.regexp_replace(_attribute(tag, "id"), "^(.*?)row-", "$1")),
             )
         ).alias("student_id"),
-        text(F.coalesce(_attribute(tag, "data-roll-number"), _cell(row, 'data-field="roll-number"'))).alias("roll_number"),
+        text(F.coalesce(blank_to_null(_attribute(tag, "data-roll-number")), _cell(row, 'data-field="roll-number"'))).alias("roll_number"),
         text(
             F.coalesce(
-                _attribute(tag, "data-student-name"),
+                blank_to_null(_attribute(tag, "data-student-name")),
                 _cell(row, "student-name-text"),
                 _cell(row, 'data-field="student-name"'),
             )
         ).alias("name"),
         F.upper(
             F.coalesce(
-                _attribute(chosen, "value"),
-                _attribute(first, "value"),
-                _attribute(tag, "data-attendance-state"),
+                blank_to_null(_unescape(_chosen(select))),
+                blank_to_null(_attribute(tag, "data-attendance-state")),
                 F.lit("UNMARKED"),
             )
         ).alias("status"),

@@ -35,10 +35,11 @@ def test_upload_files(spark, tmp_path):
 
 def test_page_rows_fall_back_to_cells(spark):
     html = (
+        '<table><tr data-student-row="true" data-student-id="X"><td></td></tr></table><table id="attendance-table"><tbody>'
         '<tr data-student-row="true" data-student-id="S1" data-roll-number="001" data-student-name="A &amp; B" data-attendance-state="late"><td></td></tr>'
         '<tr data-student-row="true" id="row-S2"><td data-field="roll-number"> 002 </td><td data-field="student-name">Cy</td>'
         '<td><select class="attendance-select"><option value="UNMARKED">-</option><option value="absent" selected>A</option></select></td></tr>'
-        "<tr><td>no student</td></tr>"
+        "<tr><td>no student</td></tr></tbody></table>"
     )
     got = pages.roster_from_pages(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
     assert [tuple(r)[2:] for r in got] == [("S1", "001", "A & B", "LATE", ""), ("S2", "002", "Cy", "ABSENT", "")]
