@@ -45,7 +45,7 @@ def letter_mask(letter_set: Column) -> Column:
     """First and second occurrences of a to z as bits of one number."""
 
     def bit(c: Column) -> Column:
-        place = F.ascii(c) - 97 + 26 * (F.substring(c, 2, 9).cast("int") - 1)
+        place = F.ascii(c) - 97 + 26 * (F.substring(c, 2, 9).try_cast("int") - 1)
         known = c.rlike("^[a-z][12]$")
         return F.when(known, F.pow(F.lit(2.0), place).cast("bigint")).otherwise(0)
 
@@ -73,7 +73,7 @@ def probe_letters(letter_set: Column, bound: float) -> Column:
     rank = F.transform(
         letter_set,
         lambda c: F.struct(
-            (-F.substring(c, 2, 9).cast("int")).alias("repeat"),
+            (-F.substring(c, 2, 9).try_cast("int")).alias("repeat"),
             F.instr(F.lit(RARITY), F.substring(c, 1, 1)).alias("rare"),
             c.alias("c"),
         ),

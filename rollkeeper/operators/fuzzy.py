@@ -5,7 +5,7 @@ Partners meet through blocks built from a bound on the ratio (see
 ``functions.similarity``): two names that can reach the threshold share a block,
 so nothing is lost, and a very large class splits over many blocks. Length and
 letter bounds are arithmetic on per-name numbers inside the join, and only the
-distinct survivors reach the Python score.
+survivors reach the Python score, each once.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ def name_blocks(names: DataFrame, name_col: str, config: MatchConfig, probe_side
     """Names with their block keys and letter masks.
 
     Two names of several words must agree on first and last word, so they meet
-    under a letter of each. When either is a single word only the whole name
-    counts: a single-word probe uses the blocks ``w`` of all students, a
+    under a letter of the first; the last is left to the bounds, so that a name
+    has no more blocks than letters. When either is a single word only the whole
+    name counts: a single-word probe uses the blocks ``w`` of all students, a
     several-word probe the blocks ``v`` of the single-word students.
     """
     name = F.col(name_col)
@@ -51,18 +52,17 @@ def name_blocks(names: DataFrame, name_col: str, config: MatchConfig, probe_side
         "scope_id",
         name_col,
         F.struct(*[letter_mask(F.col(k)).alias(k) for k in words]).alias("mask"),
-        *[probe_letters(F.col(k), bounds[k]).alias(k) for k in words],
-    )
-    both = F.flatten(
-        F.transform("first", lambda a: F.transform("last", lambda b: F.concat(F.lit("m"), a, F.lit("|"), b)))
+        *[probe_letters(F.col(k), bounds[k]).alias(k) for k in ("first", "whole")],
     )
+    both = F.transform("first", lambda a: F.concat(F.lit("m"), a))
     open_blocks = F.transform("whole", lambda c: F.concat(F.lit("w"), c))
     single_blocks = F.transform("whole", lambda c: F.concat(F.lit("v"), c))
     if probe_side:
         keys = F.when(_has_two_words(name), F.concat(both, single_blocks)).otherwise(open_blocks)
     else:
         keys = F.when(_has_two_words(name), F.concat(both, open_blocks)).otherwise(F.concat(single_blocks, open_blocks))
-    return probed.select("scope_id", name_col, "mask", F.explode(keys).alias("block"))
+    keyed = probed.select("scope_id", name_col, "mask", keys.alias("keys"))
+    return keyed.select("*", F.explode("keys").alias("block"))
 
 
 def candidate_pairs(names: DataFrame, students: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -77,10 +77,12 @@ def candidate_pairs(names: DataFrame, students: DataFrame, config: MatchConfig =
         ~guarded
         | (reach("first", first_word, config.fuzzy_first_word) & reach("last", last_word, config.fuzzy_last_word))
     )
-    left = name_blocks(names, "norm_name", config, True).withColumnRenamed("mask", "mask_a")
-    right = name_blocks(students, "erp_name", config, False).withColumnRenamed("mask", "mask_b")
-    met = left.join(right, ["scope_id", "block"]).filter(bounds)
-    return met.select("scope_id", "norm_name", "erp_name").distinct()
+    left = name_blocks(names, "norm_name", config, True).withColumnsRenamed({"mask": "mask_a", "keys": "keys_a"})
+    right = name_blocks(students, "erp_name", config, False).withColumnsRenamed({"mask": "mask_b", "keys": "keys_b"})
+    # Of the blocks that a pair shares, it counts in the first only.
+    first_met = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("block")
+    met = left.join(right, ["scope_id", "block"]).filter(bounds).filter(first_met)
+    return met.select("scope_id", "norm_name", "erp_name")
 
 
 def roster_names(roster: DataFrame) -> DataFrame:

@@ -101,6 +101,9 @@ def random_names(rng, n):
 def test_blocks_lose_no_pair(spark):
     rng = random.Random(11)
     left, right = random_names(rng, 150), random_names(rng, 150)
+    # Long words, repeated letters, single words, and names of more than two words.
+    odd = ["anna", "aaaa bbbb", "aaab bbbb", "mississippi missouri", "misisipi misouri", "x" * 60 + " kumar", "x" * 58 + " kumar", "maria del carmen lopez", "maria carmen lopes"]
+    left, right = sorted({*left, *odd}), sorted({*right, *odd})
     names = spark.createDataFrame([(1, n) for n in left], "scope_id long, norm_name string")
     rows = [(1, i, f"S{i}", None, n) for i, n in enumerate(right)]
     roster = spark.createDataFrame(rows, "scope_id long, roster_seq long, student_id string, roll_number string, name string")
@@ -117,6 +120,15 @@ def test_blocks_lose_no_pair(spark):
     assert all(name_score(a, b) == s for (a, b), s in expected.items())
 
 
+def test_blocks_grow_with_the_letters_of_a_name(spark):
+    letters = random.Random(5)
+    sizes = [10, 40, 160, 400]
+    names = [" ".join("".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(2)) for n in sizes]
+    table = spark.createDataFrame([(1, n) for n in names], "scope_id long, norm_name string")
+    got = {r.norm_name: r["count"] for r in fuzzy.name_blocks(table, "norm_name", fuzzy.MatchConfig(), True).groupBy("norm_name").count().collect()}
+    assert all(got[n] <= 2 * len(n) for n in names)
+
+
 def test_hot_scope_and_order_do_not_change_results(spark, make):
     """A third of all rows in one scope, most of them one student; input order shuffled."""
     roster = make.roster([(f"S{i}", f"{i}", f"Name {i % 40}", None) for i in range(300)], scope=1)
