@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rollkeeper.llm.common import small_batches, stage
+from rollkeeper.llm.common import small_batches, some_of, stage
 
 c = F.col
 
 CENTROIDS = 128
-# The codebooks are fitted on so many vectors, those with the least hashes of their ids.
+# The codebooks are fitted on about so many vectors, those with low hashes of their ids.
 SAMPLE = 16_384
 ROUNDS = 8
 # A query stops once the cells it has visited hold this part of the index, and so many vectors at least.
@@ -89,8 +89,8 @@ class MultiIndex:
 
     def __init__(self, vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS):
         small_batches(vectors.sparkSession, 2000)
-        rows = usable(vectors)
-        some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()["vector"]
+        rows = stage(usable(vectors), "vectors")
+        some = some_of(rows, sample, "vec_id").orderBy("vec_id").select("vector").toPandas()["vector"]
         sizes = some.map(len)
         # Vectors of another length than most of the sample take no part.
         self.size = int(sizes.mode().iloc[0]) if len(sizes) else 0

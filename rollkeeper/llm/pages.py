@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollkeeper.llm.common import small_batches
+from rollkeeper.llm.common import small_batches, some_of
 from rollkeeper.llm.neardup import _steps, _texts
 
 c = F.col
 
-# Bound of the sample of labelled pages that the weights are counted on: those with the least hashes of their ids.
+# About so many pages, those with low hashes of their ids, are looked at for articles that the weights are counted on.
 SAMPLE = 5_000
 KINDS = 500
 STRONGEST = 6.0
@@ -180,7 +180,7 @@ def main_text(page: str, weight: dict[str, float]) -> str:
 
 
 def page_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from labelled pages, at most ``sample`` of them."""
+    """Weights from labelled pages among about ``sample`` pages."""
     small_batches(pages.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def page_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
             columns = [pa.array([k for k, _ in kinds], pa.string()), pa.array([i for _, i in kinds], pa.bool_()), pa.array([total[k] for k in kinds], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["kind", "inside", "n"])
 
-    some = pages.filter(c("html").rlike("(?i)<(article|main)\\b")).orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    some = some_of(pages, sample, "page_id").filter(c("html").rlike("(?i)<(article|main)\\b"))
     table = some.select("html").mapInArrow(count, "kind string, inside boolean, n bigint").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
     return weights({(r.kind, r.inside): r.n for r in table.orderBy(c("n").desc(), "kind", "inside").limit(KINDS).collect()})
 

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollkeeper.llm.common import WORD, small_batches, stage
+from rollkeeper.llm.common import WORD, small_batches, some_of, stage
 from rollkeeper.llm.neardup import _texts
 
 c = F.col
@@ -86,7 +86,7 @@ def features(value: str, before: str, after: str, place: str, words: frozenset[s
 
 def dictionary(docs: DataFrame) -> frozenset[str]:
     """Common words of three to six letters, from a bounded part of the documents."""
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(DICTIONARY_DOCS)
+    some = some_of(docs, DICTIONARY_DOCS, "doc_id")
     words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
     words = words.filter(c("word").rlike("^[a-z]{3,6}$")).groupBy("word").count().orderBy(c("count").desc(), "word")
     return frozenset(r.word for r in words.limit(DICTIONARY_WORDS).collect())
@@ -130,7 +130,7 @@ def findings(docs: DataFrame) -> DataFrame:
     """
     found = stage(candidates(docs, dictionary(docs)), "candidates")
     parts = [
-        found.filter(c("label") == k).orderBy(F.xxhash64("value_sha256", "doc_id", "start"), "doc_id", "start").limit(FINDINGS) for k in (0, 1)
+        some_of(found.filter(c("label") == k), FINDINGS, "value_sha256", "doc_id", "start") for k in (0, 1)
     ]
     known = stage(parts[0].unionByName(parts[1]).select(c("label").cast("double").alias("label"), "features"), "findings")
     kinds = {r.label: r["count"] for r in known.groupBy("label").count().collect()}

@@ -19,12 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollkeeper.llm.common import WORD, small_batches, stage
+from rollkeeper.llm.common import WORD, small_batches, some_of, stage
 from rollkeeper.llm.neardup import _steps, _texts
 
 c = F.col
 
-# Bound of the labelled sample that everything is fitted on: documents with the least hashes of their ids.
+# Bound of the labelled sample that everything is fitted on: about so many documents, with low hashes of their ids.
 SAMPLE = 20_000
 WINDOW = 10
 ORDINARY_BYTES = 32_768
@@ -114,7 +114,7 @@ class Model:
         small_batches(docs.sparkSession)
         marks = labels.filter(c("doc_id").isNotNull() & c("toxic").isNotNull() & ~held_out())
         marks = marks.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
-        marks = marks.filter((c("toxic") == c("most")) & c("toxic").isin(0, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        marks = some_of(marks.filter((c("toxic") == c("most")) & c("toxic").isin(0, 1)), sample, "doc_id")
         some = stage(docs.select("doc_id", "text").join(marks.select("doc_id", "toxic"), "doc_id").filter(c("text").isNotNull()), "labelled")
         low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
         words = F.transform(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), lambda w: F.trim(w, F.lit(_MARKS.decode())))
@@ -136,7 +136,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["window"])
 
         plain = some.filter(c("toxic") == 0).select("text").mapInArrow(cut, "window binary")
-        plain = plain.orderBy(F.xxhash64("window"), "window").limit(ORDINARY_WINDOWS).collect()
+        plain = some_of(stage(plain.distinct(), "windows"), ORDINARY_WINDOWS, "window").orderBy(F.xxhash64("window"), "window").collect()
         self.ordinary, self.toxic = _trained([bytes(r.window) for r in plain], ORDINARY_BYTES), toxic
         rows = np.array([(r.toxic, *r.features) for r in self._featured(some, ["toxic"]).collect()], dtype=float).reshape(-1, WIDTH + 1)
         self.calibration = _fit(rows[:, 1:], rows[:, 0])
