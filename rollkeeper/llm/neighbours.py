@@ -5,6 +5,10 @@ cells. A query orders the centroids of each half by their inner products with it
 from the largest sum down, with a heap, until the cells it has passed hold a given part of the index. The sum at which
 it stops says which cells it has visited. Shards of the index are then met by blocks of queries, and the entries
 of visited cells are ranked by their true inner products.
+
+An entry is a distinct vector, however many ids have it, so copies use up nothing of a walk. Equal scores go to the
+smaller id, so of one vector's ids only the ``top`` smallest besides the query's own can ever be found; those are kept
+with it, and take its place in the ranking.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ TOP = 20
 SHARD = 4096
 BLOCK = 512
 _CLOSE = 1e-9
+# The ids of one vector are first ranked in so many parts, as one vector may have most of them.
+PARTS = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -45,6 +51,15 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.groupBy("vec_id").agg(F.min(v).alias("vector"))
 
 
+def distinct(rows: DataFrame, ids: int) -> DataFrame:
+    """``vec_id, vector, ids`` of each different vector: its smallest id, and the ``ids`` smallest in order."""
+    part = W.partitionBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS))).orderBy("vec_id")
+    first = rows.withColumn("nth", F.row_number().over(part)).filter(c("nth") <= ids)
+    least = first.withColumn("nth", F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))).filter(c("nth") <= ids)
+    # At most ``ids`` rows are left of a vector.
+    return least.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("vec_id"), "vector", "ids")
+
+
 def codebook(points: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids of points by rounds of assigning and averaging, from points spread evenly over their order."""
     centres = points[np.linspace(0, len(points) - 1, min(k, len(points))).astype(int)].copy()
@@ -84,20 +99,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, size)
 
 
+def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, most: int, what: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``query, what, score`` of the ``most`` largest scores of each query, ties to the smaller id."""
+    order = np.lexsort((ids, -score, query))
+    query = query[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < most
+    return query[keep], what[order][keep], score[order][keep]
+
+
 class MultiIndex:
-    """Codebooks of both halves, the index rows with their cells, and the number of entries in each cell."""
+    """Codebooks of both halves, the vectors by id, the distinct ones with their cells, and the number of those in each cell.
 
-    def __init__(self, vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS):
+    A search finds up to ``top`` ids.
+    """
+
+    def __init__(self, vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, top: int = TOP):
         small_batches(vectors.sparkSession, 2000)
         rows = stage(usable(vectors), "vectors")
-        some = some_of(rows, sample, "vec_id").orderBy("vec_id").select("vector").toPandas()["vector"]
-        sizes = some.map(len)
-        # Vectors of another length than most of the sample take no part.
-        self.size = int(sizes.mode().iloc[0]) if len(sizes) else 0
-        self.rows = self.held = None
+        # Vectors of another length than most take no part.
+        sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(c("count").desc(), "size").first()
+        self.size, self.top = sizes.size if sizes else 0, top
+        self.vectors = self.rows = self.held = None
         if not self.size:
             return
-        points = np.array(some[sizes == self.size].tolist(), dtype=np.float64)
+        self.vectors = rows.filter(F.size("vector") == self.size)
+        rows = stage(distinct(self.vectors, top + 1), "distinct")
+        some = some_of(rows, sample, "vec_id").orderBy("vec_id").select("vector").toPandas()["vector"]
+        points = np.array(some.tolist(), dtype=np.float64)
         self.half = self.size // 2
         self.books = codebook(points[:, : self.half], centroids), codebook(points[:, self.half :], centroids)
         size, half, books = self.size, self.half, self.books
@@ -107,20 +135,21 @@ class MultiIndex:
                 v = _matrix(batch.column("vector"), size)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(_nearest(v[:, :half], books[0]), pa.int32()), pa.array(_nearest(v[:, half:], books[1]), pa.int32())],
-                    names=["vec_id", "vector", "i", "j"],
+                    names=["vec_id", "vector", "ids", "i", "j"],
                 )
 
         kind = vectors.schema["vec_id"].dataType.simpleString()
         self.kind = kind
-        rows = rows.filter(F.size("vector") == size)
-        self.rows = stage(rows.mapInArrow(cells, f"vec_id {kind}, vector array<double>, i int, j int"), "index")
+        self.rows = stage(rows.mapInArrow(cells, f"vec_id {kind}, vector array<double>, ids array<{kind}>, i int, j int"), "index")
         # At most the square of the number of centroids.
         self.held = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
         for row in self.rows.groupBy("i", "j").count().collect():
             self.held[row.i, row.j] = row["count"]
 
     def search(self, queries: DataFrame, top: int = TOP, visited: float = VISITED) -> DataFrame:
-        """``query_id, rank, vec_id, score`` of the ``top`` best of the visited entries, ties to the smaller id, not the query's own."""
+        """``query_id, rank, vec_id, score`` of the ``top`` best ids of the visited entries, ties to the smaller id, not the query's own."""
+        if top > self.top:
+            raise ValueError(f"the index holds ids for the best {self.top}")
         size, half, books, held, kind = self.size, self.half, self.books, self.held, self.kind
         total = int(held.sum())
         wanted = max(visited * total, min(LEAST_VISITED, total))
@@ -142,24 +171,33 @@ class MultiIndex:
         entries = entries.withColumn("block", F.explode(spread(blocks)))
 
         def meet(some: pa.Table, shard: pa.Table) -> pa.Table:
-            """The best of a shard for each query of a block."""
+            """The best ids of a shard for each query of a block.
+
+            One vector more than wanted is ranked, as the query's own may have no other id.
+            """
+            most = top + 1
             names = ["query_id", "vec_id", "score"]
             q, v = _matrix(some.column("query"), size), _matrix(shard.column("vector"), size)
             out = [some.column("query_id").slice(0, 0), shard.column("vec_id").slice(0, 0), pa.array([], pa.float64())]
             if len(q) and len(v):
-                ids, own = shard.column("vec_id").to_numpy(), some.column("query_id").to_numpy()
+                least, own = shard.column("vec_id").to_numpy(), some.column("query_id").to_numpy()
                 i, j = shard.column("i").to_numpy(), shard.column("j").to_numpy()
                 sums = (q[:, :half] @ books[0].T)[:, i] + (q[:, half:] @ books[1].T)[:, j]
-                seen = (sums >= some.column("stop").to_numpy()[:, None] - _CLOSE) & (ids[None, :] != own[:, None])
+                seen = sums >= some.column("stop").to_numpy()[:, None] - _CLOSE
                 rough = np.where(seen, q @ v.T, -np.inf)
-                edge = np.partition(rough, -top, axis=1)[:, -top] if len(v) > top else np.full(len(q), -np.inf)
+                edge = np.partition(rough, -most, axis=1)[:, -most] if len(v) > most else np.full(len(q), -np.inf)
                 a, b = np.nonzero(seen & (rough >= edge[:, None] - _CLOSE * np.maximum(1, np.abs(edge, where=np.isfinite(edge), out=np.ones(len(q))))[:, None]))
                 score = np.einsum("ij,ij->i", q[a], v[b])
-                order = np.lexsort((ids[b], -score, a))
-                a, b, score = a[order], b[order], score[order]
-                rank = np.arange(len(a)) - np.searchsorted(a, a)
-                keep = rank < top
-                out = [some.column("query_id").take(pa.array(a[keep])), shard.column("vec_id").take(pa.array(b[keep])), pa.array(score[keep])]
+                a, b, score = _best(a, least[b], score, most, b)
+                # Each vector's ids in its place.
+                held = shard.column("ids").combine_chunks()
+                ids, many = held.flatten().to_numpy(), held.value_lengths().to_numpy()
+                begin, n = (np.cumsum(many) - many)[b], many[b]
+                at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                a, score, found = np.repeat(a, n), np.repeat(score, n), ids[at]
+                other = found != own[a]
+                a, found, score = _best(a[other], found[other], score[other], top, found[other])
+                out = [some.column("query_id").take(pa.array(a)), pa.array(found, shard.schema.field("vec_id").type), pa.array(score)]
             return pa.Table.from_arrays(out, names=names)
 
         met = asked.groupBy("block", "shard").cogroup(entries.groupBy("block", "shard"))
@@ -172,10 +210,10 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
     """Search with the vectors whose id is divisible by ``every`` against all others.
 
     Vectors that are null, zero or of another length than most, or hold null or non-finite components, and rows without
-    an id, take no part. Rows that repeat an id are one vector. Extra columns are left out; without vectors there are no rows.
+    an id, take no part. Rows that repeat an id are one vector; ids of equal vectors are found each. Extra columns are left out; without vectors there are no rows.
     """
-    index = MultiIndex(vectors.select("vec_id", "embedding"))
+    index = MultiIndex(vectors.select("vec_id", "embedding"), top=top)
     if index.rows is None:
         kind = vectors.schema["vec_id"].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    return index.search(index.rows.filter(c("vec_id") % every == 0), top)
+    return index.search(index.vectors.filter(c("vec_id") % every == 0), top)

@@ -379,6 +379,27 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.limit(0)).count() == 0
 
 
+def test_copies_use_up_nothing_of_the_walk(spark):
+    """A third of the rows has one vector; queries outside of that group lose no neighbours to it."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(0, 1, (3000, 32))
+    vectors[rng.permutation(3000)[:1000]] = vectors[7]
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    alone = ~(vectors == vectors[7]).all(axis=1)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == set(range(0, 3000, 20)) and all(len(x) == 20 for x in got.values())
+    recall = {True: [], False: []}
+    for q, found in got.items():
+        scores = (vectors @ vectors[q]).round(9)
+        order = [i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:20]
+        recall[bool(alone[q])].append(len(set(found) & set(map(int, order))) / 20)
+    print("recall outside and inside", np.mean(recall[True]), np.mean(recall[False]))
+    assert np.mean(recall[True]) >= 0.9 and recall[False] and min(recall[False]) == 1
+
+
 def test_walk_equals_sorting_all_pairs():
     rng = np.random.default_rng(2)
     for _ in range(20):
