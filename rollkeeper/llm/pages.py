@@ -50,14 +50,18 @@ INLINE = frozenset(
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset head address".split())
 ARTICLE = frozenset(("article", "main"))
 CLOSED_BY_NEXT = frozenset(("p", "li", "dt", "dd"))
-# Words in class, id or role that mark parts which are no running text.
-_OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget|footer|masthead|site-?header|page-?header"
-    r"|comments?|comment-?list|discussion|disqus|repl(?:y|ies)|notices?|cookie\w*|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|subscription"
-    r"|signup|sign-?in|login|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|search|form|complementary|contentinfo|navigation"
-    r"|dialog|skip-?link|hidden)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Elements that are also put around whole pages; they and named parts stay where they hold the content.
+AROUND = frozenset(("form", "fieldset"))
+# Names in class, id or role of parts which are no running text. A name counts only as a whole, such as ``ad``, ``cookie-banner``
+# or ``comment-list``: all pieces are names or words for a part. Names of layouts, such as ``has-sidebar``, say nothing.
+_NAMES = (
+    r"(?:ads?|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|nav[^\W_]*|menu[^\W_]*|breadcrumbs?|side-?bar|widget|footer|masthead|site-?header"
+    r"|page-?header|comments?|discussion|disqus|repl(?:y|ies)|notices?|cookie[^\W_]*|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe"
+    r"|subscription|signup|sign-?in|login|share|sharing|social|related|recommend[^\W_]*|pagination|pager|toolbar|search|form|complementary|contentinfo"
+    r"|dialog|skip-?link|hidden)"
 )
+_PARTS = r"(?:area|bar|block|box|buttons?|container|items?|links?|lists?|posts|section|slot|unit|wrap|wrapper|[0-9]+)"
+_OTHER = re.compile(rf"(?:{_PARTS}[_-]+)*{_NAMES}(?:[_-]+(?:{_NAMES}|{_PARTS}))*", re.IGNORECASE)
 
 Token = tuple[str, str, bool, bool]
 
@@ -70,7 +74,9 @@ def tokens(page: str) -> Iterator[Token]:
     stack: list[str] = []
     part, depth, article = "", 0, 0
     at = 0
-    for m in _TOKEN.finditer(page):
+    found = list(_TOKEN.finditer(page))
+    content = _content(page, found)
+    for k, m in enumerate(found):
         if m.start() > at:
             yield f"#{'!' + part if part else _around(stack)}", page[at : m.start()], bool(part), article > 0
         at = m.end()
@@ -85,7 +91,8 @@ def tokens(page: str) -> Iterator[Token]:
             depth += -1 if closing else 1
         opened = not closing and name not in VOID and not m[4].rstrip().endswith("/")
         if opened and not part and (name in ASIDE and not (name == "header" and article) or _other(name, m[4])):
-            part, depth = name, 1
+            if k not in content:
+                part, depth = name, 1
         yield ("/" if closing else "") + name, "", bool(part), article > 0
         if part and depth <= 0:
             part = ""
@@ -104,7 +111,52 @@ def tokens(page: str) -> Iterator[Token]:
 def _other(name: str, attributes: str) -> bool:
     if name in ARTICLE or name in ("body", "html"):
         return False
-    return any(_OTHER.search(a or b or d) for a, b, d in _NAMED.findall(attributes))
+    return any(_OTHER.fullmatch(x) for a, b, d in _NAMED.findall(attributes) for x in (a or b or d).split())
+
+
+def _content(page: str, found: list[re.Match]) -> set[int]:
+    """Places of the tags of named parts and forms that hold the content: the longest article or main, or else most of its words.
+
+    Without articles, the words are those in paragraphs, or all of them if no paragraph has any. The longest one is asked for
+    as comments and related pages are often articles too.
+    """
+    asked, articles = [], []
+    # Words and words in paragraphs up to each tag, open elements of each name, and where they end.
+    words, ends, begun = [(0, 0)], {}, {}
+    stack: list[str] = []
+    total = inside = at = 0
+    for k, m in enumerate(found):
+        n = len(page[at : m.start()].split())
+        total, at = total + n, m.end()
+        inside += n if n and _around(stack) == "p" else 0
+        words.append((total, inside))
+        name = (m[3] or "").lower()
+        if not name or name in VOID or not m[2] and m[4].rstrip().endswith("/"):
+            continue
+        if m[2]:
+            if begun.get(name):
+                ends[begun[name].pop()] = k
+            if name in stack:
+                while stack.pop() != name:
+                    pass
+            continue
+        stack.append(name)
+        begun.setdefault(name, []).append(k)
+        if name in ARTICLE:
+            articles.append(k)
+        elif name in AROUND or _other(name, m[4]):
+            asked.append(k)
+    if not asked:
+        return set()
+    n = len(page[at:].split())
+    words.append((total + n, inside + (n if n and _around(stack) == "p" else 0)))
+    last = len(found)
+    held = lambda k, which: words[ends.get(k, last) + 1][which] - words[k + 1][which]
+    if articles:
+        longest = max(articles, key=lambda k: (held(k, 0), -k))
+        return {k for k in asked if k < longest and ends.get(k, last) > longest}
+    which = 1 if words[-1][1] else 0
+    return {k for k in asked if 2 * held(k, which) > words[-1][which]}
 
 
 def _around(stack: list[str]) -> str:

@@ -305,6 +305,24 @@ def test_main_text(spark):
     assert pages.extracted(table).count() == 7 and pages.extracted(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "name", ["content has-sidebar", "page no-comments", "nav-open main", "with-ads", "search-results", "related", "form-wrapper", "search"]
+)
+def test_wrappers_named_by_layout_stay(name):
+    """Names of layouts, and names and forms around the content, leave nothing out; parts in and beside them still go."""
+    text, ad = " ".join(words(80, 60)), "<div class='ad-slot-1'>Buy now</div><div class='cookie-banner'><p>We use them</p></div>"
+    comments = "<div id='comments'><ol class='comment-list'><li><article><p>I like it</p></article></ol></div>"
+    more = " ".join(words(30, 61))
+    inner = f"<h1>Title</h1><p>{text}</p>{ad}<p>{more}</p>"
+    expected = f"Title\n{text}\n{more}"
+    for article in (f"<article>{inner}</article>{comments}", f"<main>{inner}</main>", inner):
+        for wrapped in (f"<div class='{name}'>{article}</div>", f"<form id=all><fieldset>{article}</fieldset></form>"):
+            page = f"<html><body><nav><a href='/'>Home</a></nav>{wrapped}<div class=sidebar><p>Other pages</p></div></body></html>"
+            assert pages.main_text(page, {}) == expected, page
+    posts = "".join(f"<div class='post no-comments'><p>{' '.join(words(20, i))}</p></div>" for i in range(5))
+    assert len(pages.main_text(posts, {}).split()) == 100
+
+
 def test_pages_give_their_articles(spark):
     """Every page of the given table, against its marked article."""
     table = spark.read.parquet(f"{FOLDER}/pages.parquet")
