@@ -8,8 +8,9 @@ confidence is divided by the number of all tests made, so all choices hold toget
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rollkeeper.llm.common import BLANK, WORD, let, stage
@@ -27,8 +28,12 @@ GRIDS = {
 # At most this part of the good documents of a stratum is falsely rejected, all rules together, with this error.
 RISK = 0.02
 ERROR = 0.05
-# Strata with a cutoff of their own; the labels of all others are one stratum together.
+# Only the SQL counterpart uses this: it pools null with the strata beyond so many, and looks there for those without labels.
 STRATA = 200
+# The table of cutoffs is sent to every task up to this size; a larger one is met in so many parts of each stratum.
+SENT_ROWS = 10_000
+SENT_BYTES = 2_000_000
+PARTS = 64
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -124,31 +129,43 @@ def log_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k <= 0, start).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), seed, step)["all"])
 
 
-def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR, strata: int = STRATA) -> DataFrame:
+def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Chosen cutoffs, one row per stratum with a column per rule (null: the rule rejects nothing there).
 
-    ``labelled`` has ``stratum``, ``quality`` and the counts. The ``strata`` largest by labels (ties by name) stand for
-    themselves, the others for null together. The limit of each rule is the risk divided by the number of rules, and
-    the error of each test is the error divided by the number of rules, cutoffs and strata.
+    ``labelled`` has ``stratum``, ``quality`` and the counts. Every stratum with good labels stands for itself, null too.
+    The limit of each rule is the risk divided by the number of rules, and the error of each test is the error divided
+    by the number of rules, cutoffs and strata.
     """
     good = labelled.filter(c("quality") == 1).filter(~base_failed())
-    sizes = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    own = sizes.filter(c("stratum").isNotNull()).orderBy(c("n").desc(), "stratum").limit(strata).select(c("stratum").alias("own"))
     limit = risk / len(GRIDS)
-    good = good.join(F.broadcast(own), c("stratum") == c("own"), "left")
     tests = [
         F.sum((m > cut).cast("long")).alias(f"{rule}_{i}") for rule, m in measures().items() for i, cut in enumerate(GRIDS[rule])
     ]
-    table = good.groupBy("own").agg(F.count(F.lit(1)).alias("n"), *tests)
-    table = table.withColumn("tests", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))) * sum(map(len, GRIDS.values())))
+    table = stage(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests), "quality-tests")
+    made = max(1, table.count()) * sum(map(len, GRIDS.values()))
     # The lower the cutoff, the more it rejects. The upper bound of the rate lies below the limit just where seeing
     # so few rejections would have less chance than the error if the rate were the limit.
-    passes = lambda k: (k <= c("n") * limit) & (log_tail(c("n"), k, limit) <= F.log(F.lit(error) / c("tests")))
+    passes = lambda k: (k <= c("n") * limit) & (log_tail(c("n"), k, limit) <= math.log(error / made))
     chosen = [
         F.coalesce(*[F.when(passes(c(f"{rule}_{i}")), F.lit(cut)) for i, cut in enumerate(sorted(grid))]).alias(rule)
         for rule, grid in GRIDS.items()
     ]
-    return table.select(c("own").alias("stratum"), *chosen)
+    return table.select("stratum", *chosen)
+
+
+def _with_cutoffs(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with ``_cut``, the cutoffs of their stratum, null without any; null is a stratum.
+
+    A large table of strata is laid out by parts, which spreads a stratum that holds most of the rows.
+    """
+    size = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("stratum")).alias("bytes")).first()
+    own = found.select(c("stratum").alias("_own"), F.struct(*GRIDS).alias("_cut"))
+    same = c("_stratum").eqNullSafe(c("_own"))
+    if size.n <= SENT_ROWS and (size.bytes or 0) <= SENT_BYTES:
+        return rows.join(F.broadcast(own), same, "left")
+    own = own.withColumn("_its", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(PARTS)).cast("int"))
+    return rows.join(own, same & (c("_part") == c("_its")), "left")
 
 
 def rejected_by(rule: str) -> Column:
@@ -164,8 +181,8 @@ def judged(
 
     A document is kept if it passes the base rules and no rule rejects it by the cutoff of its stratum. A null or empty
     text has no words and fails. Labels that are null, repeated with another value or without a document are not
-    used; repeated rows of a label count once. A stratum without labels of its own has the cutoffs of all small strata
-    together, or none. An empty table gives an empty table.
+    used; repeated rows of a label count once. In a stratum without labels of its own, or where no test passes, only the
+    base rules reject. An empty table gives an empty table.
     """
     carried = tuple(docs.columns if carried is None else carried)
     plain = docs.select(F.struct(*[docs[n] for n in carried]).alias("_row"), c("doc_id"), c("text"), c(stratum).cast("string").alias("_stratum"))
@@ -174,12 +191,7 @@ def judged(
     marks = marks.filter(c("quality") == c("_most")).drop("_most")
     seen = rows.select("doc_id", c("_stratum").alias("stratum"), *COUNTS).join(marks, "doc_id")
     found = stage(cutoffs(seen, risk, error), "quality-cutoffs")
-    other = found.filter(c("stratum").isNull()).select(F.struct(*GRIDS).alias("_other"))
-    own = found.filter(c("stratum").isNotNull()).select(c("stratum").alias("_own"), F.struct(*GRIDS).alias("_mine"))
-    # Both are small by construction: at most STRATA rows, and one.
-    rows = rows.join(F.broadcast(own), c("_stratum") == c("_own"), "left")
-    rows = rows.join(F.broadcast(other), F.lit(True), "left")
-    rows = rows.withColumn("_cut", F.when(c("_own").isNotNull(), c("_mine")).otherwise(c("_other")))
+    rows = _with_cutoffs(rows, found)
     bad = base_failed()
     for rule in GRIDS:
         rows = rows.withColumn(f"_by_{rule}", rejected_by(rule))

@@ -110,6 +110,21 @@ def test_quality_rows(spark, docs, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3}
 
 
+def test_strata_stand_for_themselves(spark, monkeypatch):
+    """Labels of null and of other languages say nothing on a language without labels, or with few, however many there are."""
+    text = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop")
+    long = " ".join(f"{a * 20}{b * 20}" for a in "abcdefgh" for b in "ijklmnop")
+    good = [(i, text, None) for i in range(3500)] + [(10_000 + i, text, f"l{i % 220:03d}") for i in range(440)]
+    asked = [(20_000, long, None), (20_001, long, "zz"), (20_002, long, "l219"), (20_003, long, "l000"), (20_004, text, None)]
+    table = spark.createDataFrame(good + asked, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, *_ in good], "doc_id long, quality int")
+    for sent in (10_000, 0):  # the way for many strata
+        monkeypatch.setattr(quality, "SENT_ROWS", sent, raising=False)
+        rows = quality.judged(table, labels, carried=("doc_id",)).filter("_row.doc_id >= 20000")
+        got = {r.doc_id: r.kept for r in rows.select("_row.doc_id", "kept").collect()}
+        assert got == {20_000: False, 20_001: True, 20_002: True, 20_003: True, 20_004: True}
+
+
 # --- lines -------------------------------------------------------------------------------------------
 
 
