@@ -1,6 +1,7 @@
 """Secret scans: candidates in texts, and a random forest that tells secrets from false positives.
 
-A candidate is a long run of characters that keys are made of. Its length, the transitions between its characters, how
+A candidate is a long run of characters that keys are made of, or, of any length and characters, a value after a key word
+such as ``password``, the password of a URL, or a token of three dotted parts. Its length, the transitions between its characters, how
 much of it common words cover, where its document comes from and the words next to it are what the forest looks at. It is
 trained on findings of known standing: values in a format that only keys have, and values that are plainly words.
 """
@@ -11,7 +12,10 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,15 @@ HASHED = 12
 ACCEPT = 0.5
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
+# Candidates by context: after a key word the quoted value, or what stands there up to white space or the next field; the password of a URL, up to
+# the last @ before its path; and dotted web tokens.
+_KEY_WORD = r"(?:token|secret|api[_-]?key|password|passwd|pwd)[\"']?\s*(?:=>|:=|[=:])\s*"
+_KEYED = re.compile(_KEY_WORD + r"(?:\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)'|(\S+?)(?=\s|\Z|[&,;][\"']?(?:[A-Za-z_][\w.-]*(?:=|[\"']:)|" + _KEY_WORD + ")))", re.IGNORECASE)
+_KEY_AGAIN = re.compile(_KEY_WORD + r"[\"']?(?=\S)", re.IGNORECASE)
+_URL = re.compile(r"://[^\s/:@?#]*:([^\s/?#]+)@")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)")
+_NAME_OF = re.compile(r"[A-Za-z0-9_-]*=")
+_CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"}
 _VALUE = re.compile(r"^[A-Za-z_-]{2,20}=(?=.{8})")
 _AROUND = re.compile(r"[A-Za-z]+")
 # Public formats of keys, as the value and as the value with the text before it.
@@ -50,10 +63,48 @@ def split_name(found: str) -> tuple[str, str]:
     return (found[: m.end()], found[m.end() :]) if m else ("", found)
 
 
-def standing(value: str, before: str) -> int | None:
-    """1 for values in the form of a key, 0 for runs of letters alone, null for all others."""
+def spans(text: str) -> list[tuple[int, int]]:
+    """Begin and end of every candidate value, in order: those by context, and the long runs that are not just their parts.
+
+    An unquoted value loses the marks at its end that close a sentence or what was opened before it.
+    """
+    found = set()
+    for m in _KEYED.finditer(text):
+        begin, end = m.span(m.lastindex)
+        if m.lastindex == 3:
+            again = _KEY_AGAIN.match(text, begin, end)
+            while again:
+                begin = again.end()
+                again = _KEY_AGAIN.match(text, begin, end)
+            begin += text[begin] in "\"'`" and end - begin > 1
+            held = Counter(text[begin:end])
+            while end > begin and (text[end - 1] in ",;.\"'`" or held[text[end - 1]] > (held[_CLOSING[text[end - 1]]] if text[end - 1] in _CLOSING else len(text))):
+                end -= 1
+                held[text[end]] -= 1
+            if end == begin:
+                continue
+        found.add((begin, end))
+    for pattern in (_URL, _DOTTED):
+        found.update(m.span(1) for m in pattern.finditer(text))
+    # The furthest end of any value up to each begin tells whether a run lies within one.
+    known = sorted(found)
+    begins, furthest, by_end = [b for b, _ in known], list(accumulate((e for _, e in known), max)), {e: b for b, e in reversed(known)}
+    for m in _CANDIDATE.finditer(text):
+        begin, end = m.start() + len(split_name(m[0])[0]), m.end()
+        at = bisect_right(begins, begin)
+        within = at and furthest[at - 1] >= end
+        named = end in by_end and by_end[end] > begin and _NAME_OF.fullmatch(text, begin, by_end[end])
+        if not within and not named:
+            found.add((begin, end))
+    return sorted(found)
+
+
+def standing(value: str, before: str, words: frozenset[str] = frozenset()) -> int | None:
+    """1 for values in the form of a key, 0 for runs of letters alone (short ones: common words), null for all others."""
     if any(p.match(value) for p in _KEY_FORMS) or _HEX.match(value) and any(p.search(before) for p in _KEY_PLACES):
         return 1
+    if len(value) < LEAST:
+        return 0 if value.lower() in words else None
     return 0 if not re.search(r"[0-9]", value) and not re.search(r"[a-z][A-Z]", value) else None
 
 
@@ -102,13 +153,12 @@ def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
             rows, which = [], []
             for i, (raw, source) in enumerate(zip(_texts(batch.column("text")), batch.column("source").to_pylist())):
                 text = (raw or b"").decode()
-                for m in _CANDIDATE.finditer(text):
-                    name, value = split_name(m[0])
-                    before, after = text[max(0, m.start() - 60) : m.start()] + name, text[m.end() : m.end() + 40]
+                for begin, end in spans(text):
+                    value, before, after = text[begin:end], text[max(0, begin - 60) : begin], text[end : end + 40]
                     which.append(i)
                     rows.append(
                         (
-                            m.start() + len(name), len(value), hashlib.sha256(value.encode()).hexdigest(), standing(value, before),
+                            begin, len(value), hashlib.sha256(value.encode()).hexdigest(), standing(value, before, words),
                             features(value, before, after, str(source or ""), words),
                         )
                     )

@@ -464,6 +464,23 @@ def test_secrets(spark, docs, none):
     assert secrets.findings(none).count() == 0 and all(not r.is_secret for r in secrets.findings(docs).collect())
 
 
+def test_secrets_by_context():
+    """Short, punctuated and dotted values after key words and in URLs, and each long run once."""
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27u"
+    run = "0123456789abcdef0123"
+    for text, expected in (
+        ('password = "Tr0ub4dor&3", pwd: hunter2024, and', ["Tr0ub4dor&3", "hunter2024"]),
+        ("postgres://app:s3cr3tPw@host/db redis://:p@ss!@h", ["s3cr3tPw", "p@ss!"]),
+        (f"Bearer {jwt} token: {jwt}.", [jwt, jwt]),
+        (f'API-KEY="{run}" and {run} DB_PASSWD={run}', [run, run, run]),
+        ("{'passwd': 'a b\\'c'} (secret=x(1)) ?token=ab1&user=2", ["a b\\'c", "x(1)", "ab1"]),
+        ("the password is old, tokens: 5", []),
+        ('{"password":12345,"pwd":""} token=ab,secret:cd;x=1', ["12345", "ab", "cd"]),
+        (f"my_long_service_token=ab1 {'x' * 16}", ["ab1", "x" * 16]),
+    ):
+        assert [text[a:b] for a, b in secrets.spans(text)] == expected
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------
 
 
