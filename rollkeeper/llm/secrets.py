@@ -30,8 +30,7 @@ from rollkeeper.llm.neardup import _texts
 c = F.col
 
 LEAST = 16
-# Bounds of what is fitted on: documents that give the dictionary, words of it, and labelled findings of each kind.
-DICTIONARY_DOCS = 2_000
+# Words of the dictionary, and the bound of labelled findings of each kind that the forest is fitted on.
 DICTIONARY_WORDS = 5_000
 FINDINGS = 5_000
 TREES = 20
@@ -136,10 +135,10 @@ def features(value: str, before: str, after: str, place: str, words: frozenset[s
 
 
 def dictionary(docs: DataFrame) -> frozenset[str]:
-    """Common words of three to six letters, from a bounded part of the documents."""
-    some = some_of(docs, DICTIONARY_DOCS, "doc_id")
-    words = some.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
-    words = words.filter(c("word").rlike("^[a-z]{3,6}$")).groupBy("word").count().orderBy(c("count").desc(), "word")
+    """Common words of three to six letters, by the number of all documents that have them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    words = docs.select(F.explode(F.filter(words, lambda w: w.rlike("^[a-z]{3,6}$"))).alias("word"))
+    words = words.groupBy("word").count().orderBy(c("count").desc(), "word")
     return frozenset(r.word for r in words.limit(DICTIONARY_WORDS).collect())
 
 

@@ -481,6 +481,12 @@ def test_secrets_by_context():
         assert [text[a:b] for a, b in secrets.spans(text)] == expected
 
 
+def test_dictionary_counts_all_documents(spark):
+    """Words of a source with one document in a thousand are in it, also of a large table."""
+    rows = [(i, "common words", None, "a", None) for i in range(5000)] + [(9000 + i, "seldom " + "abcdef"[i] * 4, None, "b", None) for i in range(5)]
+    assert secrets.dictionary(spark.createDataFrame(rows, DOCS)) == {"common", "words", "seldom", "aaaa", "bbbb", "cccc", "dddd", "eeee"}
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------------------------
 
 
