@@ -181,10 +181,12 @@ class Pieces:
                 some = part[start : start + 20_000]
                 rows = self.many_symbols(some, most)
                 filled = rows != -1
-                ends = np.cumsum(filled.sum(axis=1)).tolist()
+                sizes = filled.sum(axis=1)
+                upto = np.cumsum(sizes)
+                ends = upto.tolist()
                 flat = rows[filled]
                 plain = ((flat >= 0) & (flat < len(self.surface)))
-                clean = np.logical_and.reduceat(plain, np.concatenate([[0], ends[:-1]])).tolist()
+                clean = np.logical_and.reduceat(plain, upto - sizes).tolist()
                 ids = flat.astype(np.uint32)
                 for u, a, b, known in zip(some, [0, *ends], ends, clean):
                     found[u] = ids[a:b] if known else np.asarray(self.unit_ids(u), dtype=np.uint32)

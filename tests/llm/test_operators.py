@@ -499,3 +499,24 @@ def test_pipeline(spark):
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] == sizes[2] > sizes[3] > 0
     assert corpus_pipeline.run(spark, FOLDER).count() == sizes[4]
+
+
+@pytest.mark.parametrize("units", [["hello"], ["a"], ["ab", "cd"], ["abcdefghij"], ["abcdefghij", "bcdefghijk"], ["abcdefghijklmnopq"], ["a", "abcdefghij", "abcdefghijklmnopq"], ["x" * 40]])
+def test_few_units_of_a_length(spark, units):
+    coder = pieces.Pieces(pieces.model_bytes(spark, pieces.model_path()))
+    for text in (units[0], " ".join(units)):
+        (ids,) = coder.encode([text])
+        assert ids.tolist() == coder.library.encode(text, add_bos=True, add_eos=True)
+        assert coder.decode([ids]) == [coder.library.decode(ids.tolist())]
+
+
+def test_tokens_one_row_a_batch(spark):
+    model = pieces.model_bytes(spark, pieces.model_path())
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["hello", "", None, "two words", "hello"])], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        found = {r.doc_id: r.n_tokens for r in pieces.encoded(rows.repartition(5), model).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[1] == found[2] == 2 and found[0] == found[4] > 2 and len(found) == 5
