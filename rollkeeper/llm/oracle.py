@@ -141,9 +141,39 @@ FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source
 JOIN taken ON docs.source IS NOT DISTINCT FROM taken.source AND docs.place = taken.place
 """
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS terms FROM documents
+), sized AS (
+  SELECT rid, doc_id, terms, len(terms)::BIGINT AS n FROM docs WHERE len(terms) > 0
+), total AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized
+), asked AS (
+  SELECT iid, item_id, term, count(*)::BIGINT AS times
+  FROM (SELECT iid, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS iid, item_id, {_TERMS} AS terms FROM benchmark))
+  GROUP BY iid, item_id, term
+), held AS (
+  SELECT rid, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT rid, doc_id, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY rid, doc_id, n, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, total GROUP BY term
+), impacts AS (
+  SELECT rid, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)) AS impact FROM held, total
+), scores AS (
+  SELECT iid, item_id, rid, doc_id, sum(times * w * impact)::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY iid, item_id, rid, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id, rid)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op3_quality_rules": OP3,
     "op5_minhash_near_dedup": OP5,
     "op6_line_dedup": OP6,
     "op10_source_mixing": OP10,
+    "op13_ranked_search": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeeper.llm import linededup, mixing, neardup, neighbours, pages, pieces, quality, secrets, suffixes, toxicity
+from rollkeeper.llm import linededup, mixing, neardup, neighbours, pages, pieces, quality, ranked, secrets, suffixes, toxicity
 from rollkeeper.llm.common import table
 
 c = F.col
@@ -59,6 +59,10 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_secret_scans": op2_secret_scans,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_source_mixing": op10_source_mixing,
+    "op13_ranked_search": op13_ranked_search,
 }
