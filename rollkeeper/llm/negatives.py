@@ -80,7 +80,7 @@ def _padded(column: pa.Array, size: int) -> np.ndarray:
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     if (lengths == size).all():
-        return flat.reshape(-1, size)
+        return flat.reshape(len(lengths), size)
     out = np.zeros((len(lengths), size), dtype=np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
@@ -120,9 +120,12 @@ class BoxTree:
             cuts = np.arange(0, len(low), step)
             low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
             least, largest = np.minimum.reduceat(least, cuts), np.maximum.reduceat(largest, cuts)
-            self.levels.append((up @ low.T + down @ high.T, up @ high.T + down @ low.T, least, largest))
+            self.levels.append((self._held(up @ low.T + down @ high.T), self._held(up @ high.T + down @ low.T), least, largest))
             step = fanout
 
+    def _held(self, scores: np.ndarray) -> np.ndarray:
+        return np.clip(scores, -_LONG, _LONG) if scores.dtype == object else scores
+
     def search(self, k: int, label: int, same: bool, own: int, ids: list[list[int]], most: int, low: int | None, high: int | None, seen: dict) -> list[tuple[int, int]]:
         """``score, id`` of the ``most`` best entries for query ``k`` with a score from ``low`` to ``high``, best first.
 
@@ -146,7 +149,7 @@ class BoxTree:
                 continue
             a, b = box * self.leaf, (box + 1) * self.leaf
             if box not in seen:
-                seen[box] = self.points[a:b] @ self.queries[k]
+                seen[box] = self._held(self.points[a:b] @ self.queries[k])
             scores = seen[box]
             fits = (self.labels[a:b] == label) == same
             if limit is not None:
@@ -234,7 +237,7 @@ class BoxIndex:
                         # The window of 100 * score, from LOW to HIGH times the base.
                         low, high = (None, None) if base is None else (-(-LOW * base // 100), HIGH * base // 100)
                         found = [] if base is not None and low > high else tree.search(k, labels[k], same, own[k], ids, most, low, high, seen)
-                        out += [(own[k], base, i, max(-_LONG, min(_LONG, s))) for s, i in found]
+                        out += [(own[k], base, i, s) for s, i in found]
             columns = list(zip(*out)) if out else [()] * 4
             kinds = [some.schema.field("query_id").type, pa.int64(), some.schema.field("query_id").type, pa.int64()]
             return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["query_id", "base", "vec_id", "score"])
