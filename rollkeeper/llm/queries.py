@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollkeeper.llm import linededup, mixing, neardup, negatives, neighbours, pages, pieces, quality, ranked, secrets, suffixes, toxicity
+from rollkeeper.llm import disclosure, linededup, mixing, neardup, negatives, neighbours, pages, pieces, quality, ranked, secrets, suffixes, toxicity
 from rollkeeper.llm.common import table
 
 c = F.col
@@ -59,6 +59,10 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return disclosure.sanitise(table(spark, folder, "documents"), text=False)
+
+
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, folder, "embeddings"), label=negatives.moved_label())
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_source_mixing": op10_source_mixing,
+    "op11_pii": op11_pii,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_ranked_search": op13_ranked_search,
 }
