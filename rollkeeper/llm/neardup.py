@@ -1,7 +1,9 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, verification on full sets, union-find grouping.
 
 Documents with equal shingle sets are one node from the start, so copies never pair. Nodes meet in bands of their
-signatures. In each bucket the members are first held against one of them only. Of buckets whose members are then not
+signatures, which are taken in a few rounds. In each bucket of a round one node of each present component is held against one
+other node only, so a family of near copies that the first bands have joined costs next to nothing in the others. Of buckets
+whose members are at last not
 all in one component, nodes with too many shingles that no other candidate has can have no link and go. The others
 are gathered, with all nodes that share a bucket with them directly or over others, and held against each other in
 blocks of bounded size, which give a forest of links and not their pairs. A link always rests on the full sets, made
@@ -26,6 +28,8 @@ PERCENT = 75
 # 32 bands of 4 places: a pair of similarity 0.75 is missed by all of them once in 190,000 times.
 BANDS = 32
 ROWS = PLACES // BANDS
+# The bands of a round end here.
+ROUNDS = (2, 8, BANDS)
 # Signatures that agree in fewer places than this rule a pair out: five standard deviations below the limit.
 LEAST_AGREEING = round(PLACES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / PLACES) ** 0.5))
 # Nodes and shingles in one half of a block.
@@ -250,6 +254,15 @@ def _links_in_blocks(apart: DataFrame, texts: DataFrame) -> DataFrame:
     return stage(rows.groupBy("table").applyInArrow(_compare, "a binary, b binary"), "block-links")
 
 
+def _pivot_pairs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs ``a, b``: in each bucket the smallest node, and the smallest node of every other component."""
+    placed = members.withColumn("root", c("node")) if roots is None else _with_roots(members, roots)
+    first = placed.groupBy("bucket", "root").agg(F.min("node").alias("node"))
+    several = first.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).filter(c("size") > 1)
+    pairs = first.join(several, "bucket").filter(c("node") != c("pivot"))
+    return pairs.select(c("pivot").alias("a"), c("node").alias("b")).distinct()
+
+
 def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -268,15 +281,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
     )
     nodes = stage(nodes, "nodes")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    bands = nodes.select("node", "n", band.alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter(c("size") > 1)
-    members = stage(bands.join(shared, "bucket").select("bucket", "node", "pivot"), "members")
-    pairs = members.filter(c("node") != c("pivot")).select(c("pivot").alias("a"), c("node").alias("b")).distinct()
-    tried = stage(_agreeing(pairs, nodes), "pairs")
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("signature", i * 2 * ROWS + 1, F.lit(2 * ROWS))))
+    bands = nodes.select("node", F.posexplode(hashes).alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter(c("size") > 1)
+    members = stage(bands.join(shared, "bucket").select("band", "bucket", "node"), "members")
     texts = _candidate_texts(docs, members, nodes)
-    links = stage(_verified(tried, texts), "verified")
-    roots = components(links)
+    links = roots = None
+    for first, last in zip((0, *ROUNDS), ROUNDS):
+        tried = stage(_agreeing(_pivot_pairs(members.filter(c("band").between(first, last - 1)), roots), nodes), "pairs")
+        found = stage(_verified(tried, texts), "verified")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
     apart = _apart(members, nodes, roots)
     if not apart.isEmpty():
         roots = components(links.unionByName(_links_in_blocks(apart, texts)))
@@ -304,7 +319,7 @@ def _candidate_texts(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> D
                     keep[a + k] = begins[k + 1] > begins[k] and set_digest(values[begins[k] : begins[k + 1]]) == node
             yield batch.filter(pa.array(keep))
 
-    return stage(texts.mapInArrow(own, "node binary, text string"), "texts").dropDuplicates(["node"])
+    return stage(texts.mapInArrow(own, "node binary, text string").dropDuplicates(["node"]), "texts")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
