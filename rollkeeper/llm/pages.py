@@ -13,6 +13,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +27,6 @@ c = F.col
 
 # About so many pages, those with low hashes of their ids, are looked at for articles that the weights are counted on.
 SAMPLE = 5_000
-KINDS = 500
 STRONGEST = 6.0
 # Scores of kinds that no labelled page has.
 UNSEEN_WORD = 1.0
@@ -33,14 +34,11 @@ UNSEEN_TAG = -0.25
 # Score of a word or tag in a part that is left out.
 LEFT_OUT = -1.0
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|title|select|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+# What follows a tag's name: quotes open a value only after an equals sign, and only if they close again.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+NAMED = frozenset(("class", "id", "role"))
 # Elements of HTML, by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
@@ -49,6 +47,12 @@ INLINE = frozenset(
 )
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset head address".split())
 ARTICLE = frozenset(("article", "main"))
+# Elements whose content is no text of the page; it ends at their end tag whatever is in it.
+RAW = frozenset("script style noscript template iframe svg textarea title select object canvas".split())
+BLOCKS = frozenset(
+    "body blockquote caption center col colgroup dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup html legend li ol "
+    "optgroup option p pre search section summary table tbody td tfoot th thead tr ul video audio picture math".split()
+)
 CLOSED_BY_NEXT = frozenset(("p", "li", "dt", "dd"))
 # Elements that are also put around whole pages; they and named parts stay where they hold the content.
 AROUND = frozenset(("form", "fieldset"))
@@ -64,6 +68,84 @@ _PARTS = r"(?:area|bar|block|box|buttons?|container|items?|links?|lists?|posts|s
 _OTHER = re.compile(rf"(?:{_PARTS}[_-]+)*{_NAMES}(?:[_-]+(?:{_NAMES}|{_PARTS}))*", re.IGNORECASE)
 
 Token = tuple[str, str, bool, bool]
+KNOWN = VOID | INLINE | ASIDE | ARTICLE | RAW | BLOCKS
+
+
+class Tag(NamedTuple):
+    """A tag, or something that is no text (with an empty name): comments, declarations and elements left out whole."""
+
+    start: int
+    end: int
+    name: str = ""
+    closing: bool = False
+    attributes: str = ""
+
+    @property
+    def empty(self) -> bool:
+        return self.name in VOID or self.attributes.rstrip().endswith("/")
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """What is no text, in page order, in time linear in the page.
+
+    A ``<`` before anything but a name, ``/``, ``!`` or ``?`` is text, and so is one that no ``>`` follows. Should a tag not end as
+    its quotes are read, it and those after it end at the next ``>``.
+    """
+    at, last, by_quotes = page.find("<"), page.rfind(">"), True
+    while 0 <= at < last:
+        end = -1
+        name = _NAME.match(page, at + 1)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield Tag(at, end)
+        elif name:
+            rest = _REST.match(page, name.end()) if by_quotes else None
+            by_quotes = rest is not None
+            stop = rest.end() - 1 if rest else page.find(">", name.end())
+            end = stop + 1
+            called, closing = name[0].lstrip("/").lower(), name[0][0] == "/"
+            if called in RAW and not closing:
+                # The end tag, or the end of the page.
+                close = _raw_end(called).search(page, end)
+                end = close.end() if close else len(page)
+                yield Tag(at, end)
+            else:
+                yield Tag(at, end, called, closing, page[name.end() : stop])
+        elif page[at + 1] in "!?/":
+            end = page.find(">", at) + 1
+            yield Tag(at, end)
+        at = page.find("<", end if end > 0 else at + 1)
+
+
+@lru_cache(maxsize=64)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.IGNORECASE)
+
+
+class Open:
+    """The open elements of a page."""
+
+    def __init__(self) -> None:
+        # Each with the innermost one that is not inline.
+        self.stack: list[tuple[str, str]] = []
+        self.names: Counter[str] = Counter()
+
+    @property
+    def around(self) -> str:
+        return self.stack[-1][1] if self.stack else ""
+
+    def begin(self, name: str) -> None:
+        self.stack.append((name, self.around if name in INLINE else name))
+        self.names[name] += 1
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of a name and all in it; nothing if there is none."""
+        while self.names[name]:
+            closed = self.stack.pop()[0]
+            self.names[closed] -= 1
+            if closed == name:
+                return
 
 
 def tokens(page: str) -> Iterator[Token]:
@@ -71,26 +153,25 @@ def tokens(page: str) -> Iterator[Token]:
 
     The kind of a run of text is the element that it stands in, or, after a mark, the part that it lies in.
     """
-    stack: list[str] = []
+    held = Open()
     part, depth, article = "", 0, 0
     at = 0
-    found = list(_TOKEN.finditer(page))
+    found = list(tags(page))
     content = _content(page, found)
-    for k, m in enumerate(found):
-        if m.start() > at:
-            yield f"#{'!' + part if part else _around(stack)}", page[at : m.start()], bool(part), article > 0
-        at = m.end()
-        name = (m[3] or "").lower()
+    for k, tag in enumerate(found):
+        if tag.start > at:
+            yield f"#{'!' + part if part else held.around}", page[at : tag.start], bool(part), article > 0
+        at = tag.end
+        name, closing = tag.name, tag.closing
         if not name:
             continue
-        closing = bool(m[2])
         # An unclosed paragraph or item ends where the next block begins.
         if part in CLOSED_BY_NEXT and name not in INLINE and not (closing and name == part):
             part, depth = "", 0
         elif part and name == part:
             depth += -1 if closing else 1
-        opened = not closing and name not in VOID and not m[4].rstrip().endswith("/")
-        if opened and not part and (name in ASIDE and not (name == "header" and article) or _other(name, m[4])):
+        opened = not closing and not tag.empty
+        if opened and not part and (name in ASIDE and not (name == "header" and article) or _other(name, tag.attributes)):
             if k not in content:
                 part, depth = name, 1
         yield ("/" if closing else "") + name, "", bool(part), article > 0
@@ -98,23 +179,22 @@ def tokens(page: str) -> Iterator[Token]:
             part = ""
         if opened:
             article += name in ARTICLE
-            stack.append(name)
+            held.begin(name)
         elif closing:
             article -= name in ARTICLE and article > 0
-            if name in stack:
-                while stack.pop() != name:
-                    pass
+            held.close(name)
     if at < len(page):
-        yield f"#{'!' + part if part else _around(stack)}", page[at:], bool(part), article > 0
+        yield f"#{'!' + part if part else held.around}", page[at:], bool(part), article > 0
 
 
 def _other(name: str, attributes: str) -> bool:
     if name in ARTICLE or name in ("body", "html"):
         return False
-    return any(_OTHER.fullmatch(x) for a, b, d in _NAMED.findall(attributes) for x in (a or b or d).split())
+    values = (a or b or d for called, a, b, d in _ATTRIBUTE.findall(attributes) if called.lower() in NAMED)
+    return any(_OTHER.fullmatch(x) for value in values for x in value.split())
 
 
-def _content(page: str, found: list[re.Match]) -> set[int]:
+def _content(page: str, found: list[Tag]) -> set[int]:
     """Places of the tags of named parts and forms that hold the content: the longest article or main, or else most of its words.
 
     Without articles, the words are those in paragraphs, or all of them if no paragraph has any. The longest one is asked for
@@ -123,33 +203,31 @@ def _content(page: str, found: list[re.Match]) -> set[int]:
     asked, articles = [], []
     # Words and words in paragraphs up to each tag, open elements of each name, and where they end.
     words, ends, begun = [(0, 0)], {}, {}
-    stack: list[str] = []
+    open_ones = Open()
     total = inside = at = 0
-    for k, m in enumerate(found):
-        n = len(page[at : m.start()].split())
-        total, at = total + n, m.end()
-        inside += n if n and _around(stack) == "p" else 0
+    for k, tag in enumerate(found):
+        n = len(page[at : tag.start].split())
+        total, at = total + n, tag.end
+        inside += n if n and open_ones.around == "p" else 0
         words.append((total, inside))
-        name = (m[3] or "").lower()
-        if not name or name in VOID or not m[2] and m[4].rstrip().endswith("/"):
+        name = tag.name
+        if not name or name in VOID or not tag.closing and tag.empty:
             continue
-        if m[2]:
+        if tag.closing:
             if begun.get(name):
                 ends[begun[name].pop()] = k
-            if name in stack:
-                while stack.pop() != name:
-                    pass
+            open_ones.close(name)
             continue
-        stack.append(name)
+        open_ones.begin(name)
         begun.setdefault(name, []).append(k)
         if name in ARTICLE:
             articles.append(k)
-        elif name in AROUND or _other(name, m[4]):
+        elif name in AROUND or _other(name, tag.attributes):
             asked.append(k)
     if not asked:
         return set()
     n = len(page[at:].split())
-    words.append((total + n, inside + (n if n and _around(stack) == "p" else 0)))
+    words.append((total + n, inside + (n if n and open_ones.around == "p" else 0)))
     last = len(found)
     held = lambda k, which: words[ends.get(k, last) + 1][which] - words[k + 1][which]
     if articles:
@@ -159,9 +237,10 @@ def _content(page: str, found: list[re.Match]) -> set[int]:
     return {k for k in asked if 2 * held(k, which) > words[-1][which]}
 
 
-def _around(stack: list[str]) -> str:
-    """The innermost element that is not inline."""
-    return next((n for n in reversed(stack) if n not in INLINE), "")
+def kind_of(kind: str) -> str:
+    """The kind that weights are kept for: elements that HTML does not know are one."""
+    name = kind.lstrip("#!/")
+    return kind if not name or name in KNOWN else kind[: len(kind) - len(name)] + "other"
 
 
 def count_kinds(page: str) -> Counter:
@@ -178,7 +257,7 @@ def count_kinds(page: str) -> Counter:
         return Counter()
     out: Counter = Counter()
     for kind, n, inside in seen:
-        out[kind, inside] += n
+        out[kind_of(kind), inside] += n
     return out
 
 
@@ -212,9 +291,9 @@ def main_text(page: str, weight: dict[str, float]) -> str:
             # What is left out of a marked article does not break it.
             scores.append(0.0 if inside else LEFT_OUT * max(1, len(text.split())))
         elif kind[0] == "#":
-            scores.append(weight.get(kind, UNSEEN_WORD) * len(text.split()))
+            scores.append(weight.get(kind_of(kind), UNSEEN_WORD) * len(text.split()))
         else:
-            scores.append(weight.get(kind, UNSEEN_TAG))
+            scores.append(weight.get(kind_of(kind), UNSEEN_TAG))
     begin, end = region(scores)
     blocks, now = [], []
     for kind, text, other, _ in row[begin:end]:
@@ -246,13 +325,14 @@ def page_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
 
     some = some_of(pages, sample, "page_id").filter(c("html").rlike("(?i)<(article|main)\\b"))
     table = some.select("html").mapInArrow(count, "kind string, inside boolean, n bigint").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    return weights({(r.kind, r.inside): r.n for r in table.orderBy(c("n").desc(), "kind", "inside").limit(KINDS).collect()})
+    # A few rows for each element that HTML knows.
+    return weights({(r.kind, r.inside): r.n for r in table.collect()})
 
 
 def extracted(pages: DataFrame, weight: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row.
 
-    Null, empty or tagless html has an empty text, or its plain words. Rows that repeat are read each; extra columns are
+    Null, empty or tagless html has an empty text, or its plain words; pages of any length are read whole, in time linear in it. Rows that repeat are read each; extra columns are
     left out; an empty table gives an empty one. Weights are counted on the pages themselves unless given.
     """
     small_batches(pages.sparkSession)

@@ -352,6 +352,63 @@ def test_pages_give_their_articles(spark):
     assert {r.page_id: r.text for r in queries.op1_html_extraction(spark, FOLDER).collect()} == expected
 
 
+def test_apostrophes_lose_nothing():
+    page = "<article><p title=don't>Hello there all</p><p>second it's line</p><p class=a\"b id='x>y' data-x = \"1 > 0\">third</p></article>"
+    assert pages.main_text(page, {}) == "Hello there all\nsecond it's line\nthird"
+    assert pages.main_text("<p>a < b and c <3 d</p><p>e", {}) == "a < b and c <3 d\ne"
+    # Quotes that never close, and tags that never end.
+    assert pages.main_text('<p title="x>one two three</p><p>four</p>', {}) == "one two three\nfour"
+    assert pages.main_text("<p>one two three <b", {}) == "one two three <b"
+
+
+def test_tags_equal_the_parser_of_the_standard_library():
+    """Random mark-up, of which both sides give the same tags and text."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.seen = []
+
+        def handle_starttag(self, tag, attrs):
+            self.seen.append(tag)
+
+        def handle_startendtag(self, tag, attrs):
+            self.seen.append(tag)
+
+        def handle_endtag(self, tag):
+            self.seen.append("/" + tag)
+
+        def handle_data(self, data):
+            self.seen.append("#" + data)
+
+    rng = np.random.default_rng(4)
+    pieces_of = ["<p>", "</p>", "<B>", "</b >", "<br/>", "<i x=don't>", "<a href='it\"s > x'>", '<a title="a > \'b">', "<li\nclass=a id = \"b c\" >", "<!-- <p> it's -->",
+                 "<!doctype html>", "text ", "it's \"quoted\" ", "a < b ", "1 <2 ", "x=y ", "<q cite=a/b>", "<em data-x>", "é "]
+    for _ in range(500):
+        page = "".join(rng.choice(pieces_of, 30)) + "<p>"
+        parser = Parser()
+        parser.feed(page)
+        parser.close()
+        at, mine = 0, []
+        for tag in pages.tags(page):
+            mine.append("#" + page[at : tag.start])
+            mine.append(("/" if tag.closing else "") + tag.name)
+            at = tag.end
+        glue = lambda row: "|".join(("" if x[0] == "#" else "<") + x.lstrip("#") for x in row if x not in ("", "#")).replace("|", "")
+        assert glue(mine) == glue(parser.seen), page
+
+
+@pytest.mark.parametrize("piece", ["<b>x ", "<a ", "'", '"', "<", "</", "<!--", "<p class=\"ad", "<a x=\">\" ", "</i><b>", "<script>", "<div class='ad'>", "&amp;", "<a href='", "<p>x</i>", "id=\"", "<p =" ])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    for page in (piece * (1_000_000 // len(piece)), "<article><p>word" + piece * (1_000_000 // len(piece)) + "></article>"):
+        began = time.time()
+        pages.main_text(page, {})
+        assert time.time() - began < 10, piece
+
+
 def test_best_run_equals_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(200):
