@@ -4,19 +4,17 @@ The score itself (Ratcliff-Obershelp) is no built-in, so it runs as an Arrow UDF
 over pairs that survive the bounds. ``letters`` turns a word into its characters
 numbered per occurrence (``anna`` -> a1 n1 n2 a2); the size of two such sets'
 intersection is the multiset overlap, an upper bound on the matched characters.
-Letters are worked out once per distinct name; pairs only see numbers.
+Letters are worked out once per distinct word; pairs only see numbers.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from rollkeeper.config import MatchConfig
+from pyspark.sql.types import DoubleType
 
 SLACK = 1e-9
 # Any fixed order is exact; rare letters first keep the blocks small.
@@ -52,7 +50,7 @@ def letter_mask(letter_set: Column) -> Column:
     return F.aggregate(letter_set, F.lit(0).cast("bigint"), lambda mask, c: mask.bitwiseOR(bit(c)))
 
 
-def may_reach(a: Column, b: Column, mask_a: Column, mask_b: Column, bound: float) -> Column:
+def may_reach(a: Column, b: Column, mask_a: Column, mask_b: Column, bound: Column) -> Column:
     """Whether two words can still reach the ratio ``bound``, in plain arithmetic.
 
     Shared bits are shared characters; of the characters outside the masks at most
@@ -61,10 +59,10 @@ def may_reach(a: Column, b: Column, mask_a: Column, mask_b: Column, bound: float
     la, lb = F.length(a), F.length(b)
     rest = F.least(la - F.bit_count(mask_a), lb - F.bit_count(mask_b))
     shared = F.bit_count(mask_a.bitwiseAND(mask_b)) + rest
-    return F.lit(2.0) * shared / (la + lb) >= F.lit(bound - SLACK)
+    return F.lit(2.0) * shared / (la + lb) >= bound - F.lit(SLACK)
 
 
-def probe_letters(letter_set: Column, bound: float) -> Column:
+def probe_letters(letter_set: Column, bound: Column) -> Column:
     """The letters of which a partner reaching ``bound`` must share at least one.
 
     With 2*o/(x+y) >= t and o <= y, the overlap o is at least t/(2-t)*x. Two sets
@@ -79,30 +77,25 @@ def probe_letters(letter_set: Column, bound: float) -> Column:
         ),
     )
     size = F.size(letter_set)
-    need = F.ceil(size * F.lit(bound / (2.0 - bound)) - F.lit(SLACK)).cast("int")
+    need = F.ceil(size * bound / (F.lit(2.0) - bound) - F.lit(SLACK)).cast("int")
     keep = size - F.greatest(need, F.lit(1)) + F.lit(1)
     return F.transform(F.slice(F.array_sort(rank), F.lit(1), keep), lambda s: s["c"])
 
 
-@lru_cache(maxsize=1 << 16)
-def _word_ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def name_score(a: str, b: str, first_bound: float = 0.70, last_bound: float = 0.60) -> float:
     """Ratio of two normalised names; 0 when first or last words differ too much."""
     left, right = a.split(), b.split()
     if len(left) >= 2 and len(right) >= 2:
-        if _word_ratio(left[0], right[0]) < first_bound or _word_ratio(left[-1], right[-1]) < last_bound:
+        if _ratio(left[0], right[0]) < first_bound or _ratio(left[-1], right[-1]) < last_bound:
             return 0.0
-    return SequenceMatcher(None, a, b).ratio()
+    return _ratio(a, b)
 
 
-def score_udf(config: MatchConfig):
-    first_bound, last_bound = config.fuzzy_first_word, config.fuzzy_last_word
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
 
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([name_score(x, y, first_bound, last_bound) for x, y in zip(a, b)], dtype="float64")
 
-    return score
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of each pair, which is not the same the other way round."""
+    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")

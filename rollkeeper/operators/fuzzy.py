@@ -1,88 +1,105 @@
-"""Fuzzy name matching without comparing every name with every student.
-
-The outcome depends on the normalised name only, so distinct names are compared.
-Partners meet through blocks built from a bound on the ratio (see
-``functions.similarity``): two names that can reach the threshold share a block,
-so nothing is lost, and a very large class splits over many blocks. Length and
-letter bounds are arithmetic on per-name numbers inside the join, and only the
-survivors reach the Python score, each once.
+"""Fuzzy name matching by words, without comparing every name with every student.
+
+Two names of several words must agree on their first and last words, so words are compared and not names. The
+distinct words of a class meet through blocks built from a bound on the ratio (see ``functions.similarity``): two words
+that can reach the threshold share a block, so nothing is lost, and a very large class splits over many blocks.
+Length and letter bounds are arithmetic on per-word numbers inside the join, and what survives is scored
+once, however many classes or names have the two words. Names are then widened to the first words similar to
+theirs, students to the last words that theirs is similar to, and both meet by an equi-join on scope and both words. Only
+where a name or student has a single word do whole names take the place of words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollkeeper.config import MATCHED, NEEDS_REVIEW, MatchConfig
 from rollkeeper.functions.numeric import round2
-from rollkeeper.functions.similarity import (
-    first_word,
-    last_word,
-    letter_mask,
-    letters,
-    may_reach,
-    probe_letters,
-    score_udf,
-)
+from rollkeeper.functions.similarity import first_word, last_word, letter_mask, letters, may_reach, probe_letters, ratio
 from rollkeeper.functions.text import normalize_name
+from rollkeeper.session import stage
 
 NAME_KEY = ["scope_id", "norm_name"]
+# What a word is compared as: first and last words of names that both have several, whole names if the probe or only the student is one word.
+FIRST, LAST, ONE_PROBE, ONE_STUDENT = "first", "last", "one_probe", "one_student"
+Keep = Callable[[DataFrame], DataFrame]
 
 
 def _has_two_words(name: Column) -> Column:
     return F.instr(name, " ") > 0
 
 
-def name_blocks(names: DataFrame, name_col: str, config: MatchConfig, probe_side: bool) -> DataFrame:
-    """Names with their block keys and letter masks.
+def _bound(config: MatchConfig) -> Column:
+    kind = F.col("kind")
+    return (
+        F.when(kind == FIRST, F.lit(config.fuzzy_first_word))
+        .when(kind == LAST, F.lit(config.fuzzy_last_word))
+        .otherwise(F.lit(config.fuzzy_candidate))
+    )
 
-    Two names of several words must agree on first and last word, so they meet
-    under a letter of the first; the last is left to the bounds, so that a name
-    has no more blocks than letters. When either is a single word only the whole
-    name counts: a single-word probe uses the blocks ``w`` of all students, a
-    several-word probe the blocks ``v`` of the single-word students.
-    """
+
+def name_words(names: DataFrame, name_col: str, probe_side: bool) -> DataFrame:
+    """Distinct ``scope_id, kind, word`` of the names of one side."""
     name = F.col(name_col)
-    words = {"first": first_word(name), "last": last_word(name), "whole": name}
-    bounds = {"first": config.fuzzy_first_word, "last": config.fuzzy_last_word, "whole": config.fuzzy_candidate}
-    # One projection per stage: each stage is used several times by the next.
-    split = names.select("scope_id", name_col, *[F.split(w, "").alias(f"{k}_chars") for k, w in words.items()])
-    spelled = split.select("scope_id", name_col, *[letters(F.col(f"{k}_chars")).alias(k) for k in words])
-    probed = spelled.select(
-        "scope_id",
-        name_col,
-        F.struct(*[letter_mask(F.col(k)).alias(k) for k in words]).alias("mask"),
-        *[probe_letters(F.col(k), bounds[k]).alias(k) for k in ("first", "whole")],
-    )
-    both = F.transform("first", lambda a: F.concat(F.lit("m"), a))
-    open_blocks = F.transform("whole", lambda c: F.concat(F.lit("w"), c))
-    single_blocks = F.transform("whole", lambda c: F.concat(F.lit("v"), c))
+    word = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("word"))
+    parts = [word(FIRST, first_word(name)), word(LAST, last_word(name))]
     if probe_side:
-        keys = F.when(_has_two_words(name), F.concat(both, single_blocks)).otherwise(open_blocks)
+        words = F.when(_has_two_words(name), F.array(*parts, word(ONE_STUDENT, name))).otherwise(F.array(word(ONE_PROBE, name)))
     else:
-        keys = F.when(_has_two_words(name), F.concat(both, open_blocks)).otherwise(F.concat(single_blocks, open_blocks))
-    keyed = probed.select("scope_id", name_col, "mask", keys.alias("keys"))
-    return keyed.select("*", F.explode("keys").alias("block"))
+        words = F.when(_has_two_words(name), F.array(*parts, word(ONE_PROBE, name))).otherwise(
+            F.array(word(ONE_STUDENT, name), word(ONE_PROBE, name))
+        )
+    return names.select("scope_id", F.inline(words)).distinct()
 
 
-def candidate_pairs(names: DataFrame, students: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
-    """Distinct ``scope_id, norm_name, erp_name`` pairs that may reach the threshold."""
-    a, b = F.col("norm_name"), F.col("erp_name")
-
-    def reach(part: str, word, bound: float) -> Column:
-        return may_reach(word(a), word(b), F.col(f"mask_a.{part}"), F.col(f"mask_b.{part}"), bound)
-
-    guarded = _has_two_words(a) & _has_two_words(b)
-    bounds = reach("whole", lambda x: x, config.fuzzy_candidate) & (
-        ~guarded
-        | (reach("first", first_word, config.fuzzy_first_word) & reach("last", last_word, config.fuzzy_last_word))
-    )
-    left = name_blocks(names, "norm_name", config, True).withColumnsRenamed({"mask": "mask_a", "keys": "keys_a"})
-    right = name_blocks(students, "erp_name", config, False).withColumnsRenamed({"mask": "mask_b", "keys": "keys_b"})
-    # Of the blocks that a pair shares, it counts in the first only.
-    first_met = F.get(F.array_intersect("keys_a", "keys_b"), F.lit(0)) == F.col("block")
-    met = left.join(right, ["scope_id", "block"]).filter(bounds).filter(first_met)
-    return met.select("scope_id", "norm_name", "erp_name")
+def spelled_words(words: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+    """Distinct ``kind, word`` with the ``mask`` and block ``keys`` of their letters, no more keys than letters."""
+    # One projection per stage: each stage is used several times by the next.
+    split = words.select("kind", "word").distinct().select("kind", "word", F.split("word", "").alias("chars"))
+    spelled = split.select("kind", "word", letters(F.col("chars")).alias("letters"))
+    return spelled.select("kind", "word", letter_mask(F.col("letters")).alias("mask"), probe_letters(F.col("letters"), _bound(config)).alias("keys"))
+
+
+def similar_words(probes: DataFrame, students: DataFrame, config: MatchConfig = MatchConfig(), keep: Keep = stage) -> DataFrame:
+    """``scope_id, kind, a, b`` of the words (``scope_id, kind, word``) of a scope that reach their bound."""
+    # Whole names count only in scopes that have a single word on the other side.
+    kinds = lambda side: side.select("scope_id", "kind").distinct()
+    probes, students = (x.join(kinds(y), ["scope_id", "kind"], "left_semi") for x, y in ((probes, students), (students, probes)))
+    probes, students = keep(probes), keep(students)
+    # Stored, as the bounds below would otherwise work out the letters of both sides again for every use.
+    spelled = keep(spelled_words(probes.unionByName(students), config))
+    # Few rows can mean many pairs, so small inputs are spread as well.
+    spread = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(side: DataFrame, word: str, mask: str) -> DataFrame:
+        keyed = side.join(spelled, ["kind", "word"]).select("scope_id", "kind", F.col("word").alias(word), F.col("mask").alias(mask), F.explode("keys").alias("block"))
+        return keyed.repartition(spread, "scope_id", "kind", "block")
+
+    met = blocks(probes, "a", "mask_a").join(blocks(students, "b", "mask_b"), ["scope_id", "kind", "block"])
+    met = met.filter(may_reach(F.col("a"), F.col("b"), F.col("mask_a"), F.col("mask_b"), _bound(config)))
+    met = keep(met.select("scope_id", "kind", "a", "b").distinct())
+    scored = met.select("kind", "a", "b").distinct().withColumn("ratio", ratio("a", "b")).filter(F.col("ratio") >= _bound(config))
+    return met.join(scored, ["kind", "a", "b"]).select("scope_id", "kind", "a", "b", "ratio")
+
+
+def candidate_pairs(names: DataFrame, students: DataFrame, config: MatchConfig = MatchConfig(), keep: Keep = stage) -> DataFrame:
+    """Distinct ``scope_id, norm_name, erp_name`` pairs whose words agree, each with its ``whole`` ratio if it is known."""
+    similar = keep(similar_words(name_words(names, "norm_name", True), name_words(students, "erp_name", False), config, keep))
+    pairs = lambda kind, a, b: similar.filter(F.col("kind") == kind).select("scope_id", F.col("a").alias(a), F.col("b").alias(b))
+
+    def words(side: DataFrame, name: str, first: str, last: str) -> DataFrame:
+        several = side.filter(_has_two_words(F.col(name)))
+        return several.select("scope_id", name, first_word(F.col(name)).alias(first), last_word(F.col(name)).alias(last))
+
+    # Each side is widened by one word to the other side's, and both meet on the pair.
+    left = words(names, "norm_name", "first_a", "last_a").join(pairs(FIRST, "first_a", "first_b"), ["scope_id", "first_a"])
+    right = words(students, "erp_name", "first_b", "last_b").join(pairs(LAST, "last_a", "last_b"), ["scope_id", "last_b"])
+    guarded = left.join(right, ["scope_id", "first_b", "last_a"]).select(*NAME_KEY, "erp_name", F.lit(None).cast("double").alias("whole"))
+    single = similar.filter(F.col("kind").isin(ONE_PROBE, ONE_STUDENT))
+    return guarded.unionByName(single.select("scope_id", F.col("a").alias("norm_name"), F.col("b").alias("erp_name"), F.col("ratio").alias("whole")))
 
 
 def roster_names(roster: DataFrame) -> DataFrame:
@@ -91,20 +108,26 @@ def roster_names(roster: DataFrame) -> DataFrame:
     ).filter(F.col("erp_name") != "")
 
 
-def scored_pairs(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+def scored_pairs(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig(), keep: Keep = stage) -> DataFrame:
     """Pairs at or above the candidate threshold with their score."""
     students = roster_names(roster).select("scope_id", "erp_name").distinct()
-    pairs = candidate_pairs(names, students, config)
-    scored = pairs.withColumn("score", score_udf(config)(F.col("norm_name"), F.col("erp_name")))
-    return scored.filter(F.col("score") >= config.fuzzy_candidate)
+    pairs = keep(candidate_pairs(keep(names), keep(students), config, keep))
+    known = pairs.filter(F.col("whole").isNotNull()).withColumnRenamed("whole", "score")
+    a, b = F.col("norm_name"), F.col("erp_name")
+    long_enough = F.lit(2.0) * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b)) >= config.fuzzy_candidate - 1e-9
+    asked = pairs.filter(F.col("whole").isNull() & long_enough).drop("whole")
+    # Two names that meet in many classes are scored once.
+    scores = asked.select("norm_name", "erp_name").distinct().withColumn("score", ratio("norm_name", "erp_name"))
+    scores = scores.filter(F.col("score") >= config.fuzzy_candidate)
+    return known.unionByName(asked.join(scores, ["norm_name", "erp_name"]).select(*NAME_KEY, "erp_name", "score"))
 
 
-def fuzzy_students(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+def fuzzy_students(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig(), keep: Keep = stage) -> DataFrame:
     """Every student at or above the threshold, for each name."""
-    return scored_pairs(names, roster, config).join(roster_names(roster), ["scope_id", "erp_name"])
+    return scored_pairs(names, roster, config, keep).join(roster_names(roster), ["scope_id", "erp_name"])
 
 
-def top_candidates(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig()) -> DataFrame:
+def top_candidates(names: DataFrame, roster: DataFrame, config: MatchConfig = MatchConfig(), keep: Keep = stage) -> DataFrame:
     """The best students per name, by score then student id, one row each.
 
     Students with the same name score alike, so of one name only the first few by
@@ -120,7 +143,7 @@ def top_candidates(names: DataFrame, roster: DataFrame, config: MatchConfig = Ma
     )
     ranked = Window.partitionBy(*NAME_KEY).orderBy(F.desc("score"), *order)
     return (
-        scored_pairs(names, roster, config)
+        scored_pairs(names, roster, config, keep)
         .join(holders, ["scope_id", "erp_name"])
         .withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= config.fuzzy_kept)

@@ -40,7 +40,7 @@ def resolve(
     is_open = F.col("hit").isNull() & (F.col("norm_name") != "")
     open_records = found.filter(is_open)
     names = open_records.select(*fuzzy.NAME_KEY).distinct()
-    candidates = keep(fuzzy.top_candidates(names, roster, config))
+    candidates = keep(fuzzy.top_candidates(names, roster, config, keep))
     settled = matching.resolve_exact(found.filter(~is_open), config)
     return settled.unionByName(matching.resolve_fuzzy(open_records, fuzzy.decide(candidates, config))), candidates
 

@@ -125,8 +125,33 @@ def test_blocks_grow_with_the_letters_of_a_name(spark):
     sizes = [10, 40, 160, 400]
     names = [" ".join("".join(letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for _ in range(2)) for n in sizes]
     table = spark.createDataFrame([(1, n) for n in names], "scope_id long, norm_name string")
-    got = {r.norm_name: r["count"] for r in fuzzy.name_blocks(table, "norm_name", fuzzy.MatchConfig(), True).groupBy("norm_name").count().collect()}
-    assert all(got[n] <= 2 * len(n) for n in names)
+    words = fuzzy.spelled_words(fuzzy.name_words(table, "norm_name", True))
+    got = {(r.kind, r.word): len(r["keys"]) for r in words.collect()}
+    assert all(got["first", n.split()[0]] + got["last", n.split()[1]] <= len(n) for n in names)
+    assert all(n <= len(w) for (_, w), n in got.items())
+
+
+def test_words_are_scored_once_for_all_classes(spark):
+    """The same words in many classes are as many rows for the score as in one."""
+    names = [(s, n) for s in range(20) for n in ("rahul kumr", "rahol kumar", "ana patil")]
+    students = [(s, n) for s in range(20) for n in ("rahul kumar", "raul kumari", "anna patel", "rahul")]
+    probes = spark.createDataFrame(names, "scope_id long, norm_name string")
+    roster = spark.createDataFrame(students, "scope_id long, erp_name string")
+    similar = fuzzy.similar_words(fuzzy.name_words(probes, "norm_name", True), fuzzy.name_words(roster, "erp_name", False))
+    rows = similar.collect()
+    assert len(rows) == 20 * len({(r.kind, r.a, r.b) for r in rows})
+    text = similar._jdf.queryExecution().executedPlan().toString()
+    # The score runs on an aggregate of word pairs without their scope.
+    assert "keys=[kind#" in text and text.index("ArrowEvalPython") < text.index("HashAggregate")
+
+
+def test_lazy_plan_equals_stored(spark):
+    rng = random.Random(3)
+    names = spark.createDataFrame([(i % 3, n) for i, n in enumerate(random_names(rng, 40))], "scope_id long, norm_name string")
+    rows = [(i % 3, i, f"S{i}", None, n) for i, n in enumerate(random_names(rng, 40))]
+    roster = spark.createDataFrame(rows, "scope_id long, roster_seq long, student_id string, roll_number string, name string")
+    sides = [sorted(map(tuple, fuzzy.scored_pairs(names, roster, keep=k).collect())) for k in (fuzzy.stage, lambda df: df)]
+    assert sides[0] == sides[1] and sides[0]
 
 
 def test_hot_scope_and_order_do_not_change_results(spark, make):
