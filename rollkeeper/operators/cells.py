@@ -38,10 +38,6 @@ def cell_of_box(columns: Column, cx: Column) -> Column:
     return inside.otherwise(F.least(*away)["kind"])
 
 
-def boxes_to_cells(placed: DataFrame) -> DataFrame:
-    return placed.withColumn("cell", cell_of_box(F.col("columns"), F.col("cx"))).drop("columns")
-
-
 def cell_texts(celled: DataFrame) -> DataFrame:
     """One row per register line: the text of each cell and the mean confidence.
 

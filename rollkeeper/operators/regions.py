@@ -113,8 +113,17 @@ def header_band(boxes: DataFrame, config: LayoutConfig = LayoutConfig()) -> Data
     )
 
 
-def sheet_tops(boxes: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
-    """Per sheet: picture size, header band, and where the body begins."""
+def telling_boxes(boxes: DataFrame, *patterns: str) -> DataFrame:
+    """Boxes that may say where the table lies, narrow: headers, footers, ids, and texts like one of the patterns."""
+    text = F.col("text")
+    telling = header_type(text).isNotNull() | is_footer(text) | text.rlike(STU_ID)
+    for pattern in patterns:
+        telling = telling | text.rlike(pattern)
+    return boxes.select("sheet_id", "box_seq", "text", "conf", "cx", "cy", "w", "h", "min_x", "max_x", "min_y", "max_y").filter(telling)
+
+
+def sheet_tops(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), telling: DataFrame | None = None) -> DataFrame:
+    """Per sheet: picture size, header band, and where the body begins; headers come from the ``telling`` boxes if given."""
     anchor = (
         F.col("text").rlike(LEFT_ANCHOR)
         & (F.col("min_x") < F.col("img_w") * config.left_zone)
@@ -125,7 +134,7 @@ def sheet_tops(boxes: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataF
         F.max("img_h").alias("img_h"),
         F.min(F.when(anchor, F.col("min_y"))).alias("anchor_y"),
     )
-    bands = header_band(boxes, config).select(
+    bands = header_band(boxes if telling is None else telling, config).select(
         "sheet_id", F.col("top").alias("header_min_y"), F.col("bottom").alias("header_max_y"), "heads"
     )
     top = F.coalesce(
@@ -253,17 +262,17 @@ def with_fallback_columns(sheets: DataFrame) -> DataFrame:
 
 def page_layouts(ends: DataFrame, boxes: DataFrame, config: LayoutConfig = LayoutConfig()) -> DataFrame:
     """One row per sheet: body bounds, and a nullable struct per column type."""
-    sheet = ["img_w", "img_h", "header_min_y", "header_max_y", "heads", "body_top", "body_bottom"]
+    sheet = ["sheet_id", "img_w", "img_h", "header_min_y", "header_max_y", "heads", "body_top", "body_bottom"]
     cy, top, bottom = F.col("cy"), F.col("body_top"), F.col("body_bottom")
     near = cy.between(top - config.header_reach, bottom)
     is_id = F.col("is_id") & cy.between(top, bottom)
     narrow = boxes.select("sheet_id", "cy", "cx", "min_x", "max_x", F.col("text").rlike(STU_ID).alias("is_id"))
+    # Boxes meet the two bounds only; the rest of a sheet's row joins their sums.
     stats = (
-        narrow.join(ends.select("sheet_id", F.struct(*sheet).alias("sheet"), "body_top", "body_bottom"), "sheet_id")
-        .select("sheet_id", "sheet", "cx", "min_x", "max_x", near.alias("near"), is_id.alias("is_id"))
+        narrow.join(ends.select("sheet_id", "body_top", "body_bottom"), "sheet_id")
+        .select("sheet_id", "cx", "min_x", "max_x", near.alias("near"), is_id.alias("is_id"))
         .groupBy("sheet_id")
         .agg(
-            F.any_value("sheet").alias("sheet"),
             F.min(F.when(F.col("near"), F.col("min_x"))).alias("near_min"),
             F.max(F.when(F.col("near"), F.col("max_x"))).alias("near_max"),
             F.struct(
@@ -273,7 +282,7 @@ def page_layouts(ends: DataFrame, boxes: DataFrame, config: LayoutConfig = Layou
                 F.max(F.when(F.col("is_id"), F.col("max_x"))).alias("max_x"),
             ).alias("ids"),
         )
-        .select("sheet_id", "sheet.*", "near_min", "near_max", "ids")
+        .join(ends.select(*sheet), "sheet_id")
     )
     sheets = with_fallback_columns(with_inferred_id_column(with_header_columns(stats), config))
     img_w = F.col("img_w")

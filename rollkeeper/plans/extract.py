@@ -11,34 +11,41 @@ from rollkeeper.config import LayoutConfig
 from rollkeeper.operators import cells, regions, rows
 from rollkeeper.session import stage
 
+BODY = ["sheet_id", "box_seq", "text", "conf", "cy", "min_x", "cell", "row_index"]
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def sheet_layouts(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), keep: Keep = stage) -> DataFrame:
-    """Body bounds and columns of every sheet; the per-sheet tables are small and kept."""
-    tops = keep(regions.sheet_tops(boxes, config))
-    return keep(regions.page_layouts(regions.with_body_bottom(tops, boxes, config), boxes, config))
+def placed_boxes(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), keep: Keep = stage) -> DataFrame:
+    """Body boxes with their cell and row number.
 
+    The boxes are read four times: for the few that tell where the table lies, for the size of the pages, for the sides of
+    the body, and for the body table. Only the last carries texts, through its one exchange.
+    """
+    telling = keep(regions.telling_boxes(boxes, rows.ROLL_ANCHOR, rows.ID_ANCHOR))
+    tops = keep(regions.sheet_tops(boxes, config, telling))
+    layouts = keep(regions.page_layouts(regions.with_body_bottom(tops, telling, config), boxes, config))
+    anchors = keep(rows.row_anchors(telling, layouts, config))
+    bands = keep(rows.row_bands(keep(rows.distinct_anchors(anchors, config))))
+    return body_rows(boxes, layouts, bands, config, keep)
 
-def placed_boxes(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), keep: Keep = stage) -> DataFrame:
-    """Body boxes with their row number and the columns of their sheet."""
-    layouts = sheet_layouts(boxes, config, keep)
-    anchors = rows.distinct_anchors(rows.row_anchors(boxes, layouts, config), config)
-    bands = keep(rows.row_bands(anchors))
-    banded = bands.filter(F.col("is_first")).select("sheet_id", F.lit(True).alias("banded"))
-    routed = layouts.join(banded, "sheet_id", "left")
-    with_bands = rows.boxes_in_table(boxes, routed.filter(F.col("banded")).drop("banded"), config)
-    without = rows.boxes_in_table(boxes, routed.filter(F.col("banded").isNull()).drop("banded"), config)
-    by_band = rows.boxes_to_bands(with_bands, bands, config)
-    # Both are read more than once by the clustering steps.
-    clustered = keep(rows.boxes_to_clusters(keep(without), config))
-    by_cluster = rows.clusters_in_order(clustered)
+
+def body_rows(boxes: DataFrame, layouts: DataFrame, bands: DataFrame, config: LayoutConfig = LayoutConfig(), keep: Keep = stage) -> DataFrame:
+    """The body table with row numbers of bands, and of clusters where a sheet has none.
+
+    Clustering follows a narrow side stream; its numbers join the body back by sheet and ``box_seq``.
+    """
+    body = keep(rows.body_table(boxes, rows.body_slots(layouts, bands, config), config))
+    by_band = body.filter("banded").select(*BODY)
+    loose = body.filter(~F.col("banded"))
+    stream = loose.select("sheet_id", "box_seq", "cy", "h", "min_x", "max_x")
+    lines = rows.clusters_in_order(keep(rows.boxes_to_clusters(stream, config, keep))).select("sheet_id", "box_seq", F.col("row_index"))
+    by_cluster = loose.drop("row_index").join(lines, ["sheet_id", "box_seq"]).select(*BODY)
     return by_band.unionByName(by_cluster)
 
 
 def raw_rows(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), keep: Keep = stage) -> DataFrame:
     """One row per register line. Kept: the filters after it must not drag its rules along."""
-    return keep(cells.repaired_rows(cells.cell_texts(cells.boxes_to_cells(placed_boxes(boxes, config, keep)))))
+    return keep(cells.repaired_rows(cells.cell_texts(placed_boxes(boxes, config, keep))))
 
 
 def extract(

@@ -68,7 +68,7 @@ class Inputs(Views):
         return self._stored("placed", lambda: extract.placed_boxes(self.boxes()))
 
     def line_texts(self) -> DataFrame:
-        return self._stored("line_texts", lambda: cells.cell_texts(cells.boxes_to_cells(self.placed())))
+        return self._stored("line_texts", lambda: cells.cell_texts(self.placed()))
 
     def raw_rows(self) -> DataFrame:
         return self._stored("raw_rows", lambda: cells.repaired_rows(self.line_texts()))
@@ -505,14 +505,14 @@ def _(v):
 
 @query("g14_boxes_to_cells")
 def _(v):
-    return cells.boxes_to_cells(v.placed()).select(
+    return v.placed().select(
         "sheet_id", "box_seq", c("row_index").cast("bigint").alias("row_index"), "cell"
     )
 
 
 @query("g15_g16_cell_texts")
 def _(v):
-    out = cells.cell_texts(cells.boxes_to_cells(v.placed()))
+    out = cells.cell_texts(v.placed())
     return out.withColumn("row_index", c("row_index").cast("bigint"))
 
 
