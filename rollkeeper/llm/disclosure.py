@@ -35,7 +35,9 @@ c = F.col
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+# Numbers with single dots between them: addresses are four in a row, the next ones after the last of these.
+_NUMBERS = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_DIGIT = re.compile(r"[0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]++")
 _PHONE_TAIL = " ().-"
@@ -54,9 +56,12 @@ SHIFTS = (0, 20, 40)
 # Words whose filter result is remembered, and counts that a task holds before it gives them on.
 WORDS_KNOWN = 400_000
 COUNTS_KEPT = 200_000
-BYTES_AT_ONCE = 2_000_000
-# Before a word that is part of a pair looked for.
+# Before a word that is a term looked for, or part of one.
 PART = "\x01"
+_PART = PART.encode()
+
+# ASCII characters that no word has, as blanks.
+_PIECES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 Span = tuple[int, int]
 
@@ -88,13 +93,23 @@ def _phone_end(match: re.Match) -> int:
     return match.start() + len(match.group().rstrip(_PHONE_TAIL))
 
 
+def _addresses(text: str) -> Iterator[Span]:
+    for m in _NUMBERS.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            end = at + sum(map(len, parts[i : i + 4])) + 3
+            short = [p.lstrip("0") for p in parts[i : i + 4]]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in short):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """Kind (its place in ``KINDS``), start and end of the personal data, in time linear in the text."""
     out = [(0, a, b) for a, b in _emails(text)]
-    for m in _IP.finditer(text):
-        parts = (p.lstrip("0") for p in m.group().split("."))
-        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
-            out.append((1, *m.span()))
+    if not _DIGIT.search(text):
+        return out
+    out += [(1, a, b) for a, b in _addresses(text)]
     for m in _CARD.finditer(text):
         # At most every second character is no digit.
         if 13 <= m.end() - m.start() <= 2 * 19 and 13 <= len(d := _digits(m.group())) <= 19 and _luhn(d):
@@ -114,6 +129,8 @@ def _entity(kind: int, value: str) -> int:
 
 def _without(text: str, spans: list[tuple[int, int, int]]) -> str:
     """The text with spans blanked, each character by one."""
+    if not spans:
+        return text
     parts, at = [], 0
     for _, a, b in sorted(spans, key=lambda s: s[1:]):
         if b > at:
@@ -164,11 +181,12 @@ class Filter:
         for at, word in words.items():
             self.bits[8 * at : 8 * at + 8] = (word & (1 << 64) - 1).to_bytes(8, "little")
         self.known: dict[str, int] = {}
+        self.clear: set[bytes] = set()
 
     @staticmethod
     def of(terms: DataFrame) -> "Filter":
-        """The filter of a table's ``term`` column, and of the words of its pairs."""
-        words = terms.filter(F.contains("term", F.lit(" "))).select(F.explode(F.split("term", " ")).alias("term"))
+        """The filter of a table's ``term`` column, and, behind a mark, of all words in it."""
+        words = terms.select(F.explode(F.split("term", " ")).alias("term"))
         every = terms.select("term").unionByName(words.select(F.concat(F.lit(PART), "term").alias("term")))
         h = F.xxhash64("term")
         places = F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(FILTER_BITS - 1)) for k in SHIFTS])
@@ -178,29 +196,47 @@ class Filter:
         rows = places.groupBy(F.floor(c("place") / 64).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
         return Filter({r["at"]: r["bits"] for r in rows})
 
-    def __contains__(self, term: str) -> bool:
-        h = xxhash.xxh64_intdigest(term, seed=42)
-        places = ((h >> k) & (FILTER_BITS - 1) for k in SHIFTS)
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in places)
+    def __contains__(self, term: str | bytes) -> bool:
+        h, bits = xxhash.xxh64_intdigest(term, seed=42), self.bits
+        for k in SHIFTS:
+            place = (h >> k) & (FILTER_BITS - 1)
+            if not bits[place >> 3] >> (place & 7) & 1:
+                return False
+        return True
 
     def marks(self, word: str) -> int:
-        """1 if the word may be held, 2 if it may be part of a pair that is, 3 for both."""
+        """0 for a word of no term, 1 if it may be part of a pair, 3 if it may be a term itself."""
         if (found := self.known.get(word)) is None:
             if len(self.known) >= WORDS_KNOWN:
                 self.known.clear()
-            found = self.known[word] = (word in self) + 2 * (PART + word in self)
+            found = self.known[word] = 0 if PART + word not in self else 3 if word in self else 1
+        return found
+
+    def may_hold(self, text: str) -> bool:
+        """Whether any word of a text may be held; pieces between ASCII blanks and punctuation, found clear once, stay so."""
+        if len(self.clear) >= WORDS_KNOWN:
+            self.clear.clear()
+        found = False
+        for piece in set(text.encode().translate(_PIECES).split()) - self.clear:
+            if piece.isascii():
+                held = _PART + piece.lower() in self
+            else:
+                held = any(self.marks(w.lower()) for w in _WORD.findall(piece.decode()))
+            if held:
+                found = True
+            else:
+                self.clear.add(piece)
         return found
 
     def candidates(self, text: str) -> list[tuple[str, int, int]]:
         """Term, start and end of all that may be held in a text."""
-        words = {w: self.marks(w.lower()) for w in set(_WORD.findall(text))}
-        if not any(words.values()):
+        if not self.may_hold(text):
             return []
         tokens = _tokens(text)
         marks = [self.marks(t) for t, _, _ in tokens]
-        out = [token for token, m in zip(tokens, marks) if m & 1]
+        out = [token for token, m in zip(tokens, marks) if m == 3]
         for i in _pairs(text, tokens):
-            if marks[i] & marks[i + 1] & 2 and (pair := f"{tokens[i][0]} {tokens[i + 1][0]}") in self:
+            if marks[i] and marks[i + 1] and (pair := f"{tokens[i][0]} {tokens[i + 1][0]}") in self:
                 out.append((pair, tokens[i][1], tokens[i + 1][2]))
         return out
 
@@ -211,8 +247,8 @@ def contexts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("entity", pa.int64()), ("first", pa.bool_()), ("around", pa.int64()), ("fresh", pa.list_(pa.string())), ("others", pa.list_(pa.string()))])
         for batch in batches:
-            for text in batch.column("text"):
-                rows = surroundings(text.as_py() or "")
+            for text in batch.column("text").to_pylist():
+                rows = surroundings(text or "")
                 for i in range(0, len(rows), 10_000):
                     columns = zip(*rows[i : i + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
@@ -232,8 +268,8 @@ def term_counts(docs: DataFrame, wanted: Filter) -> DataFrame:
             return out
 
         for batch in batches:
-            for text in batch.column("text"):
-                text = text.as_py() or ""
+            for text in batch.column("text").to_pylist():
+                text = text or ""
                 counts.update({t for t, _, _ in wanted.candidates(_without(text, base_spans(text)))})
                 if len(counts) >= COUNTS_KEPT:
                     yield given()
@@ -282,7 +318,7 @@ def marked(docs: DataFrame, wanted: Filter | None, text: bool = False) -> DataFr
         # Of all tries of a task one is written, and its keys hold from then on.
         task, row = uuid.uuid4().hex, 0
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
             may = [wanted.candidates(_without(t, b)) if wanted else [] for t, b in zip(texts, base)]
             columns = [batch.column("doc_id"), pa.array([f"{task}{row + i}" for i in range(len(batch))], pa.string())]
