@@ -29,7 +29,7 @@ PERCENT = 75
 BANDS = 32
 ROWS = PLACES // BANDS
 # The bands of a round end here.
-ROUNDS = (2, 8, BANDS)
+ROUNDS = (4, BANDS)
 # Signatures that agree in fewer places than this rule a pair out: five standard deviations below the limit.
 LEAST_AGREEING = round(PLACES * (PERCENT / 100 - 5 * (PERCENT / 100 * (1 - PERCENT / 100) / PLACES) ** 0.5))
 # Nodes and shingles in one half of a block.
@@ -263,6 +263,13 @@ def _pivot_pairs(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return pairs.select(c("pivot").alias("a"), c("node").alias("b")).distinct()
 
 
+def _first_roots(links: DataFrame) -> DataFrame:
+    """``node, root``: the smallest node that each is held against in two steps at most, so those with one root are connected."""
+    up = links.groupBy(c("b").alias("node")).agg(F.min("a").alias("root"))
+    further = up.select(c("node").alias("root"), c("root").alias("far"))
+    return up.join(further, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+
+
 def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -291,7 +298,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tried = stage(_agreeing(_pivot_pairs(members.filter(c("band").between(first, last - 1)), roots), nodes), "pairs")
         found = stage(_verified(tried, texts), "verified")
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
+        roots = _first_roots(links)
+    roots = components(links)
     apart = _apart(members, nodes, roots)
     if not apart.isEmpty():
         roots = components(links.unionByName(_links_in_blocks(apart, texts)))
