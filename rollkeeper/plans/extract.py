@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollkeeper.config import LayoutConfig
@@ -32,14 +32,16 @@ def placed_boxes(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), keep:
 def body_rows(boxes: DataFrame, layouts: DataFrame, bands: DataFrame, config: LayoutConfig = LayoutConfig(), keep: Keep = stage) -> DataFrame:
     """The body table with row numbers of bands, and of clusters where a sheet has none.
 
-    Clustering follows a narrow side stream; its numbers join the body back by sheet and ``box_seq``.
+    Clustering follows a narrow side stream; its numbers join the body back by sheet and ``box_seq``, and boxes that share
+    a number by their order.
     """
     body = keep(rows.body_table(boxes, rows.body_slots(layouts, bands, config), config))
     by_band = body.filter("banded").select(*BODY)
-    loose = body.filter(~F.col("banded"))
-    stream = loose.select("sheet_id", "box_seq", "cy", "h", "min_x", "max_x")
-    lines = rows.clusters_in_order(keep(rows.boxes_to_clusters(stream, config, keep))).select("sheet_id", "box_seq", F.col("row_index"))
-    by_cluster = loose.drop("row_index").join(lines, ["sheet_id", "box_seq"]).select(*BODY)
+    same = Window.partitionBy("sheet_id", "box_seq").orderBy("cy", "min_x", "max_x", "h", "text", "conf")
+    loose = keep(body.filter(~F.col("banded")).drop("row_index").withColumn("twin", F.row_number().over(same)))
+    stream = loose.select("sheet_id", "box_seq", "twin", "cy", "h", "min_x", "max_x")
+    lines = rows.clusters_in_order(keep(rows.boxes_to_clusters(stream, config, keep)))
+    by_cluster = loose.join(lines.select("sheet_id", "box_seq", "twin", "row_index"), ["sheet_id", "box_seq", "twin"]).select(*BODY)
     return by_band.unionByName(by_cluster)
 
 

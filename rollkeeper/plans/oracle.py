@@ -11,7 +11,7 @@ from rollkeeper import testdata
 from rollkeeper.functions import headers, marks
 from rollkeeper.plans.registry import IDENTITIES
 
-_TABLES = {t: t for t in ("customer", "part", "orders", "lineitem", "events", "roster", "line_boxes", "page_boxes")}
+_TABLES = {t: t for t in ("customer", "part", "orders", "lineitem", "events", "nation", "region", "roster", "line_boxes", "page_boxes")}
 
 
 def _view(text: str) -> str:
@@ -129,6 +129,8 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "ocr": (("line_boxes", "page_boxes"), _view(testdata.OCR_RAW)),
     "uploads": ((), _view(testdata.UPLOADS)),
     "sessions": ((), _view(testdata.SESSIONS)),
+    "classes": ((), _view(testdata.CLASSES)),
+    "subjects": ((), _view(testdata.SUBJECTS)),
     "identities": ((), _view(IDENTITIES)),
     "prices": (
         (),
@@ -507,11 +509,11 @@ PARTS |= {
     ),
     "candidates": (
         ("results", "roster", "ranked"),
-        f"SELECT scope_id, 2 AS step, upper({strip('roll_number')}) AS key, roster_seq AS position, student_id, name, NULL::DOUBLE AS similarity FROM roster UNION ALL "
-        f"SELECT scope_id, 3, {unpadded(digits('roll_number'))}, roster_seq, student_id, name, NULL FROM roster UNION ALL "
-        f"SELECT scope_id, 5, {strip('name')}, roster_seq, student_id, name, NULL FROM roster UNION ALL "
-        f"SELECT scope_id, 6, {norm('name')}, roster_seq, student_id, name, NULL FROM roster UNION ALL "
-        f"SELECT scope_id, 7, norm_name, rank, student_id, name, {round2('score')} FROM ranked WHERE rank <= 5",
+        f"SELECT scope_id, 2 AS step, upper({strip('roll_number')}) AS key, roster_seq AS position, student_id, roll_number, name, NULL::DOUBLE AS similarity FROM roster UNION ALL "
+        f"SELECT scope_id, 3, {unpadded(digits('roll_number'))}, roster_seq, student_id, roll_number, name, NULL FROM roster UNION ALL "
+        f"SELECT scope_id, 5, {strip('name')}, roster_seq, student_id, roll_number, name, NULL FROM roster UNION ALL "
+        f"SELECT scope_id, 6, {norm('name')}, roster_seq, student_id, roll_number, name, NULL FROM roster UNION ALL "
+        f"SELECT scope_id, 7, norm_name, rank, student_id, roll_number, name, {round2('score')} FROM ranked WHERE rank <= 5",
     ),
     "approved": (
         ("results",),
@@ -533,7 +535,7 @@ PARTS |= {
     ),
     "submissions": (
         ("roster", "sessions"),
-        "SELECT s.session_id, s.scope_id, coalesce(nullif(trim(class_name), ''), 'BCA - 2nd Year (Semester IV)') AS class_name, "
+        "SELECT s.session_id, s.scope_id, s.class_id, s.subject_code, s.submitted_by, s.submitted_at, coalesce(nullif(trim(class_name), ''), 'BCA - 2nd Year (Semester IV)') AS class_name, "
         "coalesce(nullif(trim(subject_name), ''), 'Database Management Systems (CS-401)') AS subject_name, coalesce(section, 'Section A') AS section, session_date, "
         "coalesce(t.n, 0) AS total_students, coalesce(t.p, 0) AS present, coalesce(t.a, 0) AS absent, coalesce(t.l, 0) AS late, coalesce(t.u, 0) AS unmarked, "
         "concat(CAST(day(CAST(session_date AS DATE)) AS VARCHAR), strftime(CAST(session_date AS DATE), ' %b %Y')) AS date_formatted, 'Submitted' AS submit_status, "
@@ -641,7 +643,10 @@ _UNTIDY = (
 _oracle("s4_record_intake", "records", f"SELECT scope_id, rec_seq, raw_name, raw_identifier, raw_student_id, raw_attendance_mark, {_strict('status')} AS status, {round2('confidence')} AS confidence FROM ({_UNTIDY}) WHERE {_strict('status')} IS NOT NULL AND confidence BETWEEN 0 AND 1")
 _oracle("p5_record_quarantine", "records", f"SELECT scope_id, rec_seq, status, CASE WHEN {_strict('status')} IS NULL THEN 'status' ELSE 'confidence' END AS quarantine_reason FROM ({_UNTIDY}) WHERE {_strict('status')} IS NULL OR confidence NOT BETWEEN 0 AND 1")
 _oracle("s5_page_roster", "roster", "SELECT roster_seq AS page_id, CAST(0 AS INTEGER) AS row_seq, student_id, coalesce(roll_number, '') AS roll_number, name, status, remarks FROM roster")
-_oracle("s6_session_metadata", "submissions", "SELECT session_id, scope_id, class_name, subject_name, section, session_date FROM submissions")
+_oracle("s6_session_metadata", "submissions", "SELECT session_id, scope_id, class_id, subject_code, submitted_by, submitted_at, class_name, subject_name, section, session_date FROM submissions")
+_oracle("s6_class_and_subject", "sessions classes subjects", "SELECT session_id, class_id, k.name AS class_label, k.section AS class_section, subject_code, t.name AS subject_label FROM sessions LEFT JOIN classes k ON k.id = class_id LEFT JOIN subjects t ON t.code = subject_code")
+_oracle("r4_subject_listing", "subjects", "SELECT code, name, concat(CAST(credits AS VARCHAR), ' Credits') AS credits, type FROM subjects")
+_oracle("s8_appended_history", "submissions", "SELECT concat('batch-', CAST(session_id % 3 AS VARCHAR)) AS submission_id, session_id, total_students, present, submitted_by FROM submissions")
 _oracle("p1_readable_boxes", "ocr", f"SELECT sheet_id, box_seq, text, conf FROM ocr WHERE conf >= 0.15 AND {strip('text')} <> ''")
 _oracle("p2_boxes_in_table", "body", "SELECT sheet_id, box_seq, text FROM body")
 _oracle("p3_row_validation", "raw_rows", f"SELECT sheet_id, CAST(row_index AS INTEGER) AS row_index, {_reject('coalesce(raw_identifier, raw_student_id, ' + chr(39) * 2 + ')')} AS reject_reason FROM raw_rows")
@@ -692,6 +697,11 @@ _oracle(
 _oracle("j14_missing_controls", "targets", "SELECT scope_id, rec_seq, roster_seq FROM targets WHERE reason = 'ATTENDANCE_CONTROL_NOT_FOUND'")
 _oracle("w1_w2_repeats", "results", "SELECT scope_id, rec_seq, is_duplicate, is_conflict, resolution, review_reason FROM results")
 _oracle("w3_fuzzy_candidates", "ranked", f"SELECT scope_id, norm_name, rank, student_id, {round2('score')} AS similarity FROM ranked WHERE rank <= 5")
+_oracle(
+    "j_candidate_lists", "results candidates",
+    "SELECT c.scope_id, c.step AS match_step, c.key AS candidate_key, c.position, c.student_id, c.roll_number, c.name, c.similarity FROM candidates c WHERE c.step = 7 OR EXISTS "
+    "(SELECT 1 FROM results r WHERE r.scope_id = c.scope_id AND r.step = c.step AND r.candidate_key = c.key)",
+)
 _oracle(
     "w4_candidate_previews", "results candidates",
     "SELECT r.scope_id, r.rec_seq, string_agg(concat(c.student_id, ' — ', c.name, CASE WHEN c.similarity > 0 THEN concat(' (', CAST(CAST(floor(c.similarity * 100e0 + 0.5e0) AS BIGINT) AS VARCHAR), '%)') ELSE '' END), '; ' ORDER BY c.position) AS preview "
@@ -703,6 +713,31 @@ _oracle("w6_results_in_order", "results", "SELECT scope_id, rec_seq, match_metho
 _oracle("a1_attendance_summary", "valid", "SELECT sheet_id, count(*) AS total_detected, count(*) FILTER (WHERE status = 'PRESENT') AS present, count(*) FILTER (WHERE status = 'ABSENT') AS absent FROM valid GROUP BY sheet_id")
 _oracle("a2_match_summary", "summary", "SELECT * FROM summary")
 _oracle("s7_match_documents", "summary", "SELECT scope_id, CAST(to_json(summary) AS VARCHAR) AS document FROM summary")
+_RECORD = "{'raw_name': raw_name, 'raw_identifier': raw_identifier, 'raw_student_id': raw_student_id, 'raw_attendance_mark': raw_attendance_mark, 'status': status, 'confidence': confidence}"
+_oracle(
+    "s7_extraction_documents", "valid",
+    "SELECT sheet_id, CAST(0 AS BIGINT) AS block, concat('{\"success\":true,\"records\":[', string_agg(CAST(to_json(" + _RECORD + ") AS VARCHAR), ',' ORDER BY row_index), '],\"summary\":', "
+    "CAST(to_json({'total_detected': count(*), 'present': count(*) FILTER (WHERE status = 'PRESENT'), 'absent': count(*) FILTER (WHERE status = 'ABSENT')}) AS VARCHAR), '}') AS text FROM valid GROUP BY sheet_id",
+)
+_RESULT = ", ".join(
+    f"'{n}': {n}" for n in "raw_identifier raw_student_id raw_name raw_attendance_mark status ai_confidence matched_student_id matched_roll_number "
+    "matched_name match_method match_confidence resolution is_duplicate review_reason".split()
+)
+_DETAIL = ", ".join(
+    f"CASE WHEN {k} IS NOT NULL{always} THEN concat('\"{k}\":', coalesce(CAST(to_json({k}) AS VARCHAR), 'null')) END"
+    for k, always in [(k, "") for k in ("ai_confidence", "detected_status", "previous_status", "current_status")]
+    + [(k, " OR type IN ('DUPLICATE_DETECTED', 'UNMATCHED_STUDENT')") for k in ("raw_name", "raw_identifier")] + [("candidates_count", "")]
+)
+_oracle(
+    "s7_result_documents", "results candidates summary missing exceptions",
+    "SELECT scope_id, CAST(0 AS BIGINT) AS block, concat('{\"success\":true,\"results\":[', r.t, '],\"summary\":', CAST(to_json(s) AS VARCHAR), ',\"erp_students_not_detected\":[', m.t, '],\"exceptions\":[', e.t, ']}') AS text "
+    "FROM (SELECT scope_id, struct_pack(total_ai_records := total_ai_records, matched := matched, needs_review := needs_review, unmatched := unmatched, duplicates := duplicates, total_erp_students := total_erp_students, missing_erp_students_count := missing_erp_students_count) AS s FROM summary) AS q "
+    f"LEFT JOIN (SELECT scope_id, string_agg(concat(regexp_replace(CAST(to_json({{{_RESULT}}}) AS VARCHAR), '\\}}$', ''), ',\"candidates\":[', c.t, ']}}'), ',' ORDER BY rec_seq) AS t FROM results LEFT JOIN "
+    "(SELECT scope_id, step, key AS candidate_key, string_agg(CAST(to_json({'student_id': student_id, 'roll_number': roll_number, 'name': name, 'similarity': similarity}) AS VARCHAR), ',' ORDER BY position) AS t FROM candidates GROUP BY ALL) c "
+    "USING (scope_id, step, candidate_key) GROUP BY scope_id) r USING (scope_id) "
+    "LEFT JOIN (SELECT scope_id, string_agg(CAST(to_json({'student_id': student_id, 'roll_number': roll_number, 'name': name, 'enrollment_number': enrollment_number, 'email': email, 'gender': gender, 'status': status, 'remarks': remarks}) AS VARCHAR), ',' ORDER BY roster_seq) AS t FROM missing GROUP BY scope_id) m USING (scope_id) "
+    f"LEFT JOIN (SELECT scope_id, string_agg(concat('{{\"type\":', CAST(to_json(type) AS VARCHAR), ',\"student_id\":', coalesce(CAST(to_json(student_id) AS VARCHAR), 'null'), ',\"name\":', coalesce(CAST(to_json(name) AS VARCHAR), 'null'), ',\"message\":', CAST(to_json(message) AS VARCHAR), ',\"details\":', CASE WHEN type = 'MISSING_ERP_STUDENT' THEN 'null' ELSE concat('{{', concat_ws(',', {_DETAIL}), '}}') END, '}}'), ',' ORDER BY phase, seq, nth) AS t FROM exceptions GROUP BY scope_id) e USING (scope_id)",
+)
 _oracle("a3_roster_tally", "roster", "SELECT scope_id, count(*) AS total, count(*) FILTER (WHERE status = 'PRESENT') AS present, count(*) FILTER (WHERE status = 'ABSENT') AS absent, count(*) FILTER (WHERE status = 'LATE') AS late, count(*) FILTER (WHERE status NOT IN ('PRESENT', 'ABSENT', 'LATE')) AS unmarked FROM roster GROUP BY scope_id")
 _oracle("a4_report_tally", "results exceptions", "SELECT scope_id, count(*) AS records, count(*) FILTER (WHERE status = 'PRESENT') AS present, count(*) FILTER (WHERE status <> 'PRESENT') AS absent, any_value(e.n) AS exceptions FROM results LEFT JOIN (SELECT scope_id, count(*) AS n FROM exceptions GROUP BY scope_id) e USING (scope_id) GROUP BY scope_id")
 _oracle("a5_apply_summary", "targets", "SELECT scope_id, count(*) AS total, count(*) FILTER (WHERE reason IS NULL) AS applied, count(*) FILTER (WHERE reason = 'STUDENT_NOT_FOUND') AS unmatched, count(*) FILTER (WHERE reason = 'ATTENDANCE_CONTROL_NOT_FOUND') AS failed FROM targets GROUP BY scope_id")
@@ -729,6 +764,13 @@ _oracle(
     "SELECT r.scope_id, r.roster_seq, r.student_id, coalesce(c.s, r.status) AS status, coalesce(c.m, r.remarks) AS remarks, c.s IS NOT NULL AS modified FROM roster r LEFT JOIN "
     "(SELECT scope_id, roster_seq, arg_max(final_status, rec_seq) AS s, arg_max(remarks, rec_seq) FILTER (WHERE remarks <> '') AS m FROM targets WHERE reason IS NULL GROUP BY ALL) c USING (scope_id, roster_seq)",
 )
+_oracle(
+    "m1_roster_versions", "targets roster",
+    "SELECT 1 AS version, scope_id, roster_seq, status, remarks, false AS modified FROM roster UNION ALL "
+    "SELECT 2, r.scope_id, r.roster_seq, coalesce(c.s, r.status), coalesce(c.m, r.remarks), c.s IS NOT NULL FROM roster r LEFT JOIN "
+    "(SELECT scope_id, roster_seq, arg_max(final_status, rec_seq) AS s, arg_max(remarks, rec_seq) FILTER (WHERE remarks <> '') AS m FROM targets "
+    "WHERE reason IS NULL AND scope_id % 4 = 1 GROUP BY ALL) c USING (scope_id, roster_seq)",
+)
 _oracle(
     "m2_change_statuses", "approved roster",
     "SELECT r.scope_id, r.roster_seq, coalesce(c.s, r.status) AS status, c.s IS NOT NULL AS modified FROM roster r LEFT JOIN (SELECT scope_id, student_id, "

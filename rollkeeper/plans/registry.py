@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from rollkeeper.config import COLUMN_TYPES, PRESENT, MatchConfig
 from rollkeeper.functions import display, headers, marks, numeric, repair, text
 from rollkeeper.operators import apply, cells, exceptions, fuzzy, lookups, matching, regions, report, rows, tallies
-from rollkeeper.plans import extract, reconcile, sinks
-from rollkeeper.session import configure, stage
+from rollkeeper.plans import documents, extract, history, reconcile, sinks
+from rollkeeper.plans.versions import RosterVersions
+from rollkeeper.session import configure, shared_folder, stage
 from rollkeeper.sources import ocr, pages, records, rosters, sessions, uploads
 from rollkeeper.testdata import ANY_STATUS, ODD_DATE, Views
 
@@ -388,6 +390,17 @@ def _(v):
     return sinks.as_json(v.match().summary, "scope_id")
 
 
+@query("s7_result_documents")
+def _(v):
+    return documents.match_documents(v.match())
+
+
+@query("s7_extraction_documents")
+def _(v):
+    good = cells.contracted(v.extracted())
+    return documents.extraction_documents(good, tallies.attendance_summary(good))
+
+
 # --- predicates -----------------------------------------------------------------------
 
 
@@ -625,6 +638,12 @@ def _(v):
     )
 
 
+@query("j_candidate_lists")
+def _(v):
+    """Every candidate behind every shared key, however long the list."""
+    return v.match().candidates.select("scope_id", "match_step", "candidate_key", "position", "student_id", "roll_number", "name", "similarity")
+
+
 @query("w4_candidate_previews")
 def _(v):
     m = v.match()
@@ -691,6 +710,27 @@ def _(v):
     return report.history_listing(_submissions(v)).select("session_id", "date_formatted", "class_name", "present", "absent")
 
 
+@query("s8_appended_history")
+def _(v):
+    """History after three submissions, one of them sent twice and one that never committed."""
+    rows, folder = _submissions(v), f"{shared_folder(v.spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    for n in (0, 1, 1, 2):
+        history.append_history(rows.filter(c("session_id") % 3 == n), folder, f"batch-{n}")
+    rows.withColumn("submission_id", F.lit("lost")).write.parquet(f"{folder}/rows/attempt=lost")
+    return history.read_history(v.spark, folder).select("submission_id", "session_id", "total_students", "present", "submitted_by")
+
+
+@query("s6_class_and_subject")
+def _(v):
+    known = sessions.with_class_and_subject(v.sessions(), v.classes(), v.subjects())
+    return known.select("session_id", "class_id", "class_label", "class_section", "subject_code", "subject_label")
+
+
+@query("r4_subject_listing")
+def _(v):
+    return report.subject_listing(v.subjects())
+
+
 @query("e_exceptions")
 def _(v):
     d = lambda key: c("details")[key].alias(key)
@@ -731,6 +771,18 @@ def _(v):
     )
 
 
+@query("m1_roster_versions")
+def _(v):
+    """The roster before and after the statuses of some classes were applied to its buckets."""
+    store = RosterVersions(v.spark, f"{shared_folder(v.spark).rstrip('/')}/roster-{uuid.uuid4().hex}", 16)
+    first = store.create(v.roster_rows().withColumn("modified", F.lit(False)))
+    approved = stage(v.approved().filter(c("scope_id") % 4 == 1))
+    second = store.update(approved.select("scope_id"), lambda rows: apply.updated_rows(rows, apply.apply_targets(rows, approved)))
+    columns = [F.lit(n).alias("version") for n in (first, second)]
+    shown = [store.read(n).select(k, "scope_id", "roster_seq", "status", "remarks", "modified") for n, k in zip((first, second), columns)]
+    return shown[0].unionByName(shown[1])
+
+
 @query("m2_change_statuses")
 def _(v):
     return apply.change_statuses(v.roster(), v.approved()).select("scope_id", "roster_seq", "status", "modified")

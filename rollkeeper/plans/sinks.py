@@ -48,7 +48,3 @@ def read_match(spark: SparkSession, folder: str) -> Reconciliation:
 def as_json(df: DataFrame, *keys: str) -> DataFrame:
     """One JSON document per row, beside its keys."""
     return df.select(*keys, F.to_json(F.struct(*df.columns)).alias("document"))
-
-
-def append_history(submissions: DataFrame, folder: str) -> None:
-    submissions.write.mode("append").parquet(folder)

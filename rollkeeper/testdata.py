@@ -169,10 +169,22 @@ SELECT o_orderkey AS session_id, CAST(floor(o_custkey / 60) AS BIGINT) AS scope_
             ELSE concat('Class ', CAST(o_custkey % 12 AS STRING)) END AS class_name,
        CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat(' Subject ', o_orderstatus) END AS subject_name,
        CASE WHEN o_orderkey % 3 = 0 THEN 'Section B' END AS section,
+       concat('C', CAST(o_custkey % 28 AS STRING)) AS class_id, concat('S-', CAST(o_orderkey % 6 AS STRING)) AS subject_code,
+       concat('Teacher ', CAST(o_custkey % 40 AS STRING)) AS submitted_by,
+       concat(substr(CAST(o_orderdate AS STRING), 1, 10), ' 11:05 AM') AS submitted_at,
        substr(CAST(o_orderdate AS STRING), 1, 10) AS session_date
 FROM {orders}
 """
 
+# The dimension tables of sessions; some sessions name a class or subject that is in neither.
+CLASSES = """
+SELECT concat('C', CAST(n_nationkey AS STRING)) AS id, n_name AS name, concat('Section ', CAST(n_regionkey AS STRING)) AS section FROM {nation}
+"""
+SUBJECTS = """
+SELECT concat('S-', CAST(r_regionkey AS STRING)) AS code, r_name AS name, 2 + r_regionkey % 3 AS credits,
+       CASE WHEN r_regionkey % 2 = 0 THEN 'Theory' ELSE 'Practical' END AS type FROM {region}
+"""
+
 # Odd dates and statuses, made of the columns of the views.
 ODD_DATE = (
     "CASE session_id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '2026-9-6' WHEN 3 THEN '2026-13-01' WHEN 4 THEN 'bad' "
@@ -225,3 +237,9 @@ class Views:
 
     def sessions(self) -> DataFrame:
         return self._sql(SESSIONS, orders=self.table("orders"))
+
+    def classes(self) -> DataFrame:
+        return self._sql(CLASSES, nation=self.table("nation"))
+
+    def subjects(self) -> DataFrame:
+        return self._sql(SUBJECTS, region=self.table("region"))

@@ -59,3 +59,69 @@ def test_apply_order_and_last_record_wins(spark):
     assert tuple(apply.apply_summary(targets).first()) == (1, 5, 3, 1, 1)
     new = apply.updated_rows(rows, targets).orderBy("roster_seq").select("status", "remarks", "modified").collect()
     assert [tuple(r) for r in new] == [("UNMARKED", "seen", True), ("ABSENT", "x", True), ("UNMARKED", "", False)]
+
+
+def jpeg(width, height, extra=b"", scan=b"\x12\xff\x00\x34", end=b"\xff\xd9"):
+    app = b"\xff\xe1" + struct.pack(">H", 2 + 6) + b"\xff\xd9\xff\xd8\xff\xc0"
+    frame = b"\xff\xc0" + struct.pack(">HBHHB", 17, 8, height, width, 3) + bytes(9)
+    table = b"\xff\xc4" + struct.pack(">H", 4) + b"\xff\xd9"
+    return b"\xff\xd8" + app + extra + frame + table + b"\xff\xda" + struct.pack(">H", 3) + b"\x00" + scan + end
+
+
+def plain_png_is_whole(data):
+    at = 8
+    while at + 12 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        if kind == b"IEND":
+            return data[12:16] == b"IHDR"
+        at += 12 + n
+        if at > len(data):
+            return False
+    return False
+
+
+def test_pictures_are_walked_to_their_end(spark):
+    good = png(80, 60)
+    many = good[:33] + b"".join(struct.pack(">I4s", 1, b"tEXt") + b"xabcd" for _ in range(3000)) + good[33:]
+    webp = b"RIFF" + struct.pack("<I", 22) + b"WEBPVP8X" + struct.pack("<I", 10) + bytes(4) + (79).to_bytes(3, "little") + (59).to_bytes(3, "little")
+    cases = {
+        "jpeg": (jpeg(80, 60), ("JPEG", 80, 60, True)),
+        "appended clip": (jpeg(80, 60) + bytes(50_000) + b"ftypmp4", ("JPEG", 80, 60, True)),
+        "fill bytes": (jpeg(80, 60, b"\xff\xff\xff" + b"\xff\xe0\x00\x04ab" + b"\xff" * 500), ("JPEG", 80, 60, True)),
+        "many segments": (jpeg(80, 60, b"\xff\xfe\x00\x03x" * 2000), ("JPEG", 80, 60, True)),
+        "no end mark": (jpeg(80, 60, end=b""), ("JPEG", 80, 60, False)),
+        "end mark cut": (jpeg(80, 60)[:-1], ("JPEG", 80, 60, False)),
+        "cut in the frame": (jpeg(80, 60)[:20], ("JPEG", None, None, False)),
+        "cut in a segment": (jpeg(80, 60)[:8], ("JPEG", None, None, False)),
+        "no frame": (b"\xff\xd8\xff\xd9", ("JPEG", None, None, False)),
+        "no mark": (b"\xff\xd8ab" + jpeg(8, 8), ("JPEG", None, None, False)),
+        "png": (good, ("PNG", 80, 60, True)),
+        "png and more": (good + b"trailing" * 1000, ("PNG", 80, 60, True)),
+        "many chunks": (many, ("PNG", 80, 60, True)),
+        "many chunks cut": (many[:-12], ("PNG", 80, 60, False)),
+        "png cut": (good[:-12], ("PNG", 80, 60, False)),
+        "png chunk cut": (good[:50], ("PNG", 80, 60, False)),
+        "webp": (webp, ("WEBP", 80, 60, True)),
+        "webp cut": (webp[:-1], ("WEBP", 80, None, False)),
+        "webp kind": (webp.replace(b"VP8X", b"VP8Y"), ("WEBP", None, None, False)),
+        "gif": (b"GIF89a" + struct.pack("<HH", 80, 60) + b"\x80\x00\x00;", ("GIF", 80, 60, True)),
+        "bmp": (b"BM" + struct.pack("<I", 26) + bytes(12) + struct.pack("<ii", 80, -60), ("BMP", 80, 60, True)),
+        "text": (b"plain text", (None, None, None, False)),
+        "empty": (b"", (None, None, None, False)),
+        "mark alone": (b"\xff\xd8", ("JPEG", None, None, False)),
+    }
+    assert all(plain_png_is_whole(d) == want[3] for d, want in cases.values() if want[0] == "PNG")
+    table = spark.createDataFrame([(k, bytearray(d)) for k, (d, _) in cases.items()], "name string, content binary")
+    found = table.select("name", uploads.read_picture(table["content"]).alias("p"))
+    assert {r.name: tuple(r.p) for r in found.collect()} == {k: want for k, (_, want) in cases.items()}
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_files_are_walked_in_linear_time(spark):
+    import time
+
+    slow = [b"\xff\xd8" + b"\xff" * 1_000_000, jpeg(80, 60, b"\xff\xfe\x00\x02" * 250_000), png(8, 8)[:33] + (struct.pack(">I4s", 0, b"tEXt") + b"abcd") * 80_000]
+    began = time.time()
+    rows = spark.createDataFrame([(bytearray(d),) for d in slow], "content binary")
+    assert [r.p.whole for r in rows.select(uploads.read_picture(rows["content"]).alias("p")).collect()] == [False, True, False]
+    assert time.time() - began < 60
