@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollkeeper.llm.quality import ERROR, GRIDS, RISK, STRATA
+from rollkeeper.llm.quality import ERROR, GRIDS, RISK
 
 BLANK = r"\x20\x09-\x0D"
 WORDS = f"regexp_extract_all(coalesce(text, ''), '[^{BLANK}]+')"
@@ -43,27 +43,22 @@ measured AS (
   SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)
 ), good AS (
   SELECT based.* FROM based JOIN marks USING (doc_id) WHERE quality = 1 AND NOT base_failed
-), own AS (
-  SELECT lang AS own FROM good WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {STRATA}
-), placed AS (
-  SELECT rid, own FROM good LEFT JOIN own ON lang = own
 ), seen AS (
-  SELECT own, rule, cut, count(*) AS n, count(*) FILTER (measure > cut) AS k
-  FROM placed JOIN measured USING (rid) GROUP BY own, rule, cut
+  SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (measure > cut) AS k
+  FROM good JOIN measured USING (rid) GROUP BY lang, rule, cut
 ), tested AS (
-  SELECT *, {RISK} / {len(GRIDS)} AS p, (SELECT count(*) FROM seen) AS tests FROM seen
+  SELECT *, {RISK} / {len(GRIDS)} AS p, (SELECT count(*) FROM (SELECT DISTINCT lang FROM good)) * {len(GRIDS)} AS tests FROM seen
 ), tests_sum AS (
-  SELECT own, rule, cut, n, k, p, tests,
+  SELECT lang, rule, cut, n, k, p, tests,
          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)))) AS chance
   FROM tested
-), bounded AS (
-  SELECT own, rule, cut FROM tests_sum WHERE k <= n * p AND chance <= {ERROR} / tests
+), passed AS (
+  SELECT lang, rule, cut, min((k <= n * p AND chance <= {ERROR} / tests)::INT) OVER (PARTITION BY lang, rule ORDER BY cut DESC) AS ok FROM tests_sum
 ), cuts AS (
-  SELECT own, rule, min(cut) AS cut FROM bounded GROUP BY own, rule
+  SELECT lang, rule, min(cut) AS cut FROM passed WHERE ok = 1 GROUP BY lang, rule
 ), rejected AS (
   SELECT DISTINCT measured.rid FROM measured JOIN based USING (rid)
-  JOIN cuts ON cuts.rule = measured.rule AND cuts.cut = measured.cut
-       AND cuts.own IS NOT DISTINCT FROM CASE WHEN lang IN (SELECT own FROM own) THEN lang END
+  JOIN cuts ON cuts.rule = measured.rule AND cuts.cut = measured.cut AND cuts.lang IS NOT DISTINCT FROM based.lang
   WHERE measure > cuts.cut
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

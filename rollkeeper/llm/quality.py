@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
 Each rule rejects documents whose measure lies above a cutoff. The cutoffs are chosen on labelled documents, for
-every stratum on its own: of the cutoffs on a fixed grid, the lowest whose rate of falsely rejected good documents
-is below a limit with confidence. The bound is the exact binomial one (Clopper and Pearson), and the error of
-confidence is divided by the number of all tests made, so all choices hold together.
+every stratum on its own. The cutoffs of a rule are tested in a fixed order, from the one that rejects least on, whether
+the rate of falsely rejected good documents is below a limit with confidence; the first that fails ends the row, and the last
+that passed is chosen. The bound is the exact binomial one (Clopper and Pearson). Tests in a fixed order need no correction among
+themselves, so the error of confidence is divided by the number of rows, rules times strata, and all choices hold together.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ GRIDS = {
     "long_words": (7.0, 8.0, 9.0, 10.0, 12.0, 15.0, 20.0, 30.0),
     "short_words": (-5.0, -4.5, -4.0, -3.5, -3.0, -2.5, -2.0, -1.5),
 }
-# At most this part of the good documents of a stratum is falsely rejected, all rules together, with this error.
+# At most this part of the good documents of a stratum is falsely rejected, all rules together, with this error. With four strata a
+# rule can act in those with about 1,500 good labels; a larger risk needs fewer.
 RISK = 0.02
 ERROR = 0.05
-# Only the SQL counterpart uses this: it pools null with the strata beyond so many, and looks there for those without labels.
-STRATA = 200
 # The table of cutoffs is sent to every task up to this size; a larger one is met in so many parts of each stratum.
 SENT_ROWS = 10_000
 SENT_BYTES = 2_000_000
@@ -134,7 +134,7 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> Da
 
     ``labelled`` has ``stratum``, ``quality`` and the counts. Every stratum with good labels stands for itself, null too.
     The limit of each rule is the risk divided by the number of rules, and the error of each test is the error divided
-    by the number of rules, cutoffs and strata.
+    by the number of rules and strata.
     """
     good = labelled.filter(c("quality") == 1).filter(~base_failed())
     limit = risk / len(GRIDS)
@@ -142,15 +142,21 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> Da
         F.sum((m > cut).cast("long")).alias(f"{rule}_{i}") for rule, m in measures().items() for i, cut in enumerate(GRIDS[rule])
     ]
     table = stage(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests), "quality-tests")
-    made = max(1, table.count()) * sum(map(len, GRIDS.values()))
-    # The lower the cutoff, the more it rejects. The upper bound of the rate lies below the limit just where seeing
-    # so few rejections would have less chance than the error if the rate were the limit.
-    passes = lambda k: (k <= c("n") * limit) & (log_tail(c("n"), k, limit) <= math.log(error / made))
-    chosen = [
-        F.coalesce(*[F.when(passes(c(f"{rule}_{i}")), F.lit(cut)) for i, cut in enumerate(sorted(grid))]).alias(rule)
-        for rule, grid in GRIDS.items()
-    ]
-    return table.select("stratum", *chosen)
+    rows = max(1, table.count()) * len(GRIDS)
+    # The upper bound of the rate lies below the limit just where seeing so few rejections would have less chance than the
+    # error if the rate were the limit.
+    passes = lambda k: (k <= c("n") * limit) & (log_tail(c("n"), k, limit) <= math.log(error / rows))
+
+    def chosen(rule: str, grid: tuple) -> Column:
+        # The higher the cutoff, the less it rejects.
+        order = sorted(range(len(grid)), key=lambda i: -grid[i])
+        tested = F.array(*[passes(c(f"{rule}_{i}")) for i in order])
+        first_failed = let(tested, lambda t: F.array_position(t, F.lit(False)))
+        cuts = F.array(*[F.lit(float(grid[i])) for i in order])
+        last = F.when(first_failed == 0, F.lit(len(grid))).otherwise(first_failed - 1).cast("int")
+        return F.get(cuts, last - 1).alias(rule)
+
+    return table.select("stratum", *[chosen(rule, grid) for rule, grid in GRIDS.items()])
 
 
 def _with_cutoffs(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -125,6 +125,54 @@ def test_strata_stand_for_themselves(spark, monkeypatch):
         assert got == {20_000: False, 20_001: True, 20_002: True, 20_003: True, 20_004: True}
 
 
+def quality_table(spark, folder):
+    """Documents and labels on which every rule finds a cutoff in two strata, one of them null, and too few labels in a third."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda n: "".join(rng.choice(letters, n))
+    plain = [" ".join(word(int(n)) for n in rng.integers(4, 8, 60)) for _ in range(40)]
+    line = " ".join(word(5) for _ in range(3))
+    odd = [
+        plain[0] + " #" * 200, plain[1] + f"\n{line}" * 40, plain[2] + f" {line}" * 12, " ".join(word(40) for _ in range(60)),
+        " ".join(rng.choice(letters) for _ in range(90)), plain[3] + " # $", plain[4] + f" {line} {line}",
+    ]
+    docs, labels = [], []
+    for lang, n in (("en", 2600), (None, 2600), ("xx", 300)):
+        for i in range(n):
+            doc = len(docs)
+            # A few odd ones are good, fewer than the limit.
+            bad = i % 20 == 0
+            docs.append((doc, (odd[i // 20 % len(odd)] if bad else plain[i % len(plain)]) + f" {word(5)}", lang, "s", 1))
+            labels.append((doc, int(not bad or i in (0, 60)), 0))
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_chosen_cutoffs_equal_sql(spark, tmp_path):
+    import duckdb
+
+    quality_table(spark, tmp_path)
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare(spark, con, "op3", queries.op3_quality_rules, ORACLES["op3_quality_rules"], str(tmp_path)) == ""
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = quality.judged(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    lost = Counter(r.lang for r in rows.filter("not kept and not base_failed").select("_row.lang").collect())
+    assert lost["en"] > 50 and lost[None] > 50 and lost["xx"] == 0
+    seen = quality.counts(docs).select("doc_id", F.col("lang").alias("stratum"), "_q.*").join(spark.read.parquet(f"{tmp_path}/labels.parquet"), "doc_id")
+    chosen = {r.stratum: r for r in quality.cutoffs(seen).collect()}
+    for rule in quality.GRIDS:
+        assert chosen["en"][rule] is not None and chosen[None][rule] is not None and chosen["xx"][rule] is None, rule
+
+
+def test_cutoffs_stop_at_the_first_failure(spark):
+    """A cutoff that passes again after one that failed cannot be reached; counts never fall as cutoffs do."""
+    good = [("en", 1, 100, 500, 0, 0, 0)] * 4000 + [("en", 1, 100, 500, 120, 0, 0)] * 60
+    table = spark.createDataFrame(good, "stratum string, quality int, " + ", ".join(f"{n} long" for n in quality.COUNTS))
+    assert quality.cutoffs(table).first().symbols_per_word == 1.5
+
+
 # --- lines -------------------------------------------------------------------------------------------
 
 
