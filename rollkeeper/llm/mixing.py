@@ -36,31 +36,40 @@ def place(key: Column) -> Column:
     return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("null"))), 1, DIGITS * LEVELS)
 
 
+def _before(rows: DataFrame, order: list[Column], *values: str) -> DataFrame:
+    """Add ``before_`` each value: its sum over all rows that come earlier in the order.
+
+    Rows are dealt by ranges of the order; sums run inside a range, and those of whole ranges, as many as there are
+    partitions, are added.
+    """
+    dealt = stage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(*[F.sum(v).alias(f"_all_{v}") for v in values])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_all_{v}").over(earlier), F.lit(0)).alias(f"_earlier_{v}") for v in values])
+    summed = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_inside_{v}") for v in values])
+    found = [(c(f"_inside_{v}") + c(f"_earlier_{v}")).alias(f"before_{v}") for v in values]
+    return summed.join(ranges, "_range").select(*rows.columns, *found)
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Words wanted of each source, from ``source`` and ``source_size``.
 
     Sources weigh ``weights`` in turn by code point, null last, and share ``share`` times all words by weight. None
     gets more than ``most`` times its size; what it leaves is shared by the others. Those that stop are the first
-    by room per weight, so one running sum tells where the stopping ends.
+    by room per weight, so running sums tell where the stopping ends. No task has all sources.
     """
-    order = W.orderBy(c("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (turn + 1).cast("int")).cast("long")
-    room = sizes.withColumn("weight", weight).withColumn("room", c("source_size") * most)
-    by_room = W.orderBy((c("room") / c("weight")).asc(), c("source").asc_nulls_last())
-    before = by_room.rowsBetween(W.unboundedPreceding, -1)
-    after = by_room.rowsBetween(0, W.unboundedFollowing)
-    everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    room = room.select(
-        "source", "source_size", "weight", "room",
-        (F.sum("source_size").over(everything) * F.lit(float(share))).alias("total"),
-        F.coalesce(F.sum("room").over(before), F.lit(0)).alias("full"),
-        F.sum("weight").over(after).alias("weights"),
-    )
-    level = (c("total") - c("full")) / c("weights")
+    by_name = [c("source").asc_nulls_last()]
+    room = _before(sizes.withColumn("one", F.lit(1)), by_name, "one")
+    weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (c("before_one") % len(weights) + 1).cast("int")).cast("long")
+    room = room.withColumn("weight", weight).withColumn("room", c("source_size") * most).drop("one", "before_one")
+    room = stage(_before(room, [(c("room") / c("weight")).asc(), *by_name], "room", "weight"), "mix-room")
+    every = room.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weights")).first()
+    level = (F.lit(every.words * float(share)) - c("before_room")) / (F.lit(every.weights) - c("before_weight"))
     stops = c("room") <= level * c("weight")
-    room = room.withColumn("level", F.max(F.when(~stops, level)).over(everything))
-    wanted = F.least(c("room").cast("double"), c("level") * c("weight"))
+    # One number: the share of a unit of weight for all sources that have more room.
+    level = room.agg(F.max(F.when(~stops, level))).first()[0]
+    wanted = F.least(c("room").cast("double"), F.lit(level).cast("double") * c("weight"))
     return room.select("source", "source_size", F.coalesce(wanted, c("room").cast("double")).alias("target"))
 
 
