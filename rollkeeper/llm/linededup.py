@@ -20,9 +20,12 @@ c = F.col
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
-BATCHES = 4
 FANOUT = 3
+# Batches and buckets follow the size of the texts: at least so many, and more for so many bytes in each.
+BATCHES = 4
+BATCH_BYTES = 4 << 40
 BUCKETS = 16
+BUCKET_BYTES = 1 << 30
 
 
 def lines_of(text: Column) -> Column:
@@ -91,6 +94,13 @@ class LineRuns:
         return _merged([self.spark.table(n) for n in names]) if names else None
 
 
+    def drop(self) -> None:
+        """Leave nothing in the catalogue."""
+        for name in [n for level in self.levels for n in level]:
+            self.spark.sql(f"DROP TABLE {name}")
+        self.levels = [[]]
+
+
 def _merged(runs: list[DataFrame]) -> DataFrame:
     if len(runs) == 1:
         return runs[0]
@@ -100,9 +110,16 @@ def _merged(runs: list[DataFrame]) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int = BATCHES) -> DataFrame:
-    """Hashes of the lines that each document loses: ``doc_id, drops``."""
+def layout(size: int) -> tuple[int, int]:
+    """Batches, and buckets of a run, for texts of so many bytes."""
+    return max(BATCHES, -(-size // BATCH_BYTES)), max(BUCKETS, -(-size // BUCKET_BYTES))
+
+
+def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int | None = None) -> DataFrame:
+    """Hashes of the lines that each document loses: ``doc_id, drops``; as many batches as the size asks for unless given."""
     spark = docs.sparkSession
+    wanted, buckets = layout(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    batches = batches or wanted
     hashes = F.array_distinct(F.transform(lines_of(c("text")), lambda x: line_hash(x, least_chars)))
     held = docs.select("doc_id", F.explode(F.array_compact(hashes)).alias("hash"))
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
@@ -110,21 +127,22 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: i
     # Batch 0 has the largest ids; null ids are last, as none of them is a largest one.
     number = reduce(lambda e, i: F.when(c("doc_id") > cuts[i], i).otherwise(e), reversed(range(len(cuts))), F.lit(len(cuts)))
     held = stage(held.withColumn("batch", number.cast("int")), "line-hashes", by="batch")
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, buckets=buckets)
     for i in range(len(cuts) + 1):
         runs.add(held.filter(c("batch") == i).select("hash", "doc_id"))
-    often = runs.totals().filter(c("docs") >= least_docs).select("hash", "keeper")
+    often = stage(runs.totals().filter(c("docs") >= least_docs).select("hash", "keeper"), "line-often")
+    runs.drop()
     lost = held.join(often, "hash").filter(~c("doc_id").eqNullSafe(c("keeper"))).select("doc_id", "hash")
     return lost.groupBy("doc_id").agg(F.collect_set("hash").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int = LEAST_CHARS, batches: int | None = None) -> DataFrame:
     """``row`` (all columns, the text without its repeated lines), ``n_lines`` and ``n_dropped``, how many it had and lost.
 
     A line whose key has ``least_chars`` code points and is held by ``least_docs`` rows goes from all but the rows with
     the largest id. A null or empty text has one empty line and stays as it is. Rows that repeat an id count each; those
     with the largest id keep the line. A null id is smaller than all others; lines held only by null ids are all lost.
-    The struct keeps columns of any name apart from the results. An empty table gives an empty table.
+    The struct keeps columns of any name apart from the results. Texts are taken whole, however long. An empty table gives an empty table.
     """
     lost = repeated_lines(docs.select("doc_id", "text"), least_docs, least_chars, batches).withColumnRenamed("doc_id", "id")
     rows = docs.select(F.struct(*[docs[n] for n in docs.columns]).alias("row"), "doc_id", "text")

@@ -193,6 +193,17 @@ def test_lines_equal_brute_force(docs, texts, batches):
     assert sorted(rows_of(rows), key=repr) == sorted(expected, key=repr)
 
 
+def test_runs_follow_the_size():
+    assert linededup.layout(0) == (4, 16) and linededup.layout(10 << 30) == (4, 16)
+    assert linededup.layout(100 << 40) == (25, 100 << 10)
+
+
+def test_runs_leave_nothing_in_the_catalogue(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert linededup.dedup_lines(docs).count() == 15
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_lines_of_nothing(none):
     assert linededup.dedup_lines(none).count() == 0
 
