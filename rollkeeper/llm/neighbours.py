@@ -3,8 +3,9 @@
 Both halves of the vectors are quantised on their own, so a pair of centroids is a cell, and few centroids make many
 cells. A query orders the centroids of each half by their inner products with its halves and walks through the pairs
 from the largest sum down, with a heap, until the cells it has passed hold a given part of the index. The sum at which
-it stops says which cells it has visited. Shards of the index are then met by blocks of queries, and the entries
-of visited cells are ranked by their true inner products.
+it stops says which cells it has visited. Entries lie in lists by cell: neighbouring small cells share one, a large cell has several.
+A query goes to the lists of the cells that it has visited and to no others, and the entries of visited cells are
+ranked by their true inner products.
 
 An entry is a distinct vector, however many ids have it, so copies use up nothing of a walk. Equal scores go to the
 smaller id, so of one vector's ids only the ``top`` smallest besides the query's own can ever be found; those are kept
@@ -34,8 +35,10 @@ ROUNDS = 8
 VISITED = 0.4
 LEAST_VISITED = 1000
 TOP = 20
+# Entries in a list, queries that meet it in one group, and of these at once.
 SHARD = 4096
-BLOCK = 512
+BLOCK = 8192
+AT_ONCE = 512
 _CLOSE = 1e-9
 # The ids of one vector are first ranked in so many parts, as one vector may have most of them.
 PARTS = 64
@@ -94,6 +97,22 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, wanted: float)
     return -total
 
 
+def lists_of(held: np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """The first list of each cell, how many lists it has, and the number of all: cells in order share lists of about ``size`` entries."""
+    size = size or SHARD
+    first, parts = np.zeros(held.shape, dtype=np.int64), np.ones(held.shape, dtype=np.int64)
+    number, filled = 0, 0
+    for cell in np.ndindex(*held.shape):
+        n = int(held[cell])
+        if filled and filled + n > size:
+            number, filled = number + 1, 0
+        first[cell], filled = number, filled + n
+        if n > size:
+            parts[cell] = -(-n // size)
+            number, filled = number + int(parts[cell]), 0
+    return first, parts, number + 1
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, size)
@@ -153,27 +172,45 @@ class MultiIndex:
         size, half, books, held, kind = self.size, self.half, self.books, self.held, self.kind
         total = int(held.sum())
         wanted = max(visited * total, min(LEAST_VISITED, total))
+        first, parts, lists = lists_of(held)
 
         def stops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filled = held > 0
             for batch in batches:
                 v = _matrix(batch.column("query"), size)
-                first, second = v[:, :half] @ books[0].T, v[:, half:] @ books[1].T
-                stop = [walk(x, y, held, wanted) for x, y in zip(first, second)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stop, pa.float64())], names=["query_id", "query", "stop"])
+                one, two = v[:, :half] @ books[0].T, v[:, half:] @ books[1].T
+                stop = [walk(x, y, held, wanted) for x, y in zip(one, two)]
+                fetched = []
+                for x, y, z in zip(one, two, stop):
+                    cells = ((x[:, None] + y[None, :]) >= z - _CLOSE) & filled
+                    seen = np.zeros(lists + 1, dtype=np.int64)
+                    np.add.at(seen, first[cells], 1)
+                    np.add.at(seen, first[cells] + parts[cells], -1)
+                    fetched.append(np.flatnonzero(np.cumsum(seen)[:lists]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stop, pa.float64()), pa.array(fetched, pa.list_(pa.int64()))], names=["query_id", "query", "stop", "lists"])
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                i, j, salt = (batch.column(n).to_numpy() for n in ("i", "j", "salt"))
+                yield batch.drop_columns(["salt"]).append_column("list", pa.array(first[i, j] + salt % parts[i, j], pa.int64()))
 
         asked = queries.select(c("vec_id").alias("query_id"), c("vector").alias("query"))
-        asked = stage(asked.mapInArrow(stops, f"query_id {kind}, query array<double>, stop double"), "queries")
-        shards, blocks = -(-total // SHARD), -(-asked.count() // BLOCK)
-        spread = lambda n: F.sequence(F.lit(0), F.lit(max(n, 1) - 1))
-        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))).cast("int"))
-        asked = asked.withColumn("shard", F.explode(spread(shards)))
-        entries = self.rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(max(shards, 1))).cast("int"))
-        entries = entries.withColumn("block", F.explode(spread(blocks)))
+        asked = stage(asked.mapInArrow(stops, f"query_id {kind}, query array<double>, stop double, lists array<bigint>"), "queries")
+        blocks = max(1, -(-asked.count() // BLOCK))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        asked = asked.select("query_id", "query", "stop", "block", F.explode("lists").alias("list"))
+        salted = self.rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)))
+        entries = salted.mapInArrow(placed, f"vec_id {kind}, vector array<double>, ids array<{kind}>, i int, j int, list bigint")
+        # An entry is sent once for so many queries.
+        entries = entries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
         def meet(some: pa.Table, shard: pa.Table) -> pa.Table:
-            """The best ids of a shard for each query of a block.
+            """The best ids of a list for each query that fetches it."""
+            found = [meet_some(some.slice(a, AT_ONCE), shard) for a in range(0, max(1, len(some)), AT_ONCE)]
+            return pa.concat_tables(found)
 
-            One vector more than wanted is ranked, as the query's own may have no other id.
+        def meet_some(some: pa.Table, shard: pa.Table) -> pa.Table:
+            """One vector more than wanted is ranked, as the query's own may have no other id.
             """
             most = top + 1
             names = ["query_id", "vec_id", "score"]
@@ -200,7 +237,7 @@ class MultiIndex:
                 out = [some.column("query_id").take(pa.array(a)), pa.array(found, shard.schema.field("vec_id").type), pa.array(score)]
             return pa.Table.from_arrays(out, names=names)
 
-        met = asked.groupBy("block", "shard").cogroup(entries.groupBy("block", "shard"))
+        met = asked.groupBy("block", "list").cogroup(entries.groupBy("block", "list"))
         best = met.applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(c("score").desc(), "vec_id"))
         return best.withColumn("rank", rank).filter(c("rank") <= top).select("query_id", "rank", "vec_id", "score")

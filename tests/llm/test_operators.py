@@ -549,6 +549,56 @@ def test_copies_use_up_nothing_of_the_walk(spark):
     assert np.mean(recall[True]) >= 0.9 and recall[False] and min(recall[False]) == 1
 
 
+def test_lists_hold_every_cell():
+    rng = np.random.default_rng(6)
+    held = rng.integers(0, 40, (9, 7)) * (rng.random((9, 7)) < 0.6)
+    held[3, 4] = 500
+    first, parts, lists = neighbours.lists_of(held, 100)
+    sizes = np.zeros(lists)
+    for cell in np.ndindex(*held.shape):
+        sizes[first[cell] : first[cell] + parts[cell]] += held[cell] / parts[cell]
+    assert sizes.max() <= 100 and parts[3, 4] == 5 and parts.sum() == 63 + 4 and sizes.sum() == held.sum()
+    # Next to the large cell lists may be filled in part; otherwise few are.
+    assert lists <= held.sum() / 100 * 2 + 2
+
+
+def test_queries_fetch_visited_lists_only(spark, monkeypatch):
+    """With clustered vectors and a small part visited, few lists are fetched and little is lost."""
+    monkeypatch.setattr(neighbours, "SHARD", 100)
+    monkeypatch.setattr(neighbours, "LEAST_VISITED", 200)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (30, 16))
+    vectors = np.repeat(centres, 100, axis=0) + rng.normal(0, 0.05, (3000, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    index = neighbours.MultiIndex(table, centroids=32)
+    found = index.search(index.vectors.filter("vec_id % 20 = 0"), 20, visited=0.1)
+    got = defaultdict(set)
+    for r in found.collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q, mine in got.items():
+        order = [i for i in np.argsort(-(vectors @ vectors[q])) if i != q][:20]
+        hits += len(mine & set(map(int, order)))
+    assert len(got) == 150 and hits / 3000 >= 0.9
+
+
+def test_recall_on_the_given_vectors(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").collect()
+    vectors = np.array([r.embedding for r in rows], dtype=np.float64)
+    ids = np.array([r.vec_id for r in rows])
+    got = defaultdict(set)
+    for r in queries.op8_nearest_neighbours(spark, folder).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = wanted = 0
+    for q, mine in got.items():
+        scores = vectors @ vectors[np.flatnonzero(ids == q)[0]]
+        order = [i for i in ids[np.lexsort((ids, -scores))].tolist() if i != q][:20]
+        hits, wanted = hits + len(mine & set(order)), wanted + 20
+    print("recall", hits / wanted)
+    assert len(got) == (ids % 20 == 0).sum() and hits / wanted >= 0.9
+
+
 def test_walk_equals_sorting_all_pairs():
     rng = np.random.default_rng(2)
     for _ in range(20):
