@@ -151,24 +151,26 @@ def _pairs(text: str, tokens: list[tuple[str, int, int]]) -> Iterator[int]:
             yield i
 
 
-def surroundings(text: str) -> list[tuple[int, bool, int, list[str], list[str]]]:
+def surroundings(text: str) -> list[tuple[int, bool, int, list[str], list[str], list[str]]]:
     """For each entity: its number, whether it is its first place in the text, a digest of the words around it, and the
-    terms around it, those that the text already had around this entity apart."""
+    terms around it: those that the text has had around no entity, around others only, and around this one already."""
     spans = base_spans(text)
     if not spans:
         return []
     blank = _without(text, spans)
     tokens = _tokens(blank)
     starts, paired = [a for _, a, _ in tokens], set(_pairs(blank, tokens))
-    entities, met, out = set(), set(), []
+    entities, met, ever, out = set(), set(), set(), []
     for kind, a, b in spans:
         entity = _entity(kind, text[a:b])
         low, high = max(0, bisect_left(starts, a) - REACH), bisect_left(starts, b) + REACH
         words = [t for t, _, _ in tokens[low:high]]
         terms = set(words) | {f"{words[k]} {words[k + 1]}" for k in range(len(words) - 1) if low + k in paired}
         fresh = {t for t in terms if (entity, t) not in met}
-        out.append((entity, entity not in entities, xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), sorted(fresh), sorted(terms - fresh)))
+        around = xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+        out.append((entity, entity not in entities, around, sorted(terms - ever), sorted(fresh & ever), sorted(terms - fresh)))
         entities.add(entity)
+        ever |= terms
         met.update((entity, t) for t in fresh)
     return out
 
@@ -242,10 +244,11 @@ class Filter:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """``entity, first, around, fresh, others`` of each entity in each text, as ``surroundings`` has them."""
+    """``entity, first, around, firsts, fresh, others`` of each entity in each text, as ``surroundings`` has them."""
+    lists = ("firsts", "fresh", "others")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("entity", pa.int64()), ("first", pa.bool_()), ("around", pa.int64()), ("fresh", pa.list_(pa.string())), ("others", pa.list_(pa.string()))])
+        schema = pa.schema([("entity", pa.int64()), ("first", pa.bool_()), ("around", pa.int64()), *((n, pa.list_(pa.string())) for n in lists)])
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 rows = surroundings(text or "")
@@ -253,7 +256,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                     columns = zip(*rows[i : i + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "entity bigint, first boolean, around bigint, fresh array<string>, others array<string>")
+    return docs.select("text").mapInArrow(run, ", ".join(["entity bigint, first boolean, around bigint", *(f"{n} array<string>" for n in lists)]))
 
 
 def term_counts(docs: DataFrame, wanted: Filter) -> DataFrame:
@@ -283,12 +286,16 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     most about, the part of the information it gives, and whether it is to be removed."""
     small_batches(docs.sparkSession)
     seen = stage(contexts(docs), "contexts")
-    every = F.concat(F.transform("fresh", lambda t: F.struct(t.alias("term"), F.lit(1).alias("new"))), F.transform("others", lambda t: F.struct(t.alias("term"), F.lit(0).alias("new"))))
+    marked_as = lambda name, new: F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(new).alias("new")))
+    every = F.concat(marked_as("firsts", 1), marked_as("fresh", 1), marked_as("others", 0))
     near = seen.select("entity", "around", F.inline(every))
     # One row for each surrounding first, so that neither a common word nor a common entity is one task's.
     near = near.groupBy("entity", "term", "around").agg(F.sum("new").alias("docs"))
     near = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("docs").alias("both"))
-    near = stage(near.filter(c("contexts") >= CONTEXTS), "near-terms")
+    # A term has at least the documents that have it around any entity, so common words need not be counted further.
+    least = seen.select(F.explode("firsts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    near = near.filter(c("contexts") >= CONTEXTS).join(least, "term")
+    near = stage(near.filter(F.log2(c("least") / c("both")) <= GENERALISE_BITS).drop("least"), "near-terms")
     held = seen.groupBy("entity").agg(F.sum(c("first").cast("bigint")).alias("held"))
     counts = term_counts(docs, Filter.of(near.select("term").distinct()))
     total = docs.count()
