@@ -694,6 +694,11 @@ _oracle(
     "SELECT q.scope_id, rec_seq, r.s AS roster_seq, upper(q.status) AS final_status, CASE WHEN q.student_id IS NULL THEN 'SKIPPED' WHEN r.s IS NULL THEN 'STUDENT_NOT_FOUND' END AS reason "
     "FROM approved q LEFT JOIN (SELECT scope_id, student_id, max(roster_seq) AS s FROM roster GROUP BY ALL) r ON r.scope_id = q.scope_id AND r.student_id = q.student_id",
 )
+_oracle(
+    "j13_apply_by_id_counting_unknown", "approved roster",
+    "SELECT q.scope_id, rec_seq, r.s AS roster_seq, upper(q.status) AS final_status, CASE WHEN q.student_id IS NULL THEN 'SKIPPED' END AS reason "
+    "FROM approved q LEFT JOIN (SELECT scope_id, student_id, max(roster_seq) AS s FROM roster GROUP BY ALL) r ON r.scope_id = q.scope_id AND r.student_id = q.student_id",
+)
 _oracle("j14_missing_controls", "targets", "SELECT scope_id, rec_seq, roster_seq FROM targets WHERE reason = 'ATTENDANCE_CONTROL_NOT_FOUND'")
 _oracle("w1_w2_repeats", "results", "SELECT scope_id, rec_seq, is_duplicate, is_conflict, resolution, review_reason FROM results")
 _oracle("w3_fuzzy_candidates", "ranked", f"SELECT scope_id, norm_name, rank, student_id, {round2('score')} AS similarity FROM ranked WHERE rank <= 5")

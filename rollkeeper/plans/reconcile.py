@@ -53,6 +53,8 @@ def reconcile(
 ) -> Reconciliation:
     """The full job. Read results ordered by ``scope_id, rec_seq``."""
     resolved, candidates = resolve(records, roster, config, keep)
+    # Read for the first records of students and again for all.
+    resolved = keep(resolved)
     firsts = matching.first_seen(resolved)
     results = keep(matching.flag_repeats(resolved, firsts, config))
     missing = matching.missing_students(roster, matching.first_seen(results))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +31,24 @@ def forget_stored() -> None:
 
 
 class Inputs(Views):
-    """The views, with the tables several operators start from stored once per session."""
+    """The views, with the tables several operators start from stored once per session and state of the folder."""
+
+    def _key(self, name: str) -> tuple[str, str, str]:
+        return self.spark.sparkContext.applicationId, f"{self.folder}#{self._state()}", name
+
+    @lru_cache(maxsize=1)  # noqa: B019
+    def _state(self) -> int:
+        """A digest of the files behind the views, so that a changed table is read anew."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.folder)
+        found, listed = [], root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        while listed.hasNext():
+            file = listed.next()
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+        return hash(tuple(sorted(found)))
 
     def _stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = self._key(name)
         if key not in _STORED:
             _STORED[key] = stage(build())
         return _STORED[key]
@@ -82,7 +97,7 @@ class Inputs(Views):
 
     def match(self) -> reconcile.Reconciliation:
         """The full match, fuzzy step included, over stored results."""
-        key = (self.spark.sparkContext.applicationId, self.folder, "match")
+        key = self._key("match")
         if key not in _STORED:
             _STORED[key] = reconcile.reconcile(self.good_records(), self.roster())
         return _STORED[key]
@@ -617,6 +632,12 @@ def _(v):
     return apply.apply_targets_by_id(v.roster_rows(), v.approved()).select(*KEYS, "roster_seq", "final_status", "reason")
 
 
+@query("j13_apply_by_id_counting_unknown")
+def _(v):
+    targets = apply.apply_targets_by_id(v.roster_rows(), v.approved(), count_unknown=True)
+    return targets.select(*KEYS, "roster_seq", "final_status", "reason")
+
+
 @query("j14_missing_controls")
 def _(v):
     targets = apply.apply_targets(v.roster_rows(), v.approved())
@@ -625,7 +646,7 @@ def _(v):
 
 @query("w1_w2_repeats")
 def _(v):
-    resolved, _ = reconcile.resolve(v.good_records(), v.roster())
+    resolved = stage(reconcile.resolve(v.good_records(), v.roster())[0])
     flagged = matching.flag_repeats(resolved, matching.first_seen(resolved))
     return flagged.select(*KEYS, "is_duplicate", "is_conflict", "resolution", "review_reason")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollkeeper.operators import tallies
 from rollkeeper.plans import documents, history
 from rollkeeper.plans.reconcile import reconcile
+from rollkeeper.plans.sinks import write_extraction
 from rollkeeper.plans.versions import RosterVersions
 
 ROWS = "scope_id long, roster_seq long, status string"
@@ -83,6 +84,13 @@ def test_documents_hold_everything(spark, make, class_of_sixty, most):
     assert [r["raw_name"] for r in found[1]["records"]] == ["Al", "Bo"] and found[2]["summary"] == {"total_detected": 1, "present": 1, "absent": 0}
 
 
+def test_written_extraction(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "PRESENT"), (1, 2, "ABSENT"), (2, 1, "ABSENT")], "sheet_id long, rec_seq long, status string")
+    write_extraction(rows, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/records")).count() == 3
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/summary")).collect()) == [(1, 2, 1, 1), (2, 1, 0, 1)]
+
+
 def test_a_large_document_passes_in_blocks(spark):
     """Blocks stay at their size however many rows a sheet has."""
     rows = spark.range(200_000).select(F.lit(1).cast("long").alias("sheet_id"), F.col("id").alias("rec_seq"), F.concat(F.lit("name "), "id").alias("raw_name"))
