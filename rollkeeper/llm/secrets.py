@@ -3,7 +3,9 @@
 A candidate is a long run of characters that keys are made of, or, of any length and characters, a value after a key word
 such as ``password``, the password of a URL, or a token of three dotted parts. Its length, the transitions between its characters, how
 much of it common words cover, where its document comes from and the words next to it are what the forest looks at. It is
-trained on findings of known standing: values in a format that only keys have, and values that are plainly words.
+trained on labelled findings: those given as a table, and those whose standing their form shows. Values in a format that only keys
+have are secrets; runs of letters, identifiers of the usual form, digests after a word that names one and encoded pictures
+are false positives.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ FINDINGS = 5_000
 TREES = 20
 DEPTH = 6
 HASHED = 12
+PLACES = 8
 ACCEPT = 0.5
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
@@ -53,6 +56,10 @@ _AROUND = re.compile(r"[A-Za-z]+")
 # Public formats of keys, as the value and as the value with the text before it.
 _KEY_FORMS = (re.compile(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), re.compile(r"^gh[pousr]_[A-Za-z0-9]{36}$"), re.compile(r"^xox[abprs]-[A-Za-z0-9-]{10,}$"))
 _KEY_PLACES = (re.compile(r"(?:token|secret|api_?key)\s*[=:]\s*[\"']?$", re.IGNORECASE), re.compile(r"(?:password|passwd|pwd)\s*[=:]\s*[\"']?$", re.IGNORECASE))
+_UUID = re.compile(r"^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$", re.IGNORECASE)
+_DIGEST = re.compile(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$", re.IGNORECASE)
+_DIGEST_PLACE = re.compile(r"(?:commit|md5|sha-?[0-9]*|digest|checksum|hash|revision|rev|etag|blob|tree)[\"']?\s*[=: ]\s*[\"']?$", re.IGNORECASE)
+_PICTURE_PLACE = re.compile(r"image/[a-z+.-]+;base64,$", re.IGNORECASE)
 _HEX = re.compile(r"^[0-9a-f]{16,64}$")
 
 
@@ -99,9 +106,12 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 
 def standing(value: str, before: str, words: frozenset[str] = frozenset()) -> int | None:
-    """1 for values in the form of a key, 0 for runs of letters alone (short ones: common words), null for all others."""
+    """1 for values in the form of a key, 0 for runs of letters alone (short ones: common words), identifiers, named digests and
+    encoded pictures, null for all others."""
     if any(p.match(value) for p in _KEY_FORMS) or _HEX.match(value) and any(p.search(before) for p in _KEY_PLACES):
         return 1
+    if _UUID.match(value) or _DIGEST.match(value) and _DIGEST_PLACE.search(before) or _PICTURE_PLACE.search(before):
+        return 0
     if len(value) < LEAST:
         return 0 if value.lower() in words else None
     return 0 if not re.search(r"[0-9]", value) and not re.search(r"[a-z][A-Z]", value) else None
@@ -130,14 +140,18 @@ def features(value: str, before: str, after: str, place: str, words: frozenset[s
     near = [0.0] * HASHED
     for word in _AROUND.findall(before)[-2:] + _AROUND.findall(after)[:1]:
         near[zlib.crc32(word.lower().encode()) % HASHED] += 1
+    # Words of the path, hashed; a place without any has none.
+    path = [0.0] * PLACES
+    for word in _AROUND.findall(place):
+        path[zlib.crc32(word.lower().encode()) % PLACES] += 1
     named = float(before.rstrip().endswith(("=", ":", '"', "'")))
-    return [float(n), *shares, moves, pairs, turns, entropy, float(covered.mean()), named, zlib.crc32(place.encode()) % 97 / 97, *near]
+    return [float(n), *shares, moves, pairs, turns, entropy, float(covered.mean()), named, *path, *near]
 
 
 def dictionary(docs: DataFrame) -> frozenset[str]:
-    """Common words of three to six letters, by the number of all documents that have them."""
+    """Common words of three to six letters of any script, by the number of all documents that have them."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    words = docs.select(F.explode(F.filter(words, lambda w: w.rlike("^[a-z]{3,6}$"))).alias("word"))
+    words = docs.select(F.explode(F.filter(words, lambda w: w.rlike(r"^\p{L}{3,6}$"))).alias("word"))
     words = words.groupBy("word").count().orderBy(c("count").desc(), "word")
     return frozenset(r.word for r in words.limit(DICTIONARY_WORDS).collect())
 
@@ -171,13 +185,23 @@ def candidates(docs: DataFrame, words: frozenset[str]) -> DataFrame:
     return docs.select(*carried, "text").mapInArrow(run, f"{kinds}, start bigint, length bigint, value_sha256 string, label int, features array<double>")
 
 
-def findings(docs: DataFrame) -> DataFrame:
+def findings(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``doc_id, start, length, value_sha256, score, is_secret`` of every candidate; values themselves are not given out.
 
-    Null and empty texts have no candidates; starts are code points. Repeated rows are scanned each; a null source is a
-    place of its own. Where findings of one standing only, or none, are known, the score is their share of secrets.
+    ``labelled`` has ``doc_id, start, is_secret`` of findings that were judged; they go before what forms show, and labels without a
+    candidate are not used. Null and empty texts have no candidates; starts are code points. Repeated rows are scanned each, and
+    equal values are scored alike wherever they stand alike; a null source is a
+    place of its own. Texts are taken whole, however long; extra columns are left out, an empty table gives an empty one. Where findings
+    of one standing only, or none, are known, the score is their share of secrets.
     """
-    found = stage(candidates(docs, dictionary(docs)), "candidates")
+    found = candidates(docs, dictionary(docs))
+    if labelled is not None:
+        # A finding judged both ways is not used.
+        judged = labelled.groupBy("doc_id", "start").agg(F.min(c("is_secret").cast("int")).alias("low"), F.max(c("is_secret").cast("int")).alias("high"))
+        judged = judged.filter(c("low") == c("high")).select(c("doc_id").alias("_id"), c("start").alias("_start"), c("low").alias("judged"))
+        found = found.join(judged, c("doc_id").eqNullSafe(c("_id")) & (c("start") == c("_start")), "left")
+        found = found.withColumn("label", F.coalesce("judged", "label")).drop("_id", "_start", "judged")
+    found = stage(found, "candidates")
     parts = [
         some_of(found.filter(c("label") == k), FINDINGS, "value_sha256", "doc_id", "start") for k in (0, 1)
     ]
