@@ -8,9 +8,9 @@ leaves ``REMOVE_BITS`` or less of some entity is removed wherever it stands, one
 less is replaced by its kind, if it gives at least the part ``SHARE`` of the information (words that are as common elsewhere give none)
 and has been seen with the entity in ``CONTEXTS`` different surroundings (copies of one passage tell nothing new).
 
-Three passes read the documents: the first gives the surroundings of entities, the second counts the documents of the
-terms seen in enough of them, the third marks the spans. What terms the second and third look for goes along
-as a Bloom filter of fixed size; what passes it is then joined exactly, so the number of terms has no bound.
+Two passes read the documents: the first gives the surroundings of entities, the second the spans of personal data and of the
+terms seen in enough surroundings, whose documents are then counted. What terms the second looks for goes along
+as a Bloom filter of fixed size; what passes it is joined exactly, so the number of terms has no bound.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import hashlib
 import re
 import uuid
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,9 +52,8 @@ _WORD = re.compile(r"[^\W_]+")
 # Bits of a filter, and where the places of a term are taken from its hash.
 FILTER_BITS = 1 << 23
 SHIFTS = (0, 20, 40)
-# Words whose filter result is remembered, and counts that a task holds before it gives them on.
+# Words whose filter result is remembered.
 WORDS_KNOWN = 400_000
-COUNTS_KEPT = 200_000
 # Before a word that is a term looked for, or part of one.
 PART = "\x01"
 _PART = PART.encode()
@@ -259,31 +257,8 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, ", ".join(["entity bigint, first boolean, around bigint", *(f"{n} array<string>" for n in lists)]))
 
 
-def term_counts(docs: DataFrame, wanted: Filter) -> DataFrame:
-    """``term, docs``: the number of documents that have each term of a filter, and some others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def given() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "docs"])
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                counts.update({t for t, _, _ in wanted.candidates(_without(text, base_spans(text)))})
-                if len(counts) >= COUNTS_KEPT:
-                    yield given()
-        yield given()
-
-    return docs.select("text").mapInArrow(run, "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("docs"))
-
-
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """``term, removed, left, given`` of the terms that give an entity away: the bits that the term leaves of the entity it tells
-    most about, the part of the information it gives, and whether it is to be removed."""
+def near_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``entity, term, both`` of the terms seen in enough surroundings of an entity, and ``entity, held``, the documents of each."""
     small_batches(docs.sparkSession)
     seen = stage(contexts(docs), "contexts")
     marked_as = lambda name, new: F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(new).alias("new")))
@@ -295,17 +270,30 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     # A term has at least the documents that have it around any entity, so common words need not be counted further.
     least = seen.select(F.explode("firsts").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("least"))
     near = near.filter(c("contexts") >= CONTEXTS).join(least, "term")
-    near = stage(near.filter(F.log2(c("least") / c("both")) <= GENERALISE_BITS).drop("least"), "near-terms")
-    held = seen.groupBy("entity").agg(F.sum(c("first").cast("bigint")).alias("held"))
-    counts = term_counts(docs, Filter.of(near.select("term").distinct()))
-    total = docs.count()
-    rows = near.join(counts, "term").join(held, "entity")
-    information = F.log2(F.lit(float(max(1, total))) / c("held"))
+    near = stage(near.filter(F.log2(c("least") / c("both")) <= GENERALISE_BITS).select("entity", "term", "both"), "near-terms")
+    return near, seen.groupBy("entity").agg(F.sum(c("first").cast("bigint")).alias("held"))
+
+
+def scanned(docs: DataFrame, text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The marked rows of all documents (see ``marked``), and the disclosing terms among what they may hold:
+    ``term, removed, left, given``, the bits that a term leaves of the entity it tells most about, the part of the information
+    it gives, and whether it is to be removed."""
+    near, held = near_terms(docs)
+    rows = stage(marked(docs, None if near.isEmpty() else Filter.of(near.select("term").distinct()), text), "marked")
+    terms = F.array_distinct(F.transform("may", lambda m: m["term"]))
+    counts = rows.filter(F.size("may") > 0).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    found = near.join(counts, "term").join(held, "entity")
+    information = F.log2(F.lit(float(max(1, rows.count()))) / c("held"))
     left = F.log2(c("docs") / c("both"))
-    rows = rows.select("term", left.alias("left"), F.when(information > 0, (information - left) / information).otherwise(0.0).alias("given"))
-    rows = rows.filter((c("left") <= GENERALISE_BITS) & (c("given") >= SHARE))
-    rows = rows.groupBy("term").agg(F.min(F.struct("left", "given")).alias("most"))
-    return rows.select("term", (c("most.left") <= REMOVE_BITS).alias("removed"), "most.left", "most.given")
+    found = found.select("term", left.alias("left"), F.when(information > 0, (information - left) / information).otherwise(0.0).alias("given"))
+    found = found.filter((c("left") <= GENERALISE_BITS) & (c("given") >= SHARE))
+    found = found.groupBy("term").agg(F.min(F.struct("left", "given")).alias("most"))
+    return rows, stage(found.select("term", (c("most.left") <= REMOVE_BITS).alias("removed"), "most.left", "most.given"), "disclosing")
+
+
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """``term, removed, left, given`` of the terms that give an entity away."""
+    return scanned(docs.select("doc_id", "text"))[1]
 
 
 def _digest(spans: list[tuple[int, int, int]]) -> str:
@@ -371,9 +359,7 @@ def sanitise(docs: DataFrame, text: bool = True) -> DataFrame:
     and each counts as a document; texts are taken whole, however long, in time linear in their length. Ties cannot matter:
     a term has the one outcome everywhere. Extra columns are left out; an empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
-    terms = stage(disclosing_terms(docs), "disclosing")
-    rows = stage(marked(docs, None if terms.isEmpty() else Filter.of(terms), text), "marked")
+    rows, terms = scanned(docs.select("doc_id", "text"), text)
     found = rows.filter(F.size("may") > 0).select("row", F.inline("may")).join(terms.select("term", "removed"), "term")
     # No more than one text has.
     found = found.groupBy("row").agg(F.collect_list(F.struct("start", "end", "removed")).alias("terms"))
