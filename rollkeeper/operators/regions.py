@@ -119,7 +119,7 @@ def telling_boxes(boxes: DataFrame, *patterns: str) -> DataFrame:
     telling = header_type(text).isNotNull() | is_footer(text) | text.rlike(STU_ID)
     for pattern in patterns:
         telling = telling | text.rlike(pattern)
-    return boxes.select("sheet_id", "box_seq", "text", "conf", "cx", "cy", "w", "h", "min_x", "max_x", "min_y", "max_y").filter(telling)
+    return boxes.select("sheet_id", "box_seq", "text", "conf", "cx", "cy", "w", "h", "min_x", "max_x", "min_y", "max_y", "img_w").filter(telling)
 
 
 def sheet_tops(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), telling: DataFrame | None = None) -> DataFrame:
@@ -129,12 +129,11 @@ def sheet_tops(boxes: DataFrame, config: LayoutConfig = LayoutConfig(), telling:
         & (F.col("min_x") < F.col("img_w") * config.left_zone)
         & ~is_page_metadata(F.col("text"))
     )
-    sheets = boxes.groupBy("sheet_id").agg(
-        F.max("img_w").alias("img_w"),
-        F.max("img_h").alias("img_h"),
-        F.min(F.when(anchor, F.col("min_y"))).alias("anchor_y"),
-    )
-    bands = header_band(boxes if telling is None else telling, config).select(
+    sheets = boxes.groupBy("sheet_id").agg(F.max("img_w").alias("img_w"), F.max("img_h").alias("img_h"))
+    telling = boxes if telling is None else telling
+    opened = telling.filter(anchor).groupBy("sheet_id").agg(F.min("min_y").alias("anchor_y"))
+    sheets = sheets.join(opened, "sheet_id", "left")
+    bands = header_band(telling, config).select(
         "sheet_id", F.col("top").alias("header_min_y"), F.col("bottom").alias("header_max_y"), "heads"
     )
     top = F.coalesce(
