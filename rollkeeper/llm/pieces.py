@@ -5,8 +5,9 @@ vocabulary, best score first and leftmost among equals; the first pair is joined
 agenda, until none is left. Characters that never stand next to each other within a piece are never joined across,
 so a text falls into units (about its words) that can be worked on alone, and each unit of a batch only once.
 
-Every new unit is checked against the sentencepiece library, and so are whole texts of each batch and every decoded
-text. A difference is an error, never a silent change.
+Every new unit is checked against the sentencepiece library, and so are the first whole text of each step of some megabytes
+and every decoded text. A difference that these show is an error. That texts are their units side by side is by the rule
+above; beyond the first text of a step it is not checked again.
 """
 
 from __future__ import annotations
@@ -290,7 +291,7 @@ def encoded(docs: DataFrame, model: bytes, ids: bool = True, decode: bool = True
     """``doc_id``, ``ids`` (if asked for), ``n_tokens``, ``ids_sha256`` and, of the decoded text, ``decoded_sha256``.
 
     Ids stand between begin and end. A null or empty text has these two alone and decodes to an empty text. Rows that
-    repeat are encoded each; other columns are left out; an empty table gives an empty one.
+    repeat are encoded each; texts are taken whole, however long; other columns are left out; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
     fields = [("doc_id", docs.schema["doc_id"].dataType.simpleString())]

@@ -735,3 +735,18 @@ def test_tokens_one_row_a_batch(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found[1] == found[2] == 2 and found[0] == found[4] > 2 and len(found) == 5
+
+
+def test_pipeline_of_odd_rows(spark, docs, tmp_path):
+    """Nulls, repeated rows, very long texts and clashing names through every stage, and an empty table."""
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, apply in corpus_pipeline.STAGES[:-1]:
+            now = apply(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+            now = corpus_pipeline.stage(now, "odd")
+        rows = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert all(r.n_tokens >= 2 for r in rows)
+        # Of copies 1 and 2 one is left, short texts and those without words are gone, and the null id is a document.
+        assert {r.doc_id for r in rows} <= {1, 9, 10, 11, 12, 13, None} if table is docs else not rows
