@@ -1,10 +1,13 @@
 """What the physical plans must and must not contain."""
 
+import random
 import re
+import statistics
 
 import pytest
 
-from rollkeeper.operators import fuzzy, matching
+from rollkeeper.operators import fuzzy, matching, rows
+from rollkeeper.plans import extract
 from rollkeeper.plans.registry import QUERIES, Inputs
 from rollkeeper.session import stage
 
@@ -47,3 +50,39 @@ def test_narrow_scan_and_pushed_filter(inputs):
     scan = plan(inputs.boxes().filter("conf < 0.5").select("sheet_id"))
     assert "GreaterThan" in scan or "LessThan(conf,0.5)" in scan
     assert "ReadSchema: struct<sheet_id:bigint,conf:double>" in scan
+
+
+def test_layout_reads_boxes_a_few_times(spark, inputs):
+    """Scans of the boxes in all stages of the job, and no texts in the clustering stream."""
+    boxes = inputs.boxes()
+    folder = boxes.inputFiles()[0].rsplit("/", 1)[0].split("stage-")[1][:32]
+    plans = []
+
+    def keep(df):
+        plans.append(plan(df))
+        return stage(df)
+
+    out, _ = extract.extract(boxes, keep=keep)
+    plans.append(plan(out))
+    scans = [line for text in plans for line in text.splitlines() if "FileScan" in line and folder in line]
+    assert len(scans) <= 5
+    assert not any("MapInPandas" in text and "text#" in text.split("MapInPandas")[0] for text in plans)
+
+
+def test_long_pages_spread_over_slabs(spark):
+    """Numbering along a page has no window over a whole sheet of rows."""
+    heights = stage(spark.range(20_000).selectExpr("1L AS sheet_id", "id * 20.0D AS cy"))
+    bands = rows.row_bands(heights)
+    got = bands.orderBy("cy").collect()
+    assert [r.row_index for r in got] == list(range(1, 20_001))
+    assert [r.cy for r in got if r.is_first] == [0.0] and [r.cy for r in got if r.is_last] == [399_980.0]
+    assert all(a.y_end == b.y_start for a, b in zip(got, got[1:]))
+    assert len(re.findall(r"windowspecdefinition\(sheet_id#\d+L?, slab#", plan(bands))) >= 3
+
+
+def test_exact_medians(spark):
+    rng = random.Random(7)
+    sizes = {s: [rng.choice([12.5, 14.0, 20.0, 20.0, 33.25, rng.random() * 1e4, 1e-9 * rng.random()]) for _ in range(n)] for s, n in enumerate([1, 2, 3, 4, 50, 51, 400])}
+    body = spark.createDataFrame([(s, h) for s, hs in sizes.items() for h in hs], "sheet_id long, h double")
+    got = {r.sheet_id: r.middle for r in rows.middle_heights(body).collect()}
+    assert got == {s: statistics.median(hs) for s, hs in sizes.items()}
