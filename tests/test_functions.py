@@ -75,3 +75,9 @@ def test_headers(spark):
 
 def test_library_score_is_asymmetric_so_argument_order_counts():
     assert SequenceMatcher(None, "tide", "diet").ratio() != SequenceMatcher(None, "diet", "tide").ratio()
+
+
+def test_blanks_are_those_of_the_pattern(spark):
+    codes = spark.range(0x3100).filter("id not between 55296 and 57343").select(F.col("id"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), F.lit("UTF-32")).alias("ch"))
+    blank = codes.filter(F.col("ch").rlike(rf"(?U)^[{text.BLANK}]$")).collect()
+    assert sorted(r.ch for r in blank) == sorted(text.BLANKS)
