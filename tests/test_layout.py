@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rollkeeper.operators import regions, rows
 from rollkeeper.plans.extract import extract
+from rollkeeper.sources.ocr import boxes_from_polygons
 
 HEAD3 = [("Roll No", 0.95, 50, 50, 50, 20), ("Student Name", 0.95, 300, 50, 140, 20), ("Attendance", 0.95, 600, 50, 120, 20)]
 
@@ -95,3 +96,33 @@ def test_many_equal_header_boxes_are_counted(make):
     assert (band.types, band.boxes) == (3, 3)
     counts = {r.cy: r.boxes for r in regions.header_bands(boxes).select("cy", F.col("boxes")).collect()}
     assert counts == {50.0: 3, 250.0: 501}
+
+
+def test_a_page_has_few_band_slots(make):
+    page = [b for n in range(5) for b in ((f"00{n + 1}", 0.9, 50, 120 + 540 * n, 30, 20), ("Ann", 0.9, 300, 130 + 540 * n, 60, 20))]
+    boxes = make.boxes(HEAD3 + page)
+    layouts = regions.page_layouts(regions.with_body_bottom(regions.sheet_tops(boxes), boxes), boxes)
+    bands = rows.row_bands(rows.distinct_anchors(rows.row_anchors(boxes, layouts)))
+    slots = rows.body_slots(layouts, bands)
+    assert slots.count() <= boxes.count()
+    placed = rows.body_table(boxes, slots).select("box_seq", "row_index").collect()
+    joined = rows.boxes_to_bands(rows.boxes_in_table(boxes, layouts), bands).select("box_seq", "row_index").collect()
+    assert sorted(placed) == sorted(joined) == [(3 + i, 1 + i // 2) for i in range(10)]
+
+
+def test_columns_by_the_telling_boxes_alone(make):
+    row = [("001", 0.9, 50, 120, 30, 20), ("STU001", 0.9, 160, 120, 60, 20), ("Ann", 0.9, 400, 120, 60, 20), ("P", 0.9, 640, 120, 20, 20)]
+    boxes = make.boxes(HEAD3 + row).unionAll(make.boxes(HEAD3 + row[:1] + row[2:], sheet=2)).unionAll(make.boxes([("x", 0.9, 90, 90, 20, 20)], sheet=3))
+    telling = regions.telling_boxes(boxes, rows.ROLL_ANCHOR, rows.ID_ANCHOR)
+    ends = regions.with_body_bottom(regions.sheet_tops(boxes), boxes)
+    found = regions.page_layouts(ends, boxes, telling=telling).orderBy("sheet_id").collect()
+    assert found == regions.page_layouts(ends, boxes).orderBy("sheet_id").collect()
+    assert [r["columns"]["STUDENT_ID"] is not None for r in found] == [True, False, True]
+
+
+def test_bounds_of_polygons_of_any_number_of_points(spark):
+    shapes = [[[10, 20], [50, 22], [52, 40], [9, 38]], [[10, 20], [50, 22], [30, 60]], [[5, 5], [30, 1], [60, 5], [60, 30], [5, 33]]]
+    lines = [(1, i, [[float(x), float(y)] for x, y in s], " a ", 0.9, 100, 100) for i, s in enumerate(shapes)]
+    raw = spark.createDataFrame(lines, "sheet_id long, box_seq long, bbox array<array<double>>, text string, conf double, img_w int, img_h int")
+    got = [tuple(r) for r in boxes_from_polygons(raw).orderBy("box_seq").select("min_x", "max_x", "min_y", "max_y", "text").collect()]
+    assert got == [(9.0, 52.0, 20.0, 40.0, "a"), (10.0, 50.0, 20.0, 60.0, "a"), (5.0, 60.0, 1.0, 33.0, "a")]

@@ -24,3 +24,12 @@ def test_every_query_has_sql_of_its_own():
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_queries_that_read_the_boxes_once_write_no_stage(spark, monkeypatch):
+    from rollkeeper.plans import registry
+
+    registry.forget_stored()
+    monkeypatch.setattr(registry, "stage", lambda df: (_ for _ in ()).throw(AssertionError("a stage was written")))
+    for name in ("f16_page_metadata", "f17_banner", "f18_header_type", "g1_header_candidates", "s2_ocr_boxes", "p1_readable_boxes"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").columns[:2] == ["sheet_id", "box_seq"]
