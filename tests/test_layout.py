@@ -100,7 +100,7 @@ def test_many_equal_header_boxes_are_counted(make):
 
 def test_a_page_has_few_band_slots(make):
     page = [b for n in range(5) for b in ((f"00{n + 1}", 0.9, 50, 120 + 540 * n, 30, 20), ("Ann", 0.9, 300, 130 + 540 * n, 60, 20))]
-    boxes = make.boxes(HEAD3 + page)
+    boxes = make.boxes(HEAD3 + page, height=2700.0)
     layouts = regions.page_layouts(regions.with_body_bottom(regions.sheet_tops(boxes), boxes), boxes)
     bands = rows.row_bands(rows.distinct_anchors(rows.row_anchors(boxes, layouts)))
     slots = rows.body_slots(layouts, bands)
