@@ -1,10 +1,13 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rollkeeper.operators import regions, rows
+from rollkeeper.operators import cells, regions, rows, slabs
 from rollkeeper.plans.extract import extract
+from rollkeeper.session import stage
 from rollkeeper.sources.ocr import boxes_from_polygons
+from tests.test_plans import plan
 
 HEAD3 = [("Roll No", 0.95, 50, 50, 50, 20), ("Student Name", 0.95, 300, 50, 140, 20), ("Attendance", 0.95, 600, 50, 120, 20)]
 
@@ -126,3 +129,43 @@ def test_bounds_of_polygons_of_any_number_of_points(spark):
     raw = spark.createDataFrame(lines, "sheet_id long, box_seq long, bbox array<array<double>>, text string, conf double, img_w int, img_h int")
     got = [tuple(r) for r in boxes_from_polygons(raw).orderBy("box_seq").select("min_x", "max_x", "min_y", "max_y", "text").collect()]
     assert got == [(9.0, 52.0, 20.0, 40.0, "a"), (10.0, 50.0, 20.0, 60.0, "a"), (5.0, 60.0, 1.0, 33.0, "a")]
+
+
+def test_runs_across_slabs_equal_a_plain_walk(spark):
+    rng = random.Random(5)
+    sheets = {s: sorted(rng.sample([4096.0 * n + d for n in range(4) for d in range(-40, 40, 4)], 50)) for s in (1, 2)}
+    sheets |= {3: [8192.0 + 5 * n for n in range(-900, 900)], 4: [10.0]}
+    heights = spark.createDataFrame([(s, y) for s, ys in sheets.items() for y in ys], "sheet_id long, cy double")
+    expected = {}
+    for sheet, ys in sheets.items():
+        run = 0
+        for above, y in zip([None, *ys], ys):
+            run += above is None or y - above > 9.0
+            expected[sheet, y] = run
+    assert {(r.sheet_id, r.cy): r.run for r in slabs.runs(heights, F.lit(9.0)).collect()} == expected
+
+
+def test_heights_kept_apart_across_batches():
+    walk = [(s, run, float(y)) for s in (1, 2) for run in (1, 2) for y in range(0, 100, 7)]
+    table = pa.table({"sheet_id": [w[0] for w in walk], "run": [w[1] for w in walk], "cy": [w[2] for w in walk]})
+    whole = [tuple(r.values()) for b in rows._kept_apart(iter(table.to_batches()), 16.0) for r in b.to_pylist()]
+    cut = [tuple(r.values()) for b in rows._kept_apart(iter(table.to_batches(max_chunksize=4)), 16.0) for r in b.to_pylist()]
+    assert whole == cut == [(s, float(y)) for s in (1, 2) for _ in (1, 2) for y in range(0, 100, 21)]
+
+
+def test_header_pairs_are_counted_as_numbers(make):
+    """Only the winning band is looked at for its headers, which are structs that cannot be hashed."""
+    boxes = make.boxes(HEAD3)
+    telling = regions.telling_boxes(boxes, rows.ROLL_ANCHOR)
+    assert "col_type" in telling.columns
+    assert "SortAggregate" not in plan(regions.header_bands(stage(telling)))
+    assert regions.header_band(boxes).drop("heads").collect() == regions.header_band(telling).drop("heads").collect()
+
+
+def test_cells_of_a_row_are_gathered_in_one_list(spark):
+    line = [(1, 1, 1, "b", 0.5, 9.0, 200.0, "NAME"), (1, 1, 2, " a ", 1.0, 9.0, 100.0, "NAME"), (1, 1, 3, "P", 0.75, 9.0, 500.0, "ATTENDANCE"), (1, 1, 4, "x", 0.75, 9.0, 1.0, None)]
+    celled = spark.createDataFrame(line, "sheet_id long, row_index long, box_seq long, text string, conf double, cy double, min_x double, cell string")
+    texts = cells.cell_texts(celled)
+    assert plan(texts).count("partial_collect_list") <= 2  # its function and its output
+    got = texts.first()
+    assert (got.ROLL_NO, got.STUDENT_ID, got.NAME, got.ATTENDANCE, got.row_confidence) == (None, None, "a b", "P", 0.75)
