@@ -15,11 +15,21 @@ _ROW = rf"(?is)(<tr\b{_REST}\sdata-student-(?:row\s*=\s*[\"']true[\"']|id\s*=){_
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute, empty if it is there without one, null if it is not there."""
+    """An attribute as it stands in double and in single quotes, null if it is not there; put it in a column, then ``_value``."""
     there = tag.rlike(rf"(?is)^<\w+(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?\s{name}\s*=")
     double = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*\"([^\"]*)\"", 1)
     single = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*'([^']*)'", 1)
-    return F.when(there, F.coalesce(blank_to_null(double), single))
+    return F.when(there, F.struct(double.alias("double"), single.alias("single")))
+
+
+def _value(attribute: str) -> Column:
+    """Value of an attribute, empty if it is there without one, null if it is not there."""
+    return F.coalesce(blank_to_null(F.col(attribute)["double"]), F.col(attribute)["single"])
+
+
+def _filled(text: Column) -> Column:
+    """``blank_to_null`` of a costly text, worked out once."""
+    return F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
 
 
 def _unescape(text: Column) -> Column:
@@ -45,54 +55,68 @@ def _cell(row: Column, marker: str) -> Column:
     plain = r"(?:(?!</?\1\b).)*"
     nested = rf"{plain}(?:<\1\b[^>]*>{plain}</\1\s*>{plain})*"
     inner = F.regexp_extract(row, rf"(?is)<(\w+)\b[^>]*{marker}[^>]*>({nested})</\1\s*>", 2)
-    return blank_to_null(strip(F.regexp_replace(inner, "<[^>]*>", "")))
-
-
-def _chosen(select: Column) -> Column:
-    """Value of a control: of its selected option or else the first; an option without a value gives its text."""
-    selected = F.regexp_extract(select, rf"(?is)(<option\b(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)?\sselected(?=[\s=>/]){_REST}>[^<]*)", 1)
-    option = F.coalesce(blank_to_null(selected), F.regexp_extract(select, rf"(?is)(<option\b{_REST}>[^<]*)", 1))
-    return F.coalesce(_attribute(option, "value"), strip(F.regexp_replace(option, rf"(?is)^<option\b{_REST}>", "")))
+    return _filled(strip(F.regexp_replace(inner, "<[^>]*>", "")))
 
 
 def roster_from_pages(pages: DataFrame) -> DataFrame:
-    """One row per student row of each page's attendance table: attributes first, cell texts as fallback."""
+    """One row per student row of each page's attendance table: attributes first, cell texts as fallback.
+
+    Tags, controls and attributes are columns of their own, so that each is searched once and not again by every rule.
+    """
     # A table holds its body, so the body is looked for only where no table has the id.
     tables = F.regexp_extract_all("html", F.lit(_TABLE), F.lit(2))
     inside = F.array_join(tables, " ")
     rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(inside, F.lit(_ROW), F.lit(1))).alias("row_seq", "row"))
-    row = F.col("row")
-    tag = F.regexp_extract(row, rf"(?is)^(<tr\b{_REST}>)", 1)
-    select = F.regexp_extract(
-        row, r"(?is)<select\b[^>]*(?:data-attendance-control\s*=\s*\"true\"|attendance-select)[^>]*>(.*?)</select>", 1
+    row, select, option = F.col("row"), F.col("select"), F.col("option")
+    tags = rows.select(
+        "page_id",
+        "row_seq",
+        "row",
+        F.regexp_extract(row, rf"(?is)^(<tr\b{_REST}>)", 1).alias("tag"),
+        F.regexp_extract(
+            row, r"(?is)<select\b[^>]*(?:data-attendance-control\s*=\s*\"true\"|attendance-select)[^>]*>(.*?)</select>", 1
+        ).alias("select"),
+        F.regexp_extract(row, r"(?is)(<input\b[^>]*(?:remarks-input|data-remarks-control\s*=\s*\"true\")[^>]*>)", 1).alias("input"),
     )
-    remark = F.regexp_extract(row, r"(?is)(<input\b[^>]*(?:remarks-input|data-remarks-control\s*=\s*\"true\")[^>]*>)", 1)
+    # The value of a control is that of its selected option or else the first; an option without a value gives its text.
+    selected = F.regexp_extract(select, rf"(?is)(<option\b(?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)?\sselected(?=[\s=>/]){_REST}>[^<]*)", 1)
+    first = F.regexp_extract(select, rf"(?is)(<option\b{_REST}>[^<]*)", 1)
+    found = tags.select(
+        "page_id",
+        "row_seq",
+        "row",
+        *[_attribute(F.col("tag"), name).alias(name) for name in ("data-student-id", "id", "data-roll-number", "data-student-name", "data-attendance-state")],
+        _attribute(F.col("input"), "value").alias("remark"),
+        F.coalesce(_filled(selected), first).alias("option"),
+    ).withColumn("choice", _attribute(option, "value"))
     text = lambda value: F.coalesce(_unescape(value), F.lit(""))
-    fields = rows.select(
+    worded = strip(F.regexp_replace(option, rf"(?is)^<option\b{_REST}>", ""))
+    fields = F.struct(
         "page_id",
         "row_seq",
         text(
             F.coalesce(
-                blank_to_null(_attribute(tag, "data-student-id")),
+                blank_to_null(_value("data-student-id")),
                 _cell(row, 'data-field="student-id"'),
-                blank_to_null(F.regexp_replace(_attribute(tag, "id"), "^(.*?)row-", "$1")),
+                blank_to_null(F.regexp_replace(_value("id"), "^(.*?)row-", "$1")),
             )
         ).alias("student_id"),
-        text(F.coalesce(blank_to_null(_attribute(tag, "data-roll-number")), _cell(row, 'data-field="roll-number"'))).alias("roll_number"),
+        text(F.coalesce(blank_to_null(_value("data-roll-number")), _cell(row, 'data-field="roll-number"'))).alias("roll_number"),
         text(
             F.coalesce(
-                blank_to_null(_attribute(tag, "data-student-name")),
+                blank_to_null(_value("data-student-name")),
                 _cell(row, "student-name-text"),
                 _cell(row, 'data-field="student-name"'),
             )
         ).alias("name"),
         F.upper(
             F.coalesce(
-                blank_to_null(_unescape(_chosen(select))),
-                blank_to_null(_attribute(tag, "data-attendance-state")),
+                _filled(_unescape(F.coalesce(_value("choice"), worded))),
+                blank_to_null(_value("data-attendance-state")),
                 F.lit("UNMARKED"),
             )
         ).alias("status"),
-        strip(text(_attribute(remark, "value"))).alias("remarks"),
+        strip(text(_value("remark"))).alias("remarks"),
     )
-    return fields.filter((F.col("student_id") != "") | (F.col("roll_number") != ""))
+    # Filtered inside the row's list: a filter on the columns would be moved down and work the fields out again.
+    return found.select(F.inline(F.filter(F.array(fields), lambda f: (f["student_id"] != "") | (f["roll_number"] != ""))))

@@ -10,6 +10,7 @@ from rollkeeper.operators import fuzzy, matching, rows
 from rollkeeper.plans import extract
 from rollkeeper.plans.registry import QUERIES, Inputs
 from rollkeeper.session import stage
+from rollkeeper.sources import pages
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -86,3 +87,12 @@ def test_exact_medians(spark):
     body = spark.createDataFrame([(s, h) for s, hs in sizes.items() for h in hs], "sheet_id long, h double")
     got = {r.sheet_id: r.middle for r in rows.middle_heights(body).collect()}
     assert got == {s: statistics.median(hs) for s, hs in sizes.items()}
+
+
+def test_saved_pages_are_searched_once_for_each_attribute(spark):
+    text = plan(pages.roster_from_pages(spark.createDataFrame([(1, "x")], "page_id long, html string")))
+    assert text.count(r"\sdata-roll-number") == 3 and "Filter" not in text
+
+
+def test_roster_is_spread_over_tasks(inputs):
+    assert "hashpartitioning(roster_seq" in plan(inputs.roster())
