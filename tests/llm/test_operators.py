@@ -261,6 +261,22 @@ def test_components_equal_brute_force(spark, docs, texts):
     assert len({x[2] for x in expected}) > 5
 
 
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    names, stage = [], neardup.stage
+    monkeypatch.setattr(neardup, "stage", lambda df, name: (names.append(name), stage(df, name))[1])
+    # Two paths whose nodes come in no order, dealt over several tasks.
+    order = np.random.default_rng(2).permutation(400)
+    node = [b"%03d" % i for i in order]
+    pairs = [(bytearray(node[i]), bytearray(node[i + 1])) for i in range(399) if i != 250]
+    links = spark.createDataFrame(pairs, "a binary, b binary").repartition(6)
+    expected = {n: min(node[:251]) if i <= 250 else min(node[251:]) for i, n in enumerate(node)}
+    few = {bytes(r.node): bytes(r.root) for r in neardup.components(links).collect()}
+    assert few == expected and "nearer" not in names
+    monkeypatch.setattr(neardup, "LINKS_AT_ONCE", 100, raising=False)
+    many = {bytes(r.node): bytes(r.root) for r in neardup.components(links).collect()}
+    assert many == expected and "nearer" in names
+
+
 def test_kept_documents(docs, none):
     kept = neardup.kept_documents(docs)
     assert kept.columns == docs.columns
