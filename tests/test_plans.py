@@ -7,9 +7,9 @@ import statistics
 import pytest
 
 from rollkeeper.operators import fuzzy, matching, rows
-from rollkeeper.plans import extract
+from rollkeeper.plans import extract, registry
 from rollkeeper.plans.registry import QUERIES, Inputs
-from rollkeeper.session import stage
+from rollkeeper.session import LEAST_PARTITIONS, stage
 from rollkeeper.sources import pages
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,6 +40,16 @@ def test_exact_cascade_is_two_joins_without_python(inputs):
     assert len(re.findall(r"(?:SortMerge|BroadcastHash|ShuffledHash)Join ", text)) == 2
 
 
+def test_match_starts_from_stored_views(spark, monkeypatch):
+    """The joins behind both views run once, and partitions are merged to several for each core."""
+    given = []
+    monkeypatch.setattr(registry, "_STORED", {})
+    monkeypatch.setattr(registry.reconcile, "reconcile", lambda *views: given.extend(views))
+    Inputs(spark, FOLDER).match()
+    assert len(given) == 2 and not any("Join" in plan(view) for view in given)
+    assert int(spark.conf.get(LEAST_PARTITIONS)) == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_rank_limits_run_before_the_shuffle(inputs):
     text = plan(fuzzy.top_candidates(inputs.open_names(), inputs.roster()))
     assert text.count("WindowGroupLimit") >= 2 and "Partial" in text
