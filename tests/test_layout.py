@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from rollkeeper.functions import headers
 from rollkeeper.operators import cells, regions, rows, slabs
 from rollkeeper.plans.extract import extract
 from rollkeeper.session import stage
@@ -169,3 +170,15 @@ def test_cells_of_a_row_are_gathered_in_one_list(spark):
     assert plan(texts).count("partial_collect_list") <= 2  # its function and its output
     got = texts.first()
     assert (got.ROLL_NO, got.STUDENT_ID, got.NAME, got.ATTENDANCE, got.row_confidence) == (None, None, "a b", "P", 0.75)
+
+
+def test_telling_texts_are_decoded_three_times(make):
+    """The patterns of whole texts are one, and so are the keywords of all column types."""
+    texts = ["STU12", "001", "#7", "BCA101", "Teacher Sign", "my att", "no.", "Rollick", "x name", "names x", "xname", "Ann", "stu", "12345"]
+    boxes = make.boxes([(t, 0.9, 100, 20 * i, 60, 20) for i, t in enumerate(texts)])
+    telling = regions.telling_boxes(boxes, rows.ROLL_ANCHOR, rows.ID_ANCHOR)
+    found = {r.text: (r.col_type, r.footer) for r in telling.collect()}
+    kinds = {r.text: r.kind for r in boxes.select("text", headers.header_type(F.col("text")).alias("kind")).collect()}
+    assert found == {t: (kinds[t], t == "Teacher Sign") for t in texts if t not in ("xname", "Ann", "12345", "stu")} | {"Teacher Sign": (None, True)}
+    assert (kinds["my att"], kinds["no."], kinds["Rollick"], kinds["x name"], kinds["names x"], kinds["stu"]) == ("ATTENDANCE", "ROLL_NO", "ROLL_NO", "NAME", "NAME", None)
+    assert telling._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].count("RLIKE") <= 3
