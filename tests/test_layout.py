@@ -182,3 +182,10 @@ def test_telling_texts_are_decoded_three_times(make):
     assert found == {t: (kinds[t], t == "Teacher Sign") for t in texts if t not in ("xname", "Ann", "12345", "stu")} | {"Teacher Sign": (None, True)}
     assert (kinds["my att"], kinds["no."], kinds["Rollick"], kinds["x name"], kinds["names x"], kinds["stu"]) == ("ATTENDANCE", "ROLL_NO", "ROLL_NO", "NAME", "NAME", None)
     assert telling._jdf.queryExecution().optimizedPlan().toString().split("Filter")[1].count("RLIKE") <= 3
+
+
+def test_lists_are_sorted_without_a_lambda(spark, make):
+    boxes = make.boxes(HEAD3 + [("Signature", 0.9, 100, 200, 80, 20)])
+    celled = boxes.select("*", F.lit(1).alias("row_index"), F.lit("NAME").alias("cell"))
+    sheets = regions.with_body_bottom(regions.sheet_tops(boxes), boxes)
+    assert not any("array_sort" in plan(df) for df in (cells.cell_texts(celled), sheets, regions.with_header_columns(sheets)))
