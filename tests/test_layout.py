@@ -189,3 +189,16 @@ def test_lists_are_sorted_without_a_lambda(spark, make):
     celled = boxes.select("*", F.lit(1).alias("row_index"), F.lit("NAME").alias("cell"))
     sheets = regions.with_body_bottom(regions.sheet_tops(boxes), boxes)
     assert not any("array_sort" in plan(df) for df in (cells.cell_texts(celled), sheets, regions.with_header_columns(sheets)))
+
+
+def test_pages_of_common_height_are_not_looked_across(spark):
+    """Only pages that reach beyond a slab have edges; without such pages nothing is joined."""
+    short = stage(spark.range(400).selectExpr("id % 20 AS sheet_id", "id * 10.0D AS cy"))
+    bands, runs = rows.row_bands(short), slabs.runs(short, F.lit(16.0))
+    assert bands.count() == 400 and {r.run for r in runs.collect()} == set(range(1, 21))
+    assert "Join" not in plan(runs).split("== Initial Plan ==")[0]
+    far = spark.createDataFrame([(1, -5.0), (1, 5.0), (2, 9000.0), (2, 9005.0), (2, 9.0), (3, 20.0), (None, 7.0), (4, None)], "sheet_id long, cy double")
+    assert {(r.sheet_id, r.cy): (r.nth, r.above, r.below) for r in slabs.numbered(far).collect()} == {
+        (1, -5.0): (1, None, 5.0), (1, 5.0): (2, -5.0, None), (2, 9.0): (1, None, 9000.0), (2, 9000.0): (2, 9.0, 9005.0), (2, 9005.0): (3, 9000.0, None), (3, 20.0): (1, None, None)}
+    assert {(r.sheet_id, r.cy): r.run for r in slabs.runs(far, F.lit(16.0)).collect()} == {
+        (1, -5.0): 1, (1, 5.0): 1, (2, 9.0): 1, (2, 9000.0): 2, (2, 9005.0): 2, (3, 20.0): 1}
