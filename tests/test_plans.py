@@ -9,7 +9,7 @@ import pytest
 from rollkeeper.operators import fuzzy, matching, rows
 from rollkeeper.plans import extract, registry
 from rollkeeper.plans.registry import QUERIES, Inputs
-from rollkeeper.session import LEAST_PARTITIONS, stage
+from rollkeeper.session import LEAST_PARTITIONS, ROW_GROUP, stage
 from rollkeeper.sources import pages
 
 FOLDER = "/root/testdata/sf0.001"
@@ -106,3 +106,27 @@ def test_saved_pages_are_searched_once_for_each_attribute(spark):
 
 def test_roster_is_spread_over_tasks(inputs):
     assert "hashpartitioning(roster_seq" in plan(inputs.roster())
+
+
+def test_boxes_are_stored_by_their_edges(inputs):
+    """Centres and sizes follow from the edges; rows lie in groups no larger than a split."""
+    boxes = inputs.boxes()
+    scan = plan(boxes.select("cx", "h"))
+    assert "ReadSchema: struct<min_x:double,max_x:double,min_y:double,max_y:double>" in scan
+    assert sorted(boxes.columns) == sorted(inputs.boxes_once().columns)
+    first = boxes.orderBy("sheet_id", "box_seq").limit(50).collect()
+    assert first == inputs.boxes_once().select(*boxes.columns).orderBy("sheet_id", "box_seq").limit(50).collect()
+
+
+def test_small_sides_are_hashed(spark, inputs):
+    """Where one side is small in every partition, the boxes are not sorted to meet it."""
+    assert ROW_GROUP <= 1 << 20 << 4 and spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") == "64m"
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        body = rows.body_table(inputs.boxes(), rows.body_slots(inputs.layouts(), inputs.bands()))
+        body.collect()
+        final = plan(body).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "ShuffledHashJoin" in final
